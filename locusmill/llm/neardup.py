@@ -7,9 +7,9 @@ probability equal to their probability Jaccard similarity.
 
 Texts of equal words are one node.  Nodes that agree in a whole band share a bucket.  A bucket of n
 nodes is not spelled out as pairs: each bucket compares its members with one leader (another in each round), links are verified by exact
-similarity, and components are formed; only buckets that then still hold several components compare members across components, in tiles
-of bounded size, by signature first (a pair whose signatures agree in less than ESTIMATE of the registers is five standard deviations from
-a link).  So copies and near copies cost about one comparison each, and no link between different components goes untested.
+similarity, and components are formed; only buckets that then still hold several components compare members across components, within a task that gets a
+tile of bounded size and gives only links (a pair whose signatures agree in less than ESTIMATE of the registers is five standard
+deviations from one).  So copies and near copies cost about one comparison each, and no link between different components goes untested.
 
 Missed links: a pair at similarity SIMILARITY shares no band with probability (1 - 0.8**4)**25 = 2e-6.
 
@@ -191,36 +191,53 @@ def _with_leader(rows: DataFrame, seed: int) -> DataFrame:
     return pairs.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
 
 
+def _similar(a: np.ndarray, x: np.ndarray | None, others: list[tuple[np.ndarray, np.ndarray | None]]) -> np.ndarray:
+    """Which of the others (sorted shingles, weights or None for all 1) are linked to a."""
+    out = np.zeros(len(others), bool)
+    plain = [k for k, (b, y) in enumerate(others) if x is None and y is None and len(a) and len(b)]
+    if plain:
+        sizes = np.array([len(others[k][0]) for k in plain])
+        every = np.concatenate([others[k][0] for k in plain])
+        common = np.add.reduceat(a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+        out[plain] = common / (len(a) + sizes - common) >= SIMILARITY
+    for k in set(range(len(others))) - set(plain):
+        b, y = others[k]
+        out[k] = probability_jaccard(a, np.ones(len(a)) if x is None else x, b, np.ones(len(b)) if y is None else y) >= SIMILARITY
+    return out
+
+
 def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: pairs of members of different components whose signatures are near, each in the first bucket that they share.
+    """a, b: links between different components, as many as unite what is linked within a bucket.
 
-    A bucket of more than TILE members is cut into tiles, and each pair of tiles is a task of its own."""
+    Members are compared across components in the first bucket that a pair shares, by signature and then exactly; a pair whose components
+    have met meanwhile is passed over, so a bucket gives fewer links than members.  A bucket of more than TILE members
+    is cut into tiles, and each pair of tiles is a group of its own."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
     rows = rows.select("key", "digest", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     rows = rows.select("key", "digest", "comp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    rows = rows.join(nodes.select("digest", "sig"), "digest")
+    rows = rows.join(nodes.select("digest", "sig", "shingles", "weights"), "digest")
 
     def run(key, table):
-        _, i, j = (k.as_py() for k in key)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
         keys = band_keys(sig)
+        own = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0])
         digests = table.column("digest").to_pylist()
+        sets = [(np.frombuffer(s, "<u4"), np.frombuffer(w, "<u4").astype(float) if w else None) for s, w in zip(table.column("shingles").to_pylist(), table.column("weights").to_pylist())]
         comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
         tile = np.array(table.column("tile").to_pylist())
-        own = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0]) if len(keys) else 0
+        same_tile = key[1].as_py() == key[2].as_py()
         a, b = [], []
         for r in range(len(digests)):
-            at = np.flatnonzero((comp != comp[r]) & ((tile == tile[r]) if i == j else (tile != tile[r])))
-            at = at[at > r]
-            if not len(at):
-                continue
-            at = at[(sig[at] == sig[r]).mean(1) >= ESTIMATE]
+            at = r + 1 + np.flatnonzero((comp[r + 1 :] != comp[r]) & (same_tile | (tile[r + 1 :] != tile[r])))
             at = at[(keys[at] == keys[r]).argmax(1) == own]
-            for s in at.tolist():
-                x, y = sorted((digests[r], digests[s]))
-                a.append(x)
-                b.append(y)
+            at = at[(sig[at] == sig[r]).mean(1) >= ESTIMATE]
+            for s in at[_similar(*sets[r], [sets[k] for k in at])].tolist():
+                if comp[s] != comp[r]:
+                    comp[comp == comp[s]] = comp[r]
+                    x, y = sorted((digests[r], digests[s]))
+                    a.append(x)
+                    b.append(y)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
@@ -240,8 +257,7 @@ def link(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
         rows = scratch.table(_open(members, labels), f"open{k}")
         if rows.isEmpty():
             break
-        pairs = _with_leader(rows, k) if k < ROUNDS else _across(rows, nodes)
-        found = scratch.table(verify(pairs, nodes), f"links{k}")
+        found = scratch.table(verify(_with_leader(rows, k), nodes) if k < ROUNDS else _across(rows, nodes), f"links{k}")
         links = found if links is None else links.unionByName(found)
         labels = components(links, scratch, f"comp{k}")
     return labels
