@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
@@ -101,7 +102,7 @@ def merged_groups(groups: DataFrame, limit: float = 500.0) -> DataFrame:
 def greedy_duplicates(rows: DataFrame, block: str = "block", limit: float = 30.0) -> DataFrame:
     """rows with dup_of: the earlier surviving record within limit whose core contains or is contained (2 characters or more), else null.
     Earlier survivors decide, so each block (a region no pair crosses) is one task."""
-    schema = rows.schema.add("dup_of", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("dup_of", T.LongType())])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         import math
