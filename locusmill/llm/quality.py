@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     a, b, y = np.stack(got["a"]), np.stack(got["b"]), got["y"].to_numpy()
     known = y >= 0
-    held = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed=7) % 4 == 0 for i in got["doc_id"][known]])
+    held = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed=7) % 4 == 0 for i in got["doc_id"][known]], bool)
     t = y[known]
     if any(len(set(t[m].tolist())) < 2 for m in (held, ~held)):
         return None
