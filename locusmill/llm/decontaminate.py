@@ -9,7 +9,7 @@ count if the weighted Jaccard similarity of the shingles is at least SIMILARITY.
 Since that similarity needs a common shingle, only windows that hold one of the benchmark's shingles get a fingerprint; others
 could never pass.  RADIUS is five standard deviations above the distance expected at SIMILARITY.
 
-The benchmark is read in blocks of ITEMS items, and each block passes over all documents.
+The benchmark is read in blocks of at most ITEMS items and CHARS characters (or one longer item), and each block passes over all documents.
 
 Words are lower-cased runs of \\w.  A document shorter than an item is one window; a text or item of fewer than five words is one
 shingle.  A null or empty text, and an item without words, match nothing.  Equal items each match; a null id is kept; repeated rows are
@@ -28,8 +28,8 @@ from .common import hashed_words, mix, ship, shingles, slices, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 RADIUS = 24
-#: Items of one block of the benchmark; their index is what a task holds.
-ITEMS = 20_000
+#: Items and characters of one block of the benchmark; their index is what a task holds.
+ITEMS, CHARS = 20_000, 16_000_000
 _BITS = 64
 
 _HITS = "array<struct<item_id: bigint, word: int, similarity: double>>"
@@ -148,11 +148,14 @@ class Index:
 def indexes(benchmark: DataFrame):
     """The benchmark, block by block; the driver holds one block at a time."""
     block: list[tuple] = []
+    chars = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) == ITEMS:
+        size = len(r["text"] or "")
+        if block and (len(block) == ITEMS or chars + size > CHARS):
             yield Index(block)
-            block = []
+            block, chars = [], 0
+        block.append((r["item_id"], r["text"]))
+        chars += size
     if block:
         yield Index(block)
 
@@ -160,7 +163,7 @@ def indexes(benchmark: DataFrame):
 def hits(spark: SparkSession, index: Index) -> Column:
     """For each text the items of the index that it holds."""
     ship(spark)
-    held = spark.sparkContext.broadcast(index)  # at most ITEMS items
+    held = spark.sparkContext.broadcast(index)  # bounded by ITEMS and CHARS
 
     @F.pandas_udf(_HITS)
     def run(text: pd.Series) -> pd.Series:
