@@ -179,7 +179,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """key, digest, comp of the members of buckets that hold several components."""
     m = members.withColumn("comp", F.col("digest")) if labels is None else members.join(labels.select(F.col("node").alias("digest"), F.col("comp").alias("found")), "digest", "left").select("key", "digest", F.coalesce("found", "digest").alias("comp"))
-    several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi")).select("key", "n")
+    several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
     return m.join(several, "key")
 
 
@@ -210,11 +210,16 @@ def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: links between different components, as many as unite what is linked within a bucket.
 
     Members are compared across components in the first bucket that a pair shares, by signature and then exactly; a pair whose components
-    have met meanwhile is passed over, so a bucket gives fewer links than members.  A bucket of more than TILE members
-    is cut into tiles, and each pair of tiles is a group of its own."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
-    rows = rows.select("key", "digest", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    have met meanwhile is passed over, so a bucket gives fewer links than members.  Members are cut into tiles of about TILE, and each pair of
+    tiles is a group of its own.  The largest component of a bucket has tiles apart, which meet the others' tiles and never each
+    other; a bucket of one large component and few strays therefore costs in proportion to its members."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    own, rest = (F.ceil(n / TILE).cast("int") for n in (F.col("top.n"), F.col("all") - F.col("top.n")))
+    rows = rows.join(sizes.select("key", F.col("top.comp").alias("top"), own.alias("own"), rest.alias("rest")), "key")
+    tile = F.when(F.col("comp") == F.col("top"), F.col("rest") + F.pmod(F.xxhash64("digest"), F.col("own"))).otherwise(F.pmod(F.xxhash64("digest"), F.col("rest")))
+    others = F.col("rest") + F.when(F.col("comp") == F.col("top"), 0).otherwise(F.col("own"))
+    rows = rows.select("key", "digest", "comp", tile.cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     rows = rows.select("key", "digest", "comp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     rows = rows.join(nodes.select("digest", "sig", "shingles", "weights"), "digest")
 

@@ -92,6 +92,31 @@ def test_near_duplicates(spark, docs):
     assert np.isclose(neardup.probability_jaccard(x, m.astype(float), y, n.astype(float)), brute)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_of_a_hot_group(spark, monkeypatch, rounds):
+    """One family of copies, chains in which only neighbours are links, and strays, in tiles of four members."""
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    base, texts = prose(200).split(), []
+    for i in range(25):
+        texts.append(" ".join([*base[: 4 * i], f"copy{i}", *base[4 * i + 1 :]]))
+    chain = list(base)
+    for i in range(25):
+        chain[8 * i] = f"step{i}"
+        texts.append(" ".join(chain))
+    texts += [prose(60) for _ in range(5)] + texts[:3]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if c == hi else c for c in want]
+    assert 1 < len(set(want)) < len(texts) / 2
+    got = neardup.query(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["class_id"] for r in sorted(got)] == want
+
+
 def test_statistics_and_rules(spark, docs):
     got = rules.query(spark, docs).collect()
     assert len(got) == docs.count()
@@ -177,6 +202,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.query(spark, docs, bench.limit(0)).count() == 0
 
 
+def test_benchmark_blocks(spark, docs, monkeypatch):
+    """A block ends at a number of items or of characters; a longer item is a block of its own; the finds are the same."""
+    words = BASE.split()
+    items = [(i, " ".join(words[k : k + 40])) for i, k in enumerate((0, 20, 40, 70))]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in [*items, (9, prose(500)), (None, None)]], "item_id long, text string, doc_id string")
+    want = sorted(map(tuple, decontaminate.query(spark, docs, bench).collect()), key=str)
+    assert len(list(decontaminate.indexes(bench))) == 1 and {i for _, i, *_ in want} == {0, 1, 2, 3}
+    monkeypatch.setattr(decontaminate, "CHARS", len(items[0][1]) + 1)
+    assert len(list(decontaminate.indexes(bench))) >= 4
+    assert sorted(map(tuple, decontaminate.query(spark, docs, bench).collect()), key=str) == want
+
+
 def test_quality_held_out(spark):
     rows, marks = [], []
     for i in range(900):
