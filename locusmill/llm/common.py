@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step of a Python operator handles at once; bounds the arrays it builds.
 SLICE_CHARS = 1_000_000
+#: Bytes of an Arrow batch, unless the session says otherwise: what a task holds of its input on either side.
+BATCH_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which every executor sees; set only where it is unset (tests)."""
@@ -55,8 +58,10 @@ class Scratch:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, so that Python workers can import it wherever they run."""
+    """Send this package's sources to the executors, so that Python workers can import it wherever they run, and bound Arrow batches."""
     sc = spark.sparkContext
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_locusmill_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
