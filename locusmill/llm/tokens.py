@@ -14,8 +14,8 @@ import os
 import numpy as np
 import regex
 
-#: Pieces and pretokens that a worker remembers, and the longest that it remembers; later ones are encoded each time.
-CACHE_PIECES, CACHE_LENGTH = 800_000, 48
+#: Pieces and pretokens together that a worker remembers (some 130 MB), and the longest that it remembers; later ones are encoded each time.
+CACHE_PIECES, CACHE_LENGTH = 600_000, 48
 
 _PLAIN = regex.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,13 +55,26 @@ class _Pieces(dict):
                 parts = [body.lower()] if body.isalpha() else self.cut(text)
             else:
                 parts = [text] if body.isalpha() and text[0] != "\n" else self.cut(text)
-            ids = b"".join([self.parts.get(p) or self.part(p) for p in parts])
+            ids = self.part(parts[0]) if len(parts) == 1 else b"".join([self.remembered(p) for p in parts])
         elif any(c.isspace() or c < " " for c in text[1:]):
             raise _Odd
         else:
             ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CACHE_PIECES and len(key) <= CACHE_LENGTH:
-            self[key] = ids
+        self.remember(self, key, ids)
+        return ids
+
+    def remember(self, where: dict, key: str, ids: bytes) -> None:
+        if len(self) + len(self.parts) < CACHE_PIECES and len(key) <= CACHE_LENGTH:
+            where[key] = ids
+
+    def remembered(self, pretoken: str) -> bytes:
+        """Ids of one of a piece's pretokens.  A word with its space is a piece by itself and kept as such."""
+        word = pretoken if self.lower else pretoken[1:]
+        where, key = (self, word) if word.isalpha() and (self.lower or pretoken[0] == " ") else (self.parts, pretoken)
+        ids = where.get(key)
+        if ids is None:
+            ids = self.part(pretoken)
+            self.remember(where, key, ids)
         return ids
 
     def part(self, pretoken: str) -> bytes:
@@ -69,10 +82,7 @@ class _Pieces(dict):
             shown = pretoken.replace(" ", self.names[32]).replace("\n", self.names[10])
         else:
             shown = "".join([self.names[b] for b in pretoken.encode()])
-        ids = b"".join([self.bytes[t.id] for t in self.bpe.tokenize(shown)])
-        if len(self.parts) < CACHE_PIECES and len(pretoken) <= CACHE_LENGTH:
-            self.parts[pretoken] = ids
-        return ids
+        return b"".join([self.bytes[t.id] for t in self.bpe.tokenize(shown)])
 
 
 class Encoder:
