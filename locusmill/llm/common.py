@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step of a Python operator handles at once; bounds the arrays it builds.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 #: Bytes of an Arrow batch, unless the session says otherwise: what a task holds of its input on either side.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -14,8 +14,8 @@ import os
 import numpy as np
 import regex
 
-#: Pieces and pretokens together that a worker remembers (some 130 MB), and the longest that it remembers; later ones are encoded each time.
-CACHE_PIECES, CACHE_LENGTH = 600_000, 48
+#: Pieces and pretokens together that a worker remembers (some 65 MB), and the longest that it remembers; later ones are encoded each time.
+CACHE_PIECES, CACHE_LENGTH = 300_000, 48
 
 _PLAIN = regex.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
