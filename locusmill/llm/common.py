@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import re
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +77,24 @@ def ship(spark: SparkSession) -> None:
     sc._locusmill_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system; an idle Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def releasing(run):
+    """The generator function run, with release() at its end."""
+
+    def each(batches):
+        yield from run(batches)
+        release()
+
+    return each
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose texts hold at most `limit` characters (or one text)."""
     begin = total = 0

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, ship, shingles, slices, word_hashes
+from .common import hashed_words, mix, release, ship, shingles, slices, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 RADIUS = 24
@@ -171,6 +171,7 @@ def hits(spark: SparkSession, index: Index) -> Column:
         for lo, hi in slices(texts):
             every, counts = hashed_words(texts[lo:hi])
             out += [[{"item_id": i, "word": w, "similarity": s} for i, w, s in own.match(words)] for words in np.split(every, np.cumsum(counts)[:-1])]
+        release()
         return pd.Series(out, dtype=object)
 
     return run(F.col("text").cast("string"))

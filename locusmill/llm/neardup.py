@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, hashed_words, mix, ship, shingles, slices, word_hashes
+from .common import Scratch, hashed_words, mix, releasing, ship, shingles, slices, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -104,7 +104,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     schema=_SIGNED,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED_SPARK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), _SIGNED_SPARK)
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -157,8 +157,8 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             p = p.join(nodes.select(F.col("digest").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return p
 
-    close = beside(pairs, "sig").mapInArrow(near, "a binary, b binary")
-    return beside(close, "shingles", "weights").mapInArrow(exact, "a binary, b binary")
+    close = beside(pairs, "sig").mapInArrow(releasing(near), "a binary, b binary")
+    return beside(close, "shingles", "weights").mapInArrow(releasing(exact), "a binary, b binary")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, ship, slices
+from .common import Scratch, releasing, ship, slices
 from .tokens import encoder
 
 LIMIT, END_ID = 2048, 1
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = EN
 
     SCHEMA = pa.schema([("uid", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(releasing(run), PIECES)
 
 
 def patterns(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, tuple[int, ...]]]:

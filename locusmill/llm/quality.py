@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import release, releasing, ship, slices
 from .textstats import statistics
 
 LABELLED, POOL = 6000, 6000
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 b = metadata_view(g["lang"], g["source"], g["n_chars"])
                 yield pd.DataFrame({"doc_id": g["doc_id"], "y": g["y"], "a": list(a), "b": list(b)})
 
-    got = rows.mapInPandas(run, "doc_id long, y int, a array<double>, b array<double>").orderBy("doc_id", F.hash("a")).limit(2 * (LABELLED + POOL)).toPandas()
+    got = rows.mapInPandas(releasing(run), "doc_id long, y int, a array<double>, b array<double>").orderBy("doc_id", F.hash("a")).limit(2 * (LABELLED + POOL)).toPandas()
     if got.empty:
         return None
     a, b, y = np.stack(got["a"]), np.stack(got["b"]), got["y"].to_numpy()
@@ -208,6 +208,7 @@ def scored(model: Model | None) -> Column:
         for lo, hi in slices(texts):
             b = metadata_view(lang.iloc[lo:hi], source.iloc[lo:hi], n_chars.iloc[lo:hi])
             out.append(np.stack(model.score(content_view(texts[lo:hi]), b), 1))
+        release()
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["content", "metadata", "score"])
 
     return run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"))
