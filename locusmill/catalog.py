@@ -275,6 +275,18 @@ def mesh_coverage(spark, sf):
     return stats.interpolated(p, ["people", "cells"], ["station"])
 
 
+@query()
+def mesh_coverage_all(spark, sf):
+    """mesh_coverage with every part as a mesh cell.  Sums of hundredths are exact, so halves round alike in any order."""
+    cells = d.venues(spark, sf).select("id", "lat", "lng")
+    p = spatial.cell_pairs(d.stations(spark, sf), cells, 2000 + 1500).repartition("station", "id")
+    at = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumns({"i": F.floor(F.col("k") / 10), "j": F.col("k") % 10})
+    near = geo.haversine(F.col("few_lat"), F.col("few_lng"), F.col("lat") + (F.col("i") + 0.5) * 0.01 / 10, F.col("lng") + (F.col("j") + 0.5) * 0.0125 / 10) <= 2000
+    c = at.where(near).groupBy("station", "id").agg((F.count("*") / 100).cast("decimal(3,2)").alias("coverage"))
+    c = c.withColumn("people", F.col("id") % 97).withColumn("cells", 1 / F.col("coverage").cast("double"))
+    return stats.interpolated(c, ["people", "cells"], ["station"])
+
+
 @query("SELECT event_id, coalesce(TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE), 0) AS k, coalesce(TRY_CAST(trim(CASE event_id % 4 WHEN 0 THEN '*' WHEN 1 THEN '1,234' WHEN 2 THEN ' 12 ' ELSE '-' END) AS DOUBLE), 0) AS loose FROM events")
 def lenient_number(spark, sf):
     e = F.col("event_id") % 4
