@@ -5,11 +5,13 @@ Within a host the occurrence vector of a token says how often each page holds it
 exclusive or of hashes of (page, count), which sums up page by page in any order.  Tokens of one host with one fingerprint are an equivalence
 class; a class is valid if it holds at least CLASS tokens and covers at least SUPPORT pages and SHARE of the host's pages.  The root class is
 the one on most pages; a class is nested in it if its tokens' paths lie within a path of the root's.  Valid nested classes are the host's
-template.  Text that is itself a template token is boilerplate; what remains are the slots, each named by its tag path.
+template.  Text that is itself a template token is boilerplate, inside an article as elsewhere; what remains are the slots, each
+named by its tag path.
 
 A slot is read as content unless its path runs through furniture: navigation, header, footer, aside, form, script, style,
 or an element whose class, id or role says advert, notice, menu, comments and the like.  Pages with an article (or main)
-element keep only the slots in it; the rest keep all others that are not mostly links.
+element keep only the slots in it, or its whole text if the template covers all of it (a copied article); the rest keep all others
+that are not mostly links.
 
 A null html is empty and gives an empty text, a null url one host of its own; a host with few pages has no template and
 is read by paths alone.  Repeated rows are pages of their own; an empty table gives no rows; other columns are ignored."""
@@ -142,6 +144,7 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     blocks: list[tuple[str, str, int]] = []  # text, place, characters in links
     run: list[str] = []
     linked, where = 0, ""
+    covered = set()  # places with text of the template
 
     def close() -> None:
         nonlocal linked
@@ -158,7 +161,8 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
             if place != where:
                 close()
                 where = place
-            if template and not place and _text_key(path, text.strip()) in template:
+            if template and _text_key(path, text.strip()) in template:
+                covered.add(place)
                 continue
             run.append(text)
             linked += len(text.strip()) if link else 0
@@ -169,6 +173,8 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
         found = [t for t, p, _ in blocks if p == best]
         if found:
             return " ".join(found)
+        if best in covered:
+            return extract(page)
     return " ".join(t for t, _, n in blocks if n * 2 <= len(t))
 
 

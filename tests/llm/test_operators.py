@@ -176,6 +176,17 @@ def test_main_text(spark):
     assert got.count((0, "A & B one two x y")) == 1 and (7, "") in got and (8, "plain 5 < 6") in got and len(got) == 9
 
 
+@pytest.mark.parametrize("place", ["article", "main"])
+def test_unmarked_boilerplate_in_an_article(spark, place):
+    """Same-host notices without a mark or furniture tag go; what only some pages hold, and a copied article, stay."""
+    own = [f"{prose(30)} own{i}" for i in range(12)]
+    rows = [(i, f"http://h.com/{i}", f"<html><body><div><{place}><h1>Title {i}</h1><p>Subscribe to our letter</p><p>{t}</p>{'<p>Seldom said</p>' if i < 3 else ''}<div>Share this story</div></{place}></div></body></html>") for i, t in enumerate(own)]
+    rows += [(20 + i, f"http://copy.org/{i}", f"<html><body><{place}><h1>Same</h1><p>{own[0]}</p></{place}><div>Visit {i}</div></body></html>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.query(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [f"Title {i} {t}" + " Seldom said" * (i < 3) for i, t in enumerate(own)]
+    assert {got[20 + i] for i in range(6)} == {f"Same {own[0]}"}
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, None, None), (None, 0, "user", "z")]
     t = chat.transcripts(chat.query(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
