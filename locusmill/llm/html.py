@@ -10,8 +10,8 @@ named by its tag path.
 
 A slot is read as content unless its path runs through furniture: navigation, header, footer, aside, form, script, style,
 or an element whose class, id or role says advert, notice, menu, comments and the like.  Pages with an article (or main)
-element keep only the slots in it, or its whole text if the template covers all of it (a copied article); the rest keep all others
-that are not mostly links.
+element keep only the slots in it, or its whole text if the template covers all of it (a copied article); the rest keep all others,
+linked or not.
 
 A null html is empty and gives an empty text, a null url one host of its own; a host with few pages has no template and
 is read by paths alone.  Repeated rows are pages of their own; an empty table gives no rows; other columns are ignored."""
@@ -60,9 +60,9 @@ def _label(name: str, attributes: str) -> tuple[str, bool]:
 
 
 def nodes(page: str):
-    """(kind, path, text, furniture, place, link) of a page in order: kind "tag" for an opening tag (text is its name), "end" for one
+    """(kind, path, text, furniture, place) of a page in order: kind "tag" for an opening tag (text is its name), "end" for one
     that ends a block, "text" for a text node.  place: "article", "main" or "".  Unclosed and stray tags are tolerated."""
-    stack: list[tuple[str, str, bool, str, bool]] = [("", "", False, "", False)]  # name, path, furniture, place, link
+    stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]  # name, path, furniture, place
     at, n = 0, len(page)
     while at < n:
         stop, m = page.find("<", at), None
@@ -71,14 +71,14 @@ def nodes(page: str):
         stop = n if stop < 0 else stop
         if stop > at:
             top = stack[-1]
-            yield "text", top[1], page[at:stop], top[2], top[3], top[4]
+            yield "text", top[1], page[at:stop], top[2], top[3]
         if not m:
             return
         at = max(m.end(), at + 1)
         if not m[2]:
             if m[0].startswith("<![CDATA["):
                 top = stack[-1]
-                yield "text", top[1], entities.escape(m[0][9:].removesuffix("]]>")), top[2], top[3], top[4]
+                yield "text", top[1], entities.escape(m[0][9:].removesuffix("]]>")), top[2], top[3]
             continue
         name = m[2].lower()
         if m[1]:
@@ -87,7 +87,7 @@ def nodes(page: str):
                     del stack[k:]
                     break
             if name not in INLINE:
-                yield "end", stack[-1][1], name, False, "", False
+                yield "end", stack[-1][1], name, False, ""
             continue
         closes = _CLOSES.get(name, set()) | ({"p"} if name in _CLOSE_P else set())
         while closes and len(stack) > 1:
@@ -99,17 +99,17 @@ def nodes(page: str):
                 break
             del stack[k:]
         label, own = _label(name, m[3])
-        _, path, furniture, place, link = stack[-1]
+        _, path, furniture, place = stack[-1]
         place = name if name in ("article", "main") and place != "article" else place
-        top = (name, f"{path}/{label}", furniture or own, place, link or name == "a")
-        yield "tag", top[1], name, top[2], top[3], top[4]
+        top = (name, f"{path}/{label}", furniture or own, place)
+        yield "tag", top[1], name, top[2], top[3]
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             if name in ("title", "textarea") and end.start() > at:
-                yield "text", top[1], page[at : end.start()], True, top[3], top[4]
+                yield "text", top[1], page[at : end.start()], True, top[3]
             close = page.find(">", end.start())
             at = n if close < 0 else close + 1
-            yield "end", path, name, False, "", False
+            yield "end", path, name, False, ""
         elif name not in VOID and not m[0].endswith("/>"):
             stack.append(top)
 
@@ -131,7 +131,7 @@ def _plain(text: str) -> str:
 def page_tokens(page: str | None) -> Counter:
     """token -> occurrences, a token being (key, kind, path)."""
     tokens = []
-    for kind, path, text, _, _, _ in nodes(page or ""):
+    for kind, path, text, _, _ in nodes(page or ""):
         if kind == "tag":
             tokens.append(_tag_key(path))
         elif kind == "text" and (t := text.strip()):
@@ -141,20 +141,18 @@ def page_tokens(page: str | None) -> Counter:
 
 def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text: blocks in page order, joined by one space."""
-    blocks: list[tuple[str, str, int]] = []  # text, place, characters in links
+    blocks: list[tuple[str, str]] = []  # text, place
     run: list[str] = []
-    linked, where = 0, ""
+    where = ""
     covered = set()  # places with text of the template
 
     def close() -> None:
-        nonlocal linked
         text = _plain("".join(run))
         if text:
-            blocks.append((text, where, linked))
+            blocks.append((text, where))
         run.clear()
-        linked = 0
 
-    for kind, path, text, furniture, place, link in nodes(page or ""):
+    for kind, path, text, furniture, place in nodes(page or ""):
         if kind == "text":
             if furniture:
                 continue
@@ -165,17 +163,16 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
                 covered.add(place)
                 continue
             run.append(text)
-            linked += len(text.strip()) if link else 0
         elif text not in INLINE or furniture:
             close()
     close()
     for best in ("article", "main"):
-        found = [t for t, p, _ in blocks if p == best]
+        found = [t for t, p in blocks if p == best]
         if found:
             return " ".join(found)
         if best in covered:
             return extract(page)
-    return " ".join(t for t, _, n in blocks if n * 2 <= len(t))
+    return " ".join(t for t, _ in blocks)
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:

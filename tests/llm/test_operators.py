@@ -187,6 +187,11 @@ def test_unmarked_boilerplate_in_an_article(spark, place):
     assert {got[20 + i] for i in range(6)} == {f"Same {own[0]}"}
 
 
+def test_linked_blocks_outside_an_article_stay():
+    page = '<body><nav><a href=x>m</a></nav><h2><a href=1>Linked headline</a></h2><p>See <a href=2>a paragraph that is mostly one link</a>.</p><p>end</p></body>'
+    assert html.extract(page) == "Linked headline See a paragraph that is mostly one link. end"
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, None, None), (None, 0, "user", "z")]
     t = chat.transcripts(chat.query(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
