@@ -1,12 +1,14 @@
 """Quality classifier by co-training.
 
 Two logistic models see a document from two sides: its text (shares of letters, marks, repeats, ...) and its page's
-metadata (lang, source, n_chars, hashed).  Both start from the labelled sample.  In each round each model labels the part of an unlabelled
-pool of which it is surest, and the other learns from that.  Each is then calibrated on held-out labels, as is the sum of both
+metadata (lang, source, n_chars, hashed).  Both start from the labelled sample.  In each round each model labels the part of all unlabelled
+documents of which it is surest, and the other learns from that.  Each is then calibrated on held-out labels, as is the sum of both
 calibrated log-odds; that score judges every document.
 
-Training reads a bounded sample: LABELLED labelled and POOL unlabelled documents, those with the least hash of doc_id.  Scoring
-reads everything.  Documents are rejected when the score is below THRESHOLD.
+The labelled sample is bounded: the LABELLED documents with the least hash of doc_id.  The features of all documents are written once.
+A round is a pass that counts the log-odds of the unlabelled ones in histograms, whose cut-offs select the surest, and one pass for each
+Newton step, which sums gradient and Hessian over all documents selected so far; together these weigh at most half as much as the
+labelled ones.  Documents are rejected when the score is below THRESHOLD.
 
 Nulls: a null text is empty, null metadata is a value of its own, labels without doc_id or quality are ignored; of a document's
 several labels the least counts.  With no labels, or of one kind only, the score is 1.0 and nothing is rejected.  Repeated
@@ -18,19 +20,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, releasing, ship, slices
+from .common import Scratch, release, releasing, ship, slices
 from .textstats import statistics
 
-LABELLED, POOL = 6000, 6000
+LABELLED = 6000
 ROUNDS, CONFIDENT, SHARE = 3, 0.95, 0.1
 THRESHOLD = 0.5
 RIDGE = 1.0
 #: Columns of the hashed metadata.
 HASHED = 64
+#: Columns of the content view, which come first in a row of features.
+CONTENT = 15
+#: Bins of a histogram for each unit of log-odds, which are clipped to 30.
+BINS = 64
 
 
 def content_view(texts: list[str | None]) -> np.ndarray:
@@ -71,21 +78,35 @@ def metadata_view(lang, source, n_chars) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Weights (the last is the intercept) by damped Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the log-likelihood at w, the last column of x being ones."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (y - p)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def fit_logistic(own: list[tuple], ridge: float = RIDGE, start: list[np.ndarray] | None = None, more=None) -> list[np.ndarray]:
+    """Weights (the last is the intercept) for each (x, y, weight) by damped Newton steps.  more(weights) gives gradient and Hessian
+    of further rows for each."""
+    own = [(_ones(x), y, weight) for x, y, weight in own]
+    ws = [w.copy() for w in start] if start else [np.zeros(x.shape[1]) for x, _, _ in own]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - penalty * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, gradient)
-        w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        far, largest = more(ws) if more else None, 0.0
+        for k, (x, y, weight) in enumerate(own):
+            gradient, hessian = _sums(x, y, weight, ws[k])
+            if far:
+                gradient, hessian = gradient + far[k][0], hessian + far[k][1]
+            penalty = np.full(x.shape[1], ridge)
+            penalty[-1] = 1e-6
+            step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * ws[k])
+            ws[k] = ws[k] + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+            largest = max(largest, np.abs(step).max())
+        if largest < 1e-6:
             break
-    return w
+    return ws
 
 
 @dataclass
@@ -96,9 +117,11 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.sd, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.sd, -8, 8)
-        return np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)
+        return np.clip(self.scaled(x) @ self.weights[:-1] + self.weights[-1], -30, 30)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.raw(x) + self.shift
@@ -109,6 +132,9 @@ class Model:
     content: View
     metadata: View
     combine: np.ndarray
+    #: Unlabelled rows that took part, and rows given to each view.
+    offered: int = 0
+    given: tuple[int, int] = (0, 0)
 
     def score(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.content.logit(content), self.metadata.logit(metadata)
@@ -116,49 +142,121 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (a, b, both))
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray]) -> Model:
-    """views, pool: [content, metadata] of labelled and unlabelled rows; held: the labelled rows kept for calibration."""
-    own = [(v[~held], y[~held].astype(float), np.ones((~held).sum())) for v in views]
-    given: list[tuple] = [(np.zeros((0, v.shape[1])), np.zeros(0), np.zeros(0)) for v in views]
-    free = np.ones(len(pool[0]), bool)
-    scale = [(v.mean(0), np.maximum(v.std(0), 1e-3)) for v in views]
+def _sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[:, :CONTENT], x[:, CONTENT:]
 
-    def train() -> list[View]:
-        out = []
-        for k in range(2):
-            x, t, w = (np.concatenate([own[k][i], given[k][i]]) for i in range(3))
-            mean, sd = scale[k]
-            out.append(View(mean, sd, fit_logistic(np.clip((x - mean) / sd, -8, 8), t, w)))
-        return out
-
-    prior = y[~held].mean()
-    models = train()
-    for _ in range(ROUNDS):
-        taken = np.zeros(len(free), bool)
+
+def _given(history: list[tuple], x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows are still free after the rounds of history, and the label that each view was given (-1: none).  A round is its views
+    and, for each view and label, the bin of its cut-off and the share of that bin's rows that is taken, by u."""
+    free, labels, parts = np.ones(len(x), bool), [np.full(len(x), -1) for _ in range(2)], _sides(x)
+    for views, cuts in history:
+        taken = np.zeros(len(x), bool)
         for k in range(2):
-            rows = np.flatnonzero(free)
-            if not len(rows):
-                break
-            p = 1 / (1 + np.exp(-models[k].raw(pool[k][rows])))
-            most = int(len(free) * SHARE)
-            sure = []
-            for label, conf, part in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):
-                best = np.argsort(-conf, kind="stable")[: max(1, int(most * part))]
-                sure += [(rows[i], label) for i in best if conf[i] >= CONFIDENT]
-            if sure:
-                at, labels = np.array([i for i, _ in sure]), np.array([t for _, t in sure])
-                other = 1 - k
-                given[other] = tuple(np.concatenate([a, b]) for a, b in zip(given[other], (pool[other][at], labels, np.full(len(at), 0.5))))
-                taken[at] = True
+            bins, label = _bins(views[k].raw(parts[k]))
+            for t in (0, 1):
+                at, share = cuts[k][t]
+                hit = free & (label == t) & ((bins > at) | ((bins == at) & (u < share)))
+                labels[1 - k][hit] = t
+                taken |= hit
         free &= ~taken
-        if not taken.any():
+    return free, labels
+
+
+def _bins(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each row's log-odds, and the label that they are sure of (-1: none)."""
+    return (np.abs(raw) * BINS).astype(int), np.where(np.abs(raw) >= np.log(CONFIDENT / (1 - CONFIDENT)), (raw > 0).astype(int), -1)
+
+
+def _totals(pool: DataFrame, size: int, add) -> np.ndarray:
+    """The sum of add(x, u), a vector of `size`, over the batches of the pool."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for lo in range(0, len(x), 4096):
+                    total += add(x[lo : lo + 4096], b.column(1).to_numpy()[lo : lo + 4096])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["i", "v"])
+
+    found = pool.select("x", "u").mapInArrow(releasing(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    for r in found:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _cut(counts: np.ndarray, quota: int) -> tuple[int, float]:
+    """The bin in which the quota is reached from above, and the share of its rows that fills it; all sure rows if they are fewer."""
+    above = 0
+    for at in np.flatnonzero(counts)[::-1]:
+        if above + counts[at] >= quota:
+            return int(at), float((quota - above) / counts[at])
+        above += counts[at]
+    return -1, 1.0
+
+
+def cotrain(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame) -> Model:
+    """x: the features of labelled rows; held: those kept for calibration; pool: x and u of all unlabelled rows."""
+    views = _sides(x)
+    own = [((v - v.mean(0)) / np.maximum(v.std(0), 1e-3), v.mean(0), np.maximum(v.std(0), 1e-3)) for v in views]
+    base = [(np.clip(z[~held], -8, 8), y[~held].astype(float), np.ones((~held).sum())) for z, _, _ in own]
+    prior, n = y[~held].mean(), pool.count()
+
+    def models(ws: list[np.ndarray]) -> list[View]:
+        return [View(mean, sd, w) for (_, mean, sd), w in zip(own, ws)]
+
+    ws, history, given = fit_logistic(base), [], (0, 0)
+    top, dims = 30 * BINS + 1, [v.shape[1] + 1 for v in views]
+    for _ in range(ROUNDS if n else 0):
+        now = models(ws)
+
+        def histogram(x, u, now=now, done=tuple(history)):
+            free, _ = _given(done, x, u)
+            out = np.zeros((2, 2, top))
+            for k, part in enumerate(_sides(x)):
+                bins, label = _bins(now[k].raw(part))
+                for t in (0, 1):
+                    out[k, t] = np.bincount(bins[free & (label == t)], minlength=top)
+            return out.ravel()
+
+        counts = _totals(pool, 4 * top, histogram).reshape(2, 2, top)
+        if not counts.any():
             break
-        models = train()
-    for k, m in enumerate(models):
-        w = fit_logistic(m.raw(views[k][held])[:, None], y[held].astype(float), np.ones(held.sum()), 1e-2)
+        most = int(n * SHARE)
+        history.append((now, [[_cut(counts[k, t], max(1, int(most * part))) for t, part in ((0, 1 - prior), (1, prior))] for k in range(2)]))
+
+        def more(ws, done=tuple(history)):
+            nonlocal given
+
+            def gather(x, u):
+                _, labels = _given(done, x, u)
+                out = []
+                for k, part in enumerate(_sides(x)):
+                    rows = labels[k] >= 0
+                    g, h = _sums(_ones(done[0][0][k].scaled(part[rows])), labels[k][rows].astype(float), np.ones(rows.sum()), ws[k])
+                    out += [np.array([rows.sum()]), g, h.ravel()]
+                return np.concatenate(out)
+
+            total, at, out, given = _totals(pool, sum(1 + d + d * d for d in dims), gather), 0, [], ()
+            for k, d in enumerate(dims):
+                count, g, h = total[at], total[at + 1 : at + 1 + d], total[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+                weight = 0.5 * min(1.0, len(base[k][1]) / max(count, 1.0))
+                out.append((weight * g, weight * h))
+                given += (int(count),)
+                at += 1 + d + d * d
+            return out
+
+        ws = fit_logistic(base, start=ws, more=more)
+    found = models(ws)
+    t = (y[held].astype(float), np.ones(held.sum()))
+    for k, m in enumerate(found):
+        (w,) = fit_logistic([(m.raw(views[k][held])[:, None], *t)], 1e-2)
         m.slope, m.shift = max(float(w[0]), 0.0), float(w[1])
-    both = np.stack([m.logit(views[k][held]) for k, m in enumerate(models)], 1)
-    return Model(models[0], models[1], fit_logistic(both, y[held].astype(float), np.ones(held.sum()), 1e-2))
+    both = np.stack([m.logit(views[k][held]) for k, m in enumerate(found)], 1)
+    return Model(found[0], found[1], fit_logistic([(both, *t)], 1e-2)[0], n, given)
 
 
 def _least(rows: DataFrame, n: int) -> DataFrame:
@@ -166,34 +264,36 @@ def _least(rows: DataFrame, n: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the bounded sample; None if the labels are of one kind or none."""
+    """Fit on the labelled sample and all unlabelled documents; None if the labels are of one kind or none."""
     ship(docs.sparkSession)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    chosen = _least(ids.join(marks, "doc_id"), LABELLED).select("doc_id", (F.col("quality") > 0).cast("int").alias("y"))
-    chosen = chosen.unionByName(_least(ids.join(marks, "doc_id", "left_anti"), POOL).withColumn("y", F.lit(-1)))
-    # At most LABELLED + POOL rows of two numbers: a bound that lets them be broadcast.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string") for c in ("text", "lang", "source")], F.col("n_chars").cast("double")).join(F.broadcast(chosen), "doc_id")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("y"))
+    # doc_id goes through pandas as a string: a null among numbers would round them.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *[F.col(c).cast("string") for c in ("text", "lang", "source")], F.col("n_chars").cast("double"))
 
     def run(frames):
         for f in frames:
             texts = f["text"].tolist()
             for lo, hi in slices(texts):
                 g = f.iloc[lo:hi]
-                a = content_view(texts[lo:hi])
-                b = metadata_view(g["lang"], g["source"], g["n_chars"])
-                yield pd.DataFrame({"doc_id": g["doc_id"], "y": g["y"], "a": list(a), "b": list(b)})
-
-    got = rows.mapInPandas(releasing(run), "doc_id long, y int, a array<double>, b array<double>").orderBy("doc_id", F.hash("a")).limit(2 * (LABELLED + POOL)).toPandas()
-    if got.empty:
-        return None
-    a, b, y = np.stack(got["a"]), np.stack(got["b"]), got["y"].to_numpy()
-    known = y >= 0
-    held = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed=7) % 4 == 0 for i in got["doc_id"][known]], bool)
-    t = y[known]
-    if any(len(set(t[m].tolist())) < 2 for m in (held, ~held)):
-        return None
-    return cotrain([a[known], b[known]], t, held, [a[~known], b[~known]])
+                x = np.hstack([content_view(texts[lo:hi]), metadata_view(g["lang"], g["source"], g["n_chars"])])
+                yield pd.DataFrame({"doc_id": g["doc_id"], "x": list(x)})
+
+    scratch = Scratch(docs.sparkSession, "quality")
+    features = rows.mapInPandas(releasing(run), "doc_id string, x array<double>").withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
+    # u orders rows of one bin, whatever the order of rows in the table.
+    features = scratch.table(features.withColumn("u", F.pmod(F.xxhash64("x", "doc_id"), F.lit(1 << 30)) / (1 << 30)), "features")
+    known = features.where(F.col("y").isNotNull())
+    # At most LABELLED numbers: a bound that lets them be broadcast.
+    chosen = _least(known.select("doc_id").distinct(), LABELLED)
+    got = known.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.hash("x")).limit(4 * LABELLED).toPandas()
+    model = None
+    if not got.empty:
+        x, y = np.stack(got["x"]), got["y"].to_numpy().astype(int)
+        held = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed=7) % 4 == 0 for i in got["doc_id"]], bool)
+        if all(len(set(y[m].tolist())) == 2 for m in (held, ~held)):
+            model = cotrain(x, y, held, features.where(F.col("y").isNull()))
+    scratch.drop()
+    return model
 
 
 def scored(model: Model | None) -> Column:

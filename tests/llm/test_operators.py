@@ -244,6 +244,19 @@ def test_quality_held_out(spark):
     assert all(r["kept"] for r in quality.query(spark, docs, labels.limit(0)).collect())
 
 
+def test_all_unlabelled_documents_train(spark):
+    """More unlabelled documents than any pool: all are offered, and the sums over tasks give the fit of rows held at once."""
+    rows = [(i, " ".join(RNG.choice(WORDS[:50], 8)) + (" !!! ### A" if i % 3 == 0 else ""), "en", f"s{i % 3}", 500) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.offered == 7600 and min(model.given) > 700
+    x, y = RNG.normal(size=(300, 3)), (RNG.random(300) < 0.4).astype(float)
+    (whole,) = quality.fit_logistic([(x, y, np.ones(300))])
+    (parts,) = quality.fit_logistic([(x[:100], y[:100], np.ones(100))], more=lambda ws: [quality._sums(quality._ones(x[100:]), y[100:], np.ones(200), ws[0])])
+    assert np.allclose(whole, parts)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bpe, words = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("word_bpe_49k.json")
