@@ -23,7 +23,7 @@ from .common import ship
 #: (rule, verdict): the fixed rules.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Globs over host and path that block where no rule fits; everything else is allowed.
-GLOBS = ("*cheap*pills*/*", "*spam*farm*/*", "*free*bets*/*", "*adult*/*", "*casino*/*", "*/wp-login.php*", "*.exe")
+GLOBS = ("*cheap*pills*/*", "*spam*farm*/*", "*free*bets*/*", "*adult*/*", "*casino*/*", "*/wp-login.php*", "*/*/wp-login.php*", "*.exe")
 
 SEP = 0xFF
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)

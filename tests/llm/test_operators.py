@@ -207,6 +207,12 @@ def test_urls(spark):
     assert got[6][2:] == ("net/es/", "block") and got[7][2:] == (None, "allow") and got[8][2:] == (None, "block") and got[9][2:] == ("com/", "allow")
 
 
+def test_glob_anywhere_in_the_path(spark):
+    cases = [(1, "https://a.org/blog/wp-login.php"), (2, "https://a.org/wp-login.php"), (3, "https://a.org/x/y/wp-login.php?a"), (4, "https://a.org/blog/wp-login"), (5, "https://a.org/awp-login.php")]
+    got = {r["page_id"]: r["verdict"] for r in urls.query(spark, spark.createDataFrame(cases, "page_id long, url string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_decontamination(spark, docs):
     words = BASE.split()
     items = [(1, " ".join(words[10:50])), (2, prose(30)), (3, ""), (4, None), (5, "one"), (6, " ".join([*words[60:80], "new", *words[81:110]]))]
