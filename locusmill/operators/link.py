@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
+from ..scratch import Scratch
+from . import components as stars
 
 
 def near_pairs(rows: DataFrame, limit: float = 50.0, cell: float = 0.0005, unresolved: str = "unresolved") -> DataFrame:
@@ -25,31 +25,9 @@ def near_pairs(rows: DataFrame, limit: float = 50.0, cell: float = 0.0005, unres
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """row_id, component (its least row_id).  Labels spread to neighbours and jump along labels; each round is written to the shared
-    checkpoint folder, so a lost executor costs no earlier round."""
-    spark = edges.sparkSession
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file:///tmp/checkpoints/locusmill"
-    root = f"{root}/components-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("row_id")).agg(F.min("b").alias("m")).select("row_id", F.least("row_id", "m").alias("comp")), "0")
-    for k in range(1, 200):
-        seen = both.join(labels.select(F.col("row_id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("row_id")).agg(F.min("comp").alias("seen"))
-        jump = labels.select(F.col("row_id").alias("comp"), F.col("comp").alias("jump"))
-        new = written(labels.join(seen, "row_id").join(jump, "comp").select("row_id", "comp", F.least("comp", "seen", "jump").alias("new")), str(k))
-        labels = new.select("row_id", F.col("new").alias("comp"))
-        if new.where("new != comp").isEmpty():
-            break
-    return nodes.select("row_id").join(labels, "row_id", "left").select("row_id", F.coalesce("comp", "row_id").alias("component"))
+    """row_id, component (its least row_id) for every node."""
+    labels = stars.components(edges, Scratch(edges.sparkSession, "components"))
+    return nodes.select("row_id").join(labels.select(F.col("node").alias("row_id"), "comp"), "row_id", "left").select("row_id", F.coalesce("comp", "row_id").alias("component"))
 
 
 def representatives(rows: DataFrame, unresolved: str = "unresolved") -> DataFrame:
