@@ -264,20 +264,11 @@ def mesh_bounds(spark, sf):
     return m.select("id", "code", F.round("b.lat", 9).alias("lat"), F.round("b.lng", 9).alias("lng"))
 
 
-@query(f"""WITH {V}, {S}, cells AS (SELECT id, lat, lng FROM venues WHERE id % 20 = 0), g AS (SELECT i, j FROM range(10) a(i), range(10) b(j)),
-c AS (SELECT s.station, id, count(*) / 100e0 AS cov FROM stations s, cells, g WHERE {H('s.lat', 's.lng', 'cells.lat + (i + 0.5e0)*0.01e0/10', 'cells.lng + (j + 0.5e0)*0.0125e0/10')} <= 2000 GROUP BY 1, 2)
-SELECT station, CAST(round(sum(cov * (id % 97))) AS BIGINT) AS people, count(*) AS cells FROM c GROUP BY 1""")
+@query(f"""WITH {V}, {S}, g AS (SELECT i, j FROM range(10) a(i), range(10) b(j)),
+c AS (SELECT s.station, v.id, count(*) AS hundredths FROM stations s, venues v, g WHERE {H('s.lat', 's.lng', 'v.lat + (i + 0.5e0)*0.01e0/10', 'v.lng + (j + 0.5e0)*0.0125e0/10')} <= 2000 GROUP BY 1, 2)
+SELECT station, CAST(sum(hundredths * (id % 97)) + 50 AS BIGINT) // 100 AS people, count(*) AS cells FROM c GROUP BY 1""")
 def mesh_coverage(spark, sf):
-    cells = d.venues(spark, sf).where("id % 20 = 0").select("id", "lat", "lng")  # parts as mesh cells: every twentieth is one
-    p = spatial.cell_pairs(d.stations(spark, sf), cells, 2000 + 1500)
-    cov = geo.coverage(F.col("lat"), F.col("lng"), F.lit(0.01), F.lit(0.0125), F.col("few_lat"), F.col("few_lng"), F.lit(2000.0))
-    p = p.withColumn("coverage", cov).where("coverage > 0").withColumn("people", F.col("id") % 97).withColumn("cells", 1 / F.col("coverage"))
-    return stats.interpolated(p, ["people", "cells"], ["station"])
-
-
-@query()
-def mesh_coverage_all(spark, sf):
-    """mesh_coverage with every part as a mesh cell.  Sums of hundredths are exact, so halves round alike in any order."""
+    """Every part is a mesh cell.  Sums of hundredths are exact, so halves round alike in any order."""
     cells = d.venues(spark, sf).select("id", "lat", "lng")
     p = spatial.cell_pairs(d.stations(spark, sf), cells, 2000 + 1500).repartition("station", "id")
     at = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumns({"i": F.floor(F.col("k") / 10), "j": F.col("k") % 10})

@@ -55,5 +55,5 @@ def test_mesh_coverage_of_every_part(spark, duck):
         if hits.any():
             want.append((s, (int((hits * (parts % 97)).sum()) + 50) // 100, int((hits > 0).sum())))
     assert len(set(parts[parts % 20 != 0].tolist())) > 0 and sum(n for _, _, n in want) > 20
-    got = catalog.QUERIES["mesh_coverage_all"](spark, SF).select("station", "people", "cells").collect()
+    got = catalog.QUERIES["mesh_coverage"](spark, SF).select("station", "people", "cells").collect()
     assert sorted(map(tuple, got)) == sorted(want)
