@@ -1,80 +1,20 @@
-"""Shared plumbing: scratch tables on the shared folder, shipping code, batches of text, hashing."""
+"""Shared plumbing: batches of text, memory, hashing."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import os
 import re
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+
+from ..scratch import Scratch, beside, ship  # noqa: F401 - the operators take them from here
 
 #: Characters of text that one step of a Python operator handles at once; bounds the arrays it builds.
 SLICE_CHARS = 250_000
-#: Bytes of an Arrow batch, unless the session says otherwise: what a task holds of its input on either side.
-BATCH_BYTES = 4 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; set only where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file:///tmp/checkpoints/locusmill"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage.  They survive the loss of executors, as they lie in the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back."""
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, so that Python workers can import it wherever they run, and bound Arrow batches."""
-    sc = spark.sparkContext
-    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    if getattr(sc, "_locusmill_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="locusmill-"))  # the driver serves the file as long as it lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, f"locusmill-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
-            z.write(p, str(p.relative_to(top.parent)))
-    sc.addPyFile(target)
-    sc._locusmill_shipped = True
 
 
 def release() -> None:
