@@ -6,9 +6,10 @@ documents of which it is surest, and the other learns from that.  Each is then c
 calibrated log-odds; that score judges every document.
 
 The labelled sample is bounded: the LABELLED documents with the least hash of doc_id.  The features of all documents are written once.
-A round is a pass that counts the log-odds of the unlabelled ones in histograms, whose cut-offs select the surest, and one pass for each
-Newton step, which sums gradient and Hessian over all documents selected so far; together these weigh at most half as much as the
-labelled ones.  Documents are rejected when the score is below THRESHOLD.
+A round is a pass that counts the log-odds of the unlabelled ones in histograms, whose cut-offs select the surest, a pass that writes these
+with their new labels, and a pass over all written so far for each Newton step, which sums gradient and Hessian; together the selected weigh at most
+half as much as the labelled ones.  Newton's steps start from the round before and end below TOLERANCE, or after STEPS.  Scores come from the
+written features.  Documents are rejected when the score is below THRESHOLD.
 
 Nulls: a null text is empty, null metadata is a value of its own, labels without doc_id or quality are ignored; of a document's
 several labels the least counts.  With no labels, or of one kind only, the score is 1.0 and nothing is rejected.  Repeated
@@ -30,6 +31,8 @@ from .textstats import statistics
 
 LABELLED = 6000
 ROUNDS, CONFIDENT, SHARE = 3, 0.95, 0.1
+#: Newton steps of a round over the selected documents, and the change of weights that ends them.
+STEPS, TOLERANCE = 6, 1e-3
 THRESHOLD = 0.5
 RIDGE = 1.0
 #: Columns of the hashed metadata.
@@ -88,12 +91,12 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def fit_logistic(own: list[tuple], ridge: float = RIDGE, start: list[np.ndarray] | None = None, more=None) -> list[np.ndarray]:
+def fit_logistic(own: list[tuple], ridge: float = RIDGE, start: list[np.ndarray] | None = None, more=None, steps: int = 30, tolerance: float = 1e-6) -> list[np.ndarray]:
     """Weights (the last is the intercept) for each (x, y, weight) by damped Newton steps.  more(weights) gives gradient and Hessian
     of further rows for each."""
     own = [(_ones(x), y, weight) for x, y, weight in own]
     ws = [w.copy() for w in start] if start else [np.zeros(x.shape[1]) for x, _, _ in own]
-    for _ in range(30):
+    for _ in range(steps):
         far, largest = more(ws) if more else None, 0.0
         for k, (x, y, weight) in enumerate(own):
             gradient, hessian = _sums(x, y, weight, ws[k])
@@ -104,7 +107,7 @@ def fit_logistic(own: list[tuple], ridge: float = RIDGE, start: list[np.ndarray]
             step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * ws[k])
             ws[k] = ws[k] + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
             largest = max(largest, np.abs(step).max())
-        if largest < 1e-6:
+        if largest < tolerance:
             break
     return ws
 
@@ -168,20 +171,22 @@ def _bins(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.abs(raw) * BINS).astype(int), np.where(np.abs(raw) >= np.log(CONFIDENT / (1 - CONFIDENT)), (raw > 0).astype(int), -1)
 
 
-def _totals(pool: DataFrame, size: int, add) -> np.ndarray:
-    """The sum of add(x, u), a vector of `size`, over the batches of the pool."""
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _totals(rows: DataFrame, size: int, add) -> np.ndarray:
+    """The sum of add(batch), a vector of `size`, over the batches of rows."""
 
     def run(batches):
         total = np.zeros(size)
         for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                for lo in range(0, len(x), 4096):
-                    total += add(x[lo : lo + 4096], b.column(1).to_numpy()[lo : lo + 4096])
+            for lo in range(0, b.num_rows, 4096):
+                total += add(b.slice(lo, 4096))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["i", "v"])
 
-    found = pool.select("x", "u").mapInArrow(releasing(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    found = rows.mapInArrow(releasing(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # at most `size` rows
     out = np.zeros(size)
     for r in found:
         out[r["i"]] = r["v"]
@@ -198,8 +203,8 @@ def _cut(counts: np.ndarray, quota: int) -> tuple[int, float]:
     return -1, 1.0
 
 
-def cotrain(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame) -> Model:
-    """x: the features of labelled rows; held: those kept for calibration; pool: x and u of all unlabelled rows."""
+def cotrain(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame, scratch: Scratch) -> Model:
+    """x: the features of labelled rows; held: those kept for calibration; pool: x and u of all unlabelled rows, written."""
     views = _sides(x)
     own = [((v - v.mean(0)) / np.maximum(v.std(0), 1e-3), v.mean(0), np.maximum(v.std(0), 1e-3)) for v in views]
     base = [(np.clip(z[~held], -8, 8), y[~held].astype(float), np.ones((~held).sum())) for z, _, _ in own]
@@ -210,11 +215,13 @@ def cotrain(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame) ->
 
     ws, history, given = fit_logistic(base), [], (0, 0)
     top, dims = 30 * BINS + 1, [v.shape[1] + 1 for v in views]
-    for _ in range(ROUNDS if n else 0):
+    selected: DataFrame | None = None
+    for k in range(ROUNDS if n else 0):
         now = models(ws)
 
-        def histogram(x, u, now=now, done=tuple(history)):
-            free, _ = _given(done, x, u)
+        def histogram(b, now=now, done=tuple(history)):
+            x = _matrix(b)
+            free, _ = _given(done, x, b.column("u").to_numpy())
             out = np.zeros((2, 2, top))
             for k, part in enumerate(_sides(x)):
                 bins, label = _bins(now[k].raw(part))
@@ -228,19 +235,29 @@ def cotrain(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame) ->
         most = int(n * SHARE)
         history.append((now, [[_cut(counts[k, t], max(1, int(most * part))) for t, part in ((0, 1 - prior), (1, prior))] for k in range(2)]))
 
-        def more(ws, done=tuple(history)):
+        def select(batches, done=tuple(history)):
+            for b in batches:
+                x, u = _matrix(b), b.column("u").to_numpy()
+                labels = _given(done, x, u)[1]
+                new = _given(done[:-1], x, u)[0] & ((labels[0] >= 0) | (labels[1] >= 0))
+                yield pa.RecordBatch.from_arrays([b.column("x").filter(pa.array(new)), *[pa.array(own[new], pa.int32()) for own in labels]], names=["x", "content", "metadata"])
+
+        new = scratch.table(pool.mapInArrow(releasing(select), "x array<double>, content int, metadata int"), f"selected{k}")
+        selected = new if selected is None else selected.unionByName(new)
+
+        def more(ws, now=now, rows=selected):
             nonlocal given
 
-            def gather(x, u):
-                _, labels = _given(done, x, u)
+            def gather(b):
                 out = []
-                for k, part in enumerate(_sides(x)):
-                    rows = labels[k] >= 0
-                    g, h = _sums(_ones(done[0][0][k].scaled(part[rows])), labels[k][rows].astype(float), np.ones(rows.sum()), ws[k])
-                    out += [np.array([rows.sum()]), g, h.ravel()]
+                for view, w, part, name in zip(now, ws, _sides(_matrix(b)), ("content", "metadata")):
+                    label = b.column(name).to_numpy()
+                    hit = label >= 0
+                    g, h = _sums(_ones(view.scaled(part[hit])), label[hit].astype(float), np.ones(hit.sum()), w)
+                    out += [np.array([hit.sum()]), g, h.ravel()]
                 return np.concatenate(out)
 
-            total, at, out, given = _totals(pool, sum(1 + d + d * d for d in dims), gather), 0, [], ()
+            total, at, out, given = _totals(rows, sum(1 + d + d * d for d in dims), gather), 0, [], ()
             for k, d in enumerate(dims):
                 count, g, h = total[at], total[at + 1 : at + 1 + d], total[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
                 weight = 0.5 * min(1.0, len(base[k][1]) / max(count, 1.0))
@@ -249,7 +266,7 @@ def cotrain(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame) ->
                 at += 1 + d + d * d
             return out
 
-        ws = fit_logistic(base, start=ws, more=more)
+        ws = fit_logistic(base, start=ws, more=more, steps=STEPS, tolerance=TOLERANCE)
     found = models(ws)
     t = (y[held].astype(float), np.ones(held.sum()))
     for k, m in enumerate(found):
@@ -263,8 +280,8 @@ def _least(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the labelled sample and all unlabelled documents; None if the labels are of one kind or none."""
+def features(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, x (both views), y (the label, or null) and u of every row, written."""
     ship(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("y"))
     # doc_id goes through pandas as a string: a null among numbers would round them.
@@ -278,20 +295,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 x = np.hstack([content_view(texts[lo:hi]), metadata_view(g["lang"], g["source"], g["n_chars"])])
                 yield pd.DataFrame({"doc_id": g["doc_id"], "x": list(x)})
 
-    scratch = Scratch(docs.sparkSession, "quality")
-    features = rows.mapInPandas(releasing(run), "doc_id string, x array<double>").withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
+    found = rows.mapInPandas(releasing(run), "doc_id string, x array<double>").withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
     # u orders rows of one bin, whatever the order of rows in the table.
-    features = scratch.table(features.withColumn("u", F.pmod(F.xxhash64("x", "doc_id"), F.lit(1 << 30)) / (1 << 30)), "features")
-    known = features.where(F.col("y").isNotNull())
+    return scratch.table(found.withColumn("u", F.pmod(F.xxhash64("x", "doc_id"), F.lit(1 << 30)) / (1 << 30)), "features")
+
+
+def fit(rows: DataFrame, scratch: Scratch) -> Model | None:
+    """Co-train on features(): the labelled sample and all unlabelled rows; None if the labels are of one kind or none."""
+    known = rows.where(F.col("y").isNotNull())
     # At most LABELLED numbers: a bound that lets them be broadcast.
     chosen = _least(known.select("doc_id").distinct(), LABELLED)
-    got = known.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.hash("x")).limit(4 * LABELLED).toPandas()
-    model = None
-    if not got.empty:
-        x, y = np.stack(got["x"]), got["y"].to_numpy().astype(int)
-        held = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed=7) % 4 == 0 for i in got["doc_id"]], bool)
-        if all(len(set(y[m].tolist())) == 2 for m in (held, ~held)):
-            model = cotrain(x, y, held, features.where(F.col("y").isNull()))
+    got = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("x", F.xxhash64("x")).alias("x")).toPandas()  # a row each
+    if got.empty:
+        return None
+    got = got.sort_values("doc_id")
+    x, y = np.stack(got["x"]), got["y"].to_numpy().astype(int)
+    held = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed=7) % 4 == 0 for i in got["doc_id"]], bool)
+    if not all(len(set(y[m].tolist())) == 2 for m in (held, ~held)):
+        return None
+    return cotrain(x, y, held, rows.where(F.col("y").isNull()).select("x", "u"), scratch)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on the labelled sample and all unlabelled documents."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = fit(features(docs, labels, scratch), scratch)
     scratch.drop()
     return model
 
@@ -325,5 +353,22 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.withColumn("__q", scored(model)).where(F.col("__q.score") >= THRESHOLD).drop("__q")
 
 
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """train() and score() with one reading of the texts: scores come from the written features."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = features(docs, labels, scratch)
+    model = fit(rows, scratch)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                x = _matrix(part)
+                each = np.ones((3, len(x))) if model is None else model.score(*_sides(x))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(v) for v in each], pa.array(each[2] >= THRESHOLD)], names=["doc_id", "content_score", "metadata_score", "score", "kept"])
+
+    return rows.select("doc_id", "x").mapInArrow(releasing(run), "doc_id long, content_score double, metadata_score double, score double, kept boolean")
+
+
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels))
+    return classify(docs, labels)

@@ -272,3 +272,31 @@ def test_empty_tables(spark, docs):
     assert packing.query(spark, none, words).count() == 0
     assert html.query(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.query(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_scores_from_features_equal_scores_of_texts(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(13)] + [(3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    a = sorted(quality.query(spark, docs, labels).collect(), key=str)
+    b = sorted(quality.score(docs, quality.train(docs, labels)).collect(), key=str)
+    assert [r["doc_id"] for r in a] == [r["doc_id"] for r in b] and np.allclose([r["score"] for r in a], [r["score"] for r in b])
+
+
+def test_co_training_beats_the_content_alone(spark, monkeypatch):
+    """Few labels, a weak content signal and a metadata view that is nearly always right: its pseudo-labels teach the content view."""
+    rng, rows, truth = np.random.default_rng(9), [], {}
+    for i in range(3000):
+        good = bool(rng.random() < 0.5)
+        truth[i] = good
+        marks = rng.poisson(3 if good else 5)
+        words = [w + "!" * (k < marks) for k, w in enumerate(rng.choice(WORDS, int(rng.integers(40, 120))))]
+        rows.append((i, " ".join(words), "en", ("a" if good else "b") if rng.random() < 0.97 else "c", 500))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(80)], "doc_id long, quality int")
+
+    def accuracy(rounds):
+        monkeypatch.setattr(quality, "ROUNDS", rounds)
+        got = quality.query(spark, docs, labels).collect()
+        return np.mean([(r["content_score"] >= 0.5) == truth[r["doc_id"]] for r in got if r["doc_id"] >= 80])
+
+    alone, together = accuracy(0), accuracy(3)
+    assert together > alone + 0.01, (alone, together)
