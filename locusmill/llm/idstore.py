@@ -30,7 +30,9 @@ from .common import Scratch, mix, ship, slices
 from .tokens import encoder
 
 END_ID = 2
-#: The rolling window in ids; a chunk ends where the hash has MASK bits of zero; chunks have LEAST to MOST ids (the last may be shorter).
+#: Characters of a step, and pieces that a worker remembers (some 220 MB).
+CHARS, PIECES = 1_000_000, 1_000_000
+#: The rolling window in ids (a power of two); a chunk ends where the hash has MASK bits of zero; chunks have LEAST to MOST ids (the last may be shorter).
 WINDOW, MASK, LEAST, MOST = 16, 8, 64, 2048
 
 _STAGED = pa.schema(
@@ -39,13 +41,22 @@ _STAGED = pa.schema(
 _STAGED_SPARK = "uid long, doc_id long, n_tokens long, root binary, digests array<binary>, ends array<long>, payloads array<binary>"
 
 
+@functools.cache
+def _scrambled() -> np.ndarray:
+    return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def rolling(ids: np.ndarray) -> np.ndarray:
-    """Buzhash of the window that ends at each position: the exclusive or of the window's scrambled ids, rotated by age."""
-    g = mix(ids.astype(np.uint64) + np.uint64(1))
-    h = g.copy()
-    for k in range(1, WINDOW):
-        r = np.uint64(k)
-        h[k:] ^= (g[:-k] << r) | (g[:-k] >> (np.uint64(64) - r))
+    """Buzhash of the window that ends at each position: the exclusive or of the window's scrambled ids, rotated by age.  A window
+    is its later half and its earlier half, rotated by a half's length, so it doubles with each step."""
+    h = _scrambled()[ids] if not len(ids) or ids.max() < 1 << 16 else mix(ids.astype(np.uint64) + np.uint64(1))
+    size = 1
+    while size < WINDOW:
+        r = np.uint64(size)
+        turned = (h[:-size] << r) | (h[:-size] >> (np.uint64(64) - r))
+        h = h.copy()
+        h[size:] ^= turned
+        size *= 2
     return h
 
 
@@ -85,10 +96,10 @@ def stage(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame
     kind, tail = f"<u{width}", end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, PIECES)
         for b in batches:
-            uids, ids, texts = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in slices(texts):
+            texts = b.column(2).to_pylist()
+            for lo, hi in slices(texts, CHARS):
                 raws = [enc.encode(t) + tail for t in texts[lo:hi]]
                 sizes = np.array([len(r) // 4 for r in raws])
                 all_ids = np.frombuffer(b"".join(raws), "<u4")
@@ -99,14 +110,23 @@ def stage(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame
                 inside = marks - begins[doc] >= WINDOW  # a window never spans two documents
                 marks, doc = marks[inside], doc[inside]
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-                rows = []
-                for i in range(hi - lo):
-                    own = all_ids[begins[i] : ends[i]].astype(kind)
-                    e = cuts(int(sizes[i]), marks[bounds[i] : bounds[i + 1]] - begins[i])
-                    chunks = [own[a:z].tobytes() for a, z in zip([0, *e], e)]
-                    leaves = [digest(c) for c in chunks]
-                    rows.append((uids[lo + i], ids[lo + i], int(sizes[i]), merkle(leaves), leaves, e, chunks))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STAGED.types)], schema=_STAGED)
+                own = [cuts(int(n), marks[bounds[i] : bounds[i + 1]] - begins[i]) for i, n in enumerate(sizes)]
+                first = np.cumsum([0, *map(len, own)])  # of each document's chunks
+                chunk_ends = np.array([e for c in own for e in c], np.int64)
+                places = np.concatenate([[0], chunk_ends + np.repeat(begins, np.diff(first))]) * width
+                data = all_ids.astype(kind).tobytes()
+                leaves = [digest(data[a:z]) for a, z in zip(places[:-1].tolist(), places[1:].tolist())]
+                payloads = pa.Array.from_buffers(pa.binary(), len(leaves), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)])
+                lists = pa.array(first, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[b.column(i).slice(lo, hi - lo) for i in range(2)],
+                        pa.array(sizes, pa.int64()),
+                        pa.array([merkle(leaves[a:z]) for a, z in zip(first.tolist(), first[1:].tolist())], pa.binary()),
+                        *[pa.ListArray.from_arrays(lists, v) for v in (pa.array(leaves, pa.binary()), pa.array(chunk_ends), payloads)],
+                    ],
+                    schema=_STAGED,
+                )
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _STAGED_SPARK)
