@@ -37,6 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,11 +46,13 @@ class Scratch:
         """Write df as Parquet and read it back."""
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Remove these tables, or all."""
         for name in names or ("",):
+            self.names.discard(name)
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
