@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import BROADCAST_ROWS, Scratch
+
+#: Edges that one task holds, at least.
+ROWS = 200_000
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -20,16 +23,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     pairs = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     pairs, k = scratch.table(pairs, f"{name}-0"), 0
     while True:
+        n = pairs.count()
+        parts = n // ROWS + 1  # a small graph needs no more tasks than these, whatever the session says
+
+        def joined(rows: DataFrame, minima: DataFrame, key: str, n: int = n) -> DataFrame:
+            return rows.join(F.broadcast(minima) if n <= BROADCAST_ROWS else minima, key)  # minima has at most 2 n rows
+
         ends = pairs.select(a.alias("node"), b.alias("other"), F.lit(True).alias("lesser")).unionByName(pairs.select(b.alias("node"), a.alias("other"), F.lit(False).alias("lesser")))
         lesser = F.col("lesser")
-        least = ends.groupBy("node").agg(F.min("other").alias("m"), F.count_if(lesser).alias("up"), F.count_if(~lesser).alias("down"))
+        least = ends.groupBy("node").agg(F.min("other").alias("m"), F.count_if(lesser).alias("up"), F.count_if(~lesser).alias("down")).coalesce(parts)
         least = scratch.table(least.select("node", F.least("node", "m").alias("m"), ((F.col("up") + F.least(F.col("down"), F.lit(1))) > 1).alias("open")), f"{name}-{k}-least")
         if least.where("open").isEmpty():  # every node is a centre, or has one edge, to a centre
-            centres = pairs.select(b.alias("node"), b.alias("comp")).distinct()
-            return pairs.select(a.alias("node"), b.alias("comp")).unionByName(centres)
-        large = scratch.table(pairs.join(least.select(F.col("node").alias("b"), "m"), "b").select("a", F.col("m").alias("b")), f"{name}-{k}-large")
+            return least.select("node", F.col("m").alias("comp"))
+        large = scratch.table(joined(pairs, least.select(F.col("node").alias("b"), "m"), "b").select("a", F.col("m").alias("b")), f"{name}-{k}-large")
         inner = large.groupBy("a").agg(F.min("b").alias("m"))
-        lower = large.join(inner, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        small = scratch.table(lower.unionByName(inner.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{k + 1}")
+        lower = joined(large, inner, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        small = scratch.table(lower.unionByName(inner.select("a", F.col("m").alias("b"))).distinct().coalesce(parts), f"{name}-{k + 1}")
         scratch.drop(f"{name}-{k}", f"{name}-{k}-least", f"{name}-{k}-large")
         pairs, k = small, k + 1
