@@ -6,12 +6,15 @@ in rounds, and a shingle stops once its clock is beyond the text's last register
 probability equal to their probability Jaccard similarity.
 
 Texts of equal words are one node.  Nodes that agree in a whole band share a bucket.  A bucket of n
-nodes is not spelled out as pairs: each bucket compares its members with one leader (another in each round), links are verified by exact
-similarity, and components are formed; only buckets that then still hold several components compare members across components, within a task that gets a
-tile of bounded size and gives only links (a pair whose signatures agree in less than ESTIMATE of the registers is five standard
-deviations from one).  So copies and near copies cost about one comparison each, and no link between different components goes untested.
+nodes is not spelled out as pairs: in each of ROUNDS rounds its members are compared with one leader; links are verified by exact
+similarity, and components are formed.  A bucket of two members is done with the first round, others when they hold one component.  The rest
+compare members across components in tiles of bounded size, a pair of tiles a task.  Members of a bucket that then
+holds more than HOT are signed anew instead, with more registers in longer bands, which few pairs of low similarity share, and start again; after
+the last level tiles take all.  So copies and near copies cost about one comparison each, the copies of a member in tiles are bounded, and
+every pair that shares a bucket is compared unless it is in one component by then.
 
-Missed links: a pair at similarity SIMILARITY shares no band with probability (1 - 0.8**4)**25 = 2e-6.
+Missed links: a pair at similarity SIMILARITY shares no band of a level with probability 2e-6, 1e-6 and 7e-7 (LEVELS), and
+its signatures agree in less than ESTIMATE of the registers, which spares the exact test, with probability 2e-11.
 
 Nulls: a null text is empty; texts without words are copies of each other; a text of 1 to 4 words is one shingle; a null
 id is kept and never a class id unless nothing else is there.  Repeated rows are copies.  An empty table gives no rows; other
@@ -24,20 +27,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch, hashed_words, mix, releasing, ship, shingles, slices, word_hashes
+from ..operators import components as stars
+from .common import Scratch, hashed_words, mix, releasing, ship, shingles, slices
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 4
-REGISTERS = BANDS * ROWS
-ESTIMATE = 0.6
-#: Rounds of comparisons with a leader before the members themselves are compared, and members of a tile.
-ROUNDS, TILE = 2, 1024
+#: Bands and registers in a band of each level.
+LEVELS = ((25, 4), (75, 8), (200, 12))
+REGISTERS = LEVELS[0][0] * LEVELS[0][1]
+ESTIMATE = 0.5
+#: Rounds of comparisons with a leader before the members themselves are compared, members of a bucket that goes to the next level if there are
+#: more, and members of a tile.
+ROUNDS, HOT, TILE = 2, 8192, 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("shingles", pa.binary()), ("weights", pa.binary())])
-_SIGNED_SPARK = "doc_id long, digest binary, bands array<long>, sig binary, shingles binary, weights binary"
+_SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("mini", pa.binary()), ("shingles", pa.binary()), ("weights", pa.binary())])
+_SIGNED_SPARK = "uid long, doc_id long, digest binary, h long, bands array<long>, sig binary, mini binary, shingles binary, weights binary"
 
 
 def probminhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -66,22 +71,24 @@ def probminhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs:
     return winner.reshape(docs, registers)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """[docs, BANDS] int64: a hash of each band's registers and number."""
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    key = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(sig), 1))
-    for k in range(ROWS):
+def band_keys(sig: np.ndarray, level: int = 0) -> np.ndarray:
+    """[docs, bands] int64: a hash of each band's registers and number."""
+    bands, rows = LEVELS[level]
+    parts = sig.reshape(len(sig), bands, rows).astype(np.uint64)
+    key = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(1 + 1000 * level), (len(sig), 1))
+    for k in range(rows):
         key = mix(key * _GOLDEN + parts[:, :, k])
     return key.view(np.int64)
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text's words), bands, sig, shingles (sorted 32-bit hashes) and weights (empty: all 1) of every row."""
-    ship(docs.sparkSession)
+def sign(rows: DataFrame) -> DataFrame:
+    """For every row of (uid, doc_id, text): uid, doc_id, digest (of the text's words) and its first half h, bands, sig, mini (a byte of each register),
+    shingles (sorted 32-bit hashes) and weights (empty: all 1)."""
+    ship(rows.sparkSession)
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for lo, hi in slices(texts):
                 n = hi - lo
                 every, counts = hashed_words(texts[lo:hi])
@@ -99,12 +106,20 @@ def sign(docs: DataFrame) -> DataFrame:
                 small, many = element.astype("<u4"), counts.astype("<u4")
                 sets = [small[ends[i] : ends[i + 1]].tobytes() for i in range(n)]
                 weights = [b"" if (many[ends[i] : ends[i + 1]] == 1).all() else many[ends[i] : ends[i + 1]].tobytes() for i in range(n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * LEVELS[0][0], pa.int32()), pa.array(band_keys(sig).ravel()))
+                short = [r.tobytes() for r in sig.astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), pa.array(digests, pa.binary()), pa.array(band_keys(sig).tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())],
+                    [
+                        *[b.column(i).slice(lo, n) for i in range(2)],
+                        pa.array(digests, pa.binary()),
+                        pa.array(np.frombuffer(b"".join(digests), "<i8")[::2]),
+                        lists,
+                        *[pa.array(c, pa.binary()) for c in ([r.tobytes() for r in sig], short, sets, weights)],
+                    ],
                     schema=_SIGNED,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), _SIGNED_SPARK)
+    return rows.select(F.col("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), _SIGNED_SPARK)
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -127,19 +142,13 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1 / (su[upto] / u[common] + (sv[-1] - sv[upto]) / v[common])).sum())
 
 
-def _agreement(a, b) -> np.ndarray:
-    """Share of registers in which signatures agree."""
-    x = np.frombuffer(b"".join(a), np.uint32).reshape(-1, REGISTERS)
-    return (x == np.frombuffer(b"".join(b), np.uint32).reshape(-1, REGISTERS)).mean(1)
-
-
 def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links.  Signatures rule most others out before shingles move."""
+    """comp_a, comp_b of those pairs (a, b, comp_a, comp_b) that are links.  Signatures, cut to bytes, rule most others out before shingles move."""
 
     def near(batches):
         for t in batches:
-            ok = _agreement(t.column("sig_a").to_pylist(), t.column("sig_b").to_pylist()) >= ESTIMATE
-            yield t.select(["a", "b"]).filter(pa.array(ok))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("mini_a", "mini_b"))
+            yield t.select(["a", "b", "comp_a", "comp_b"]).filter(pa.array((x == y).mean(1) >= ESTIMATE))
 
     def exact(batches):
         def weights(raw, n):
@@ -150,45 +159,41 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             for sa, wa, sb, wb in zip(*(t.column(c).to_pylist() for c in ("shingles_a", "weights_a", "shingles_b", "weights_b"))):
                 x, y = np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4")
                 keep.append(probability_jaccard(x, weights(wa, len(x)), y, weights(wb, len(y))) >= SIMILARITY)
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield t.select(["comp_a", "comp_b"]).filter(pa.array(keep, pa.bool_()))
 
-    def beside(p: DataFrame, *columns: str) -> DataFrame:
+    def with_nodes(p: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
             p = p.join(nodes.select(F.col("digest").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return p
 
-    close = beside(pairs, "sig").mapInArrow(releasing(near), "a binary, b binary")
-    return beside(close, "shingles", "weights").mapInArrow(releasing(exact), "a binary, b binary")
-
-
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, comp: the least node of each component, by least labels of neighbours and of labels, until nothing changes."""
-    both = scratch.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")), f"{name}-0")
-    for k in range(1, 100):
-        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("seen"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        new = labels.join(seen, "node").join(jump, "comp").select("node", F.least("comp", "seen", "jump").alias("new"), "comp")
-        new = scratch.table(new, f"{name}-{k}")
-        labels = new.select("node", F.col("new").alias("comp"))
-        if new.where(F.col("new") != F.col("comp")).isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    close = with_nodes(pairs, "mini").mapInArrow(releasing(near), "a binary, b binary, comp_a binary, comp_b binary")
+    return with_nodes(close, "shingles", "weights").mapInArrow(releasing(exact), "comp_a binary, comp_b binary")
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, digest, comp of the members of buckets that hold several components."""
+def _united(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+    """node, comp after further links (comp_a, comp_b) between components; a node without a label is a component of its own."""
+    if links.isEmpty():
+        return labels
+    new = stars.components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), scratch, name)
+    if labels is not None:
+        moved = labels.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        new = moved.unionByName(new).distinct()  # a centre is a node of either
+    return scratch.table(new, f"{name}-labels")
+
+
+def _open(members: DataFrame, labels: DataFrame | None, led: bool) -> DataFrame:
+    """key, digest, comp of the members of buckets that hold several components, and, when led by one of them, more than two members."""
     m = members.withColumn("comp", F.col("digest")) if labels is None else members.join(labels.select(F.col("node").alias("digest"), F.col("comp").alias("found")), "digest", "left").select("key", "digest", F.coalesce("found", "digest").alias("comp"))
-    several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    return m.join(several, "key")
+    h = F.xxhash64("comp")
+    several = m.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 1 + int(led)))
+    return m.join(several.select("key"), "key")
 
 
 def _with_leader(rows: DataFrame, seed: int) -> DataFrame:
-    """a, b: every open member with its bucket's leader, if that is of another component."""
+    """a, b, comp_a, comp_b: every member with its bucket's leader, if that is of another component."""
     order = F.struct(F.xxhash64(F.lit(seed), "digest").alias("h"), F.struct("digest", "comp").alias("m"))
-    leader = rows.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.m.digest").alias("lead"), F.col("l.m.comp").alias("lead_comp"))
-    pairs = rows.join(leader, "key").where(F.col("comp") != F.col("lead_comp"))
-    return pairs.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
+    leader = rows.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.m.digest").alias("b"), F.col("l.m.comp").alias("comp_b"))
+    return rows.join(leader, "key").where(F.col("comp") != F.col("comp_b")).select(F.col("digest").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
 
 
 def _similar(a: np.ndarray, x: np.ndarray | None, others: list[tuple[np.ndarray, np.ndarray | None]]) -> np.ndarray:
@@ -206,13 +211,13 @@ def _similar(a: np.ndarray, x: np.ndarray | None, others: list[tuple[np.ndarray,
     return out
 
 
-def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: links between different components, as many as unite what is linked within a bucket.
+def _across(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """comp_a, comp_b: links between different components, as many as unite what is linked within a bucket.
 
-    Members are compared across components in the first bucket that a pair shares, by signature and then exactly; a pair whose components
-    have met meanwhile is passed over, so a bucket gives fewer links than members.  Members are cut into tiles of about TILE, and each pair of
-    tiles is a group of its own.  The largest component of a bucket has tiles apart, which meet the others' tiles and never each
-    other; a bucket of one large component and few strays therefore costs in proportion to its members."""
+    Members are compared across components, by signature and then exactly, on the first level only in the first bucket that a pair shares; a pair
+    whose components have met meanwhile is passed over, so a bucket gives fewer links than members.  Members are cut into tiles of about
+    TILE, and each pair of tiles is a group of its own.  The largest component of a bucket has tiles apart, which meet the others' tiles and never
+    each other; a bucket of one large component and few strays therefore costs in proportion to its members."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     own, rest = (F.ceil(n / TILE).cast("int") for n in (F.col("top.n"), F.col("all") - F.col("top.n")))
@@ -225,86 +230,125 @@ def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(key, table):
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        keys = band_keys(sig)
-        own = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0])
-        digests = table.column("digest").to_pylist()
+        if level == 0:
+            keys = band_keys(sig)
+            own = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0])
         sets = [(np.frombuffer(s, "<u4"), np.frombuffer(w, "<u4").astype(float) if w else None) for s, w in zip(table.column("shingles").to_pylist(), table.column("weights").to_pylist())]
-        comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
+        names = table.column("comp").to_pylist()
+        comp = np.unique(np.array([c.hex() for c in names]), return_inverse=True)[1]
         tile = np.array(table.column("tile").to_pylist())
         same_tile = key[1].as_py() == key[2].as_py()
         a, b = [], []
-        for r in range(len(digests)):
+        for r in range(len(names)):
             at = r + 1 + np.flatnonzero((comp[r + 1 :] != comp[r]) & (same_tile | (tile[r + 1 :] != tile[r])))
-            at = at[(keys[at] == keys[r]).argmax(1) == own]
+            if level == 0:
+                at = at[(keys[at] == keys[r]).argmax(1) == own]
             at = at[(sig[at] == sig[r]).mean(1) >= ESTIMATE]
             for s in at[_similar(*sets[r], [sets[k] for k in at])].tolist():
                 if comp[s] != comp[r]:
                     comp[comp == comp[s]] = comp[r]
-                    x, y = sorted((digests[r], digests[s]))
-                    a.append(x)
-                    b.append(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                    a.append(names[r])
+                    b.append(names[s])
+        return pa.table({"comp_a": pa.array(a, pa.binary()), "comp_b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "comp_a binary, comp_b binary")
+
+
+def _signed_again(nodes: DataFrame, level: int) -> DataFrame:
+    """digest, key: the buckets of a level with more registers, made from the shingles."""
+    bands, rows = LEVELS[level]
+    salt = np.uint64(0xA24BAED4963EE407 * level % (1 << 64))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                sets = [np.frombuffer(x, "<u4") for x in part.column("shingles").to_pylist()]
+                weights = [np.frombuffer(w, "<u4").astype(float) if w else np.ones(len(s)) for w, s in zip(part.column("weights").to_pylist(), sets)]
+                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                sig = probminhash(mix(np.concatenate(sets).astype(np.uint64) ^ salt), np.concatenate(weights), doc, len(sets), bands * rows)
+                yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(np.repeat(np.arange(len(sets)), bands))), pa.array(band_keys(sig, level).ravel())], names=["digest", "key"])
+
+    return nodes.select("digest", "shingles", "weights").mapInArrow(releasing(run), "digest binary, key long")
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+def _buckets(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """key, digest of the members of buckets with several nodes.  rows: digest, key and h, a half of the digest, for sums without sorting: two
+    nodes of one bucket and one h, which would be overlooked, occur once in 2**64 pairs."""
+    shared = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    return scratch.table(rows.select("key", "digest").join(shared, "key").distinct(), name)
+
+
+def _settle(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame | None:
+    """node, comp after all comparisons within buckets."""
+    name = f"level{level}"
+    for k in range(ROUNDS):
+        rows = scratch.table(_open(members, labels, k > 0), f"{name}-open{k}")
+        if rows.isEmpty():
+            return labels
+        labels = _united(labels, scratch.table(verify(_with_leader(rows, k), nodes), f"{name}-links{k}"), scratch, f"{name}-comp{k}")
+        members = rows.select("key", "digest")
+    rows = scratch.table(_open(members, labels, ROUNDS > 0), f"{name}-open")
+    if rows.isEmpty():
+        return labels
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
+    hot = scratch.table(hot, f"{name}-hot") if level + 1 < len(LEVELS) else None
+    again = hot is not None and not hot.isEmpty()
+    labels = _united(labels, scratch.table(_across(rows.join(hot, "key", "left_anti") if again else rows, nodes, level), f"{name}-links"), scratch, f"{name}-comp")
+    if not again:
+        return labels
+    few = nodes.join(rows.join(hot, "key", "left_semi").select("digest").distinct(), "digest", "left_semi")
+    wider = scratch.table(_signed_again(few, level + 1), f"{name}-again").withColumn("h", F.xxhash64("digest"))
+    return _settle(_buckets(wider, f"{name}-members", scratch), labels, nodes, scratch, level + 1)
 
 
 def link(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """node, comp for every node with a link; None if there is no bucket of several nodes.  signed: sign(), written."""
-    exploded = signed.select("digest", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    members = scratch.table(exploded.join(shared, "key").select("key", "digest").distinct(), "members")
+    """node, comp for every node with a link; None if there is none.  signed: sign(), written."""
+    members = _buckets(signed.select("digest", "h", F.explode("bands").alias("key")), "members", scratch)
     if members.isEmpty():
         return None
     involved = members.select("digest").distinct()
-    nodes = scratch.table(signed.select("digest", "sig", "shingles", "weights").join(involved, "digest", "left_semi").dropDuplicates(["digest"]), "nodes")
-    links, labels = None, None
-    for k in range(ROUNDS + 1):
-        rows = scratch.table(_open(members, labels), f"open{k}")
-        if rows.isEmpty():
-            break
-        found = scratch.table(verify(_with_leader(rows, k), nodes) if k < ROUNDS else _across(rows, nodes), f"links{k}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch, f"comp{k}")
-    return labels
+    one = signed.groupBy("digest").agg(F.min("uid").alias("uid")).join(involved, "digest", "left_semi").select("uid")  # a row of each text
+    nodes = scratch.table(signed.select("uid", "digest", "sig", "mini", "shingles", "weights").join(one, "uid", "left_semi").drop("uid"), "nodes")
+    return _settle(members, None, nodes, scratch)
 
 
-def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, digest, class_id (the least doc_id of the class), rep_digest (of the document that stands for the class) for every row."""
-    scratch = scratch or Scratch(docs.sparkSession, "neardup")
-    signed = scratch.table(sign(docs), "signed")
+def _classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """digest, comp of every text; and comp, class_id, uid of every class, whose row `uid` stands for it: the least doc_id, of equal ones the first."""
     labels = link(signed, scratch)
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    texts = signed.groupBy("digest").agg(F.min(order).alias("first"))
     if labels is None:
-        best = texts.select("digest", F.col("least").alias("class_id"), F.col("digest").alias("rep_digest"))
+        texts = texts.withColumn("comp", F.col("digest"))
     else:
-        joined = scratch.table(texts.join(labels.select(F.col("node").alias("digest"), "comp"), "digest", "left").select("digest", "least", F.coalesce("comp", "digest").alias("comp")), "texts")
-        top = joined.groupBy("comp").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("digest"))).alias("m"))
-        best = joined.join(top, "comp").select("digest", F.col("m.least").alias("class_id"), F.col("m.digest").alias("rep_digest"))
-    return signed.select("doc_id", "digest").join(best, "digest").select("doc_id", "digest", "class_id", "rep_digest")
+        texts = texts.join(labels.select(F.col("node").alias("digest"), "comp"), "digest", "left").select("digest", "first", F.coalesce("comp", "digest").alias("comp"))
+    texts = scratch.table(texts, "texts")
+    best = texts.groupBy("comp").agg(F.min("first").alias("m")).select("comp", F.col("m.doc_id").alias("class_id"), F.col("m.uid").alias("uid"))
+    best = scratch.table(best, "best")
+    for name in scratch.names - {"signed", "texts", "best", "rows"}:
+        scratch.drop(name)
+    return texts.select("digest", "comp"), best
+
+
+def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, digest and class_id (the least doc_id of the class) for every row."""
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
+    signed = scratch.table(sign(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")), "signed")
+    texts, best = _classes(signed, scratch)
+    # Written, so that Spark can split the rows of a frequent text.
+    by_text = scratch.table(texts.join(best.select("comp", "class_id"), "comp").select("digest", "class_id"), "classes")
+    return signed.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "digest", "class_id")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs, all columns, with one row of each class: the least doc_id, of equal ones any."""
+    """docs, all columns, with one row of each class: the least doc_id, of equal ones the first."""
     scratch = scratch or Scratch(docs.sparkSession, "neardup")
-    rows = scratch.table(classes(docs, scratch), "classes")
-    first = rows.where(F.col("digest") == F.col("rep_digest")).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = first.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    chosen = scratch.table(chosen, "chosen")
-
-    @F.pandas_udf("binary")
-    def digest(text):
-        import pandas as pd
-
-        return pd.Series([xxhash.xxh3_128_digest(word_hashes(t).tobytes()) for t in text])
-
-    d = docs.withColumn("__digest", digest(F.col("text").cast("string"))).alias("d")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & (F.col("d.__digest") == F.col("c.digest"))
-    kept = d.join(chosen.alias("c"), same).select("d.*", F.col("c.n").alias("__n"))
-    if not chosen.where(F.col("n") > 1).isEmpty():  # the same doc_id and text on several rows
-        order = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(F.lit(0)))
-        once = kept.where(F.col("__n") == 1)
-        kept = once.unionByName(kept.where(F.col("__n") > 1).withColumn("__k", order).where(F.col("__k") == 1).drop("__k"))
-    return kept.drop("__digest", "__n")
+    # The rows are written with their numbers, so the choice holds however often a task is repeated.
+    rows = scratch.table(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
+    signed = scratch.table(sign(rows.select("uid", "row.doc_id", "row.text")), "signed")
+    best = _classes(signed, scratch)[1]
+    scratch.drop("signed", "texts")
+    return rows.join(best.select("uid"), "uid", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -92,10 +92,11 @@ def test_near_duplicates(spark, docs):
     assert np.isclose(neardup.probability_jaccard(x, m.astype(float), y, n.astype(float)), brute)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_duplicates_of_a_hot_group(spark, monkeypatch, rounds):
-    """One family of copies, chains in which only neighbours are links, and strays, in tiles of four members."""
+@pytest.mark.parametrize("rounds, hot", [(0, 3), (0, 1000), (2, 3)])
+def test_near_duplicates_of_a_hot_group(spark, monkeypatch, rounds, hot):
+    """One family of copies, chains in which only neighbours are links, and strays, in tiles of four members; with and without further levels."""
     monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "HOT", hot)
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
     base, texts = prose(200).split(), []
     for i in range(25):
