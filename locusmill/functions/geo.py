@@ -108,3 +108,48 @@ def map_xy(lng: Column, lat: Column, lng0: float, lat0: float, sx: float, sy: fl
 
 def fixed_point(x: Column) -> Column:
     return F.round(x * 1e5).cast("long")
+
+
+def crosses_box(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether a segment meets a closed box (min x, min y, max x, max y), by clipping it to the box's slabs."""
+    enter, leave, inside_slab = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for a, d, lo, hi in ((x1, x2 - x1, box[0], box[2]), (y1, y2 - y1, box[1], box[3])):
+        t, u = F.try_divide(lo - a, d), F.try_divide(hi - a, d)
+        flat = d == 0
+        inside_slab = inside_slab & F.when(flat, (a >= lo) & (a <= hi)).otherwise(True)
+        enter = F.greatest(enter, F.when(flat, 0.0).otherwise(F.least(t, u)))
+        leave = F.least(leave, F.when(flat, 1.0).otherwise(F.greatest(t, u)))
+    return inside_slab & (enter <= leave)
+
+
+def line_crosses_box(line: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether any segment of a polyline, array<struct<x, y>>, meets a closed box."""
+    edges = F.arrays_zip(F.slice(line, 1, F.size(line) - 1).alias("a"), F.slice(line, 2, F.size(line) - 1).alias("b"))
+    return F.exists(edges, lambda e: crosses_box(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], box))
+
+
+def centroid(vertices: Column) -> Column:
+    """struct<x, y>: the mean of the vertices."""
+    n = F.size(vertices)
+
+    def mean(c: str) -> Column:
+        return (F.aggregate(F.transform(vertices, lambda v: v[c]), F.lit(0.0), lambda a, x: a + x) / n).alias(c)
+
+    return F.struct(mean("x"), mean("y"))
+
+
+def area_km2(parts: Column, km_x: float, km_y: float) -> Column:
+    """Square kilometres of an area of several outer rings, array<array<struct<x, y>>>; holes are filled, parts do not overlap."""
+    return F.aggregate(F.transform(parts, ring_area), F.lit(0.0), lambda a, x: a + x) * km_x * km_y
+
+
+def near_edge(parts: Column, x: Column, y: Column, mx: float, my: float, radius: Column) -> Column:
+    """Whether a point lies closer than radius to the outer border, on either side of it."""
+    return F.array_min(F.transform(parts, lambda ring: edge_distance(ring, x, y, mx, my))) < radius
+
+
+def column_circle_bbox(lat: Column, lng: Column, radius: Column, margin: float = 1.05) -> Column:
+    """struct<x0, y0, x1, y1>: the box around a circle."""
+    dlat = radius * margin / M_PER_DEG
+    dlng = dlat / F.cos(F.radians(lat))
+    return F.struct((lng - dlng).alias("x0"), (lat - dlat).alias("y0"), (lng + dlng).alias("x1"), (lat + dlat).alias("y1"))

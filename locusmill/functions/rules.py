@@ -88,3 +88,85 @@ def line_name(operator: Column, line: Column, aliases: dict[str, str], prefixes:
 
 def line_kind(operator: Column, kind: Column, subway_operators: list[str], jr_pattern: str) -> Column:
     return F.when(operator.rlike(jr_pattern), "jr").when(operator.isin(*subway_operators) | (kind == "subway"), "subway").otherwise("private")
+
+
+def in_taxonomy(hierarchy: Column, basic: Column, top: str, basics: list[str]) -> Column:
+    """Whether the list's first level is `top`, or there is no list and the basic category is known.  Null where SQL says null."""
+    return (F.get(hierarchy, 0) == top) | (hierarchy.isNull() & basic.isin(*basics))
+
+
+def in_taxonomy_first(hierarchy: Column, basic: Column, top: str, basics: list[str]) -> Column:
+    """The same by the first level alone: a list of null, or an empty one, counts as none; never null."""
+    first = F.get(hierarchy, 0)
+    return F.coalesce((first == top) | (first.isNull() & basic.isin(*basics)), F.lit(False))
+
+
+def attributed(attributions: Column, marks: list[str]) -> Column:
+    """Whether any attribution contains any mark."""
+    return F.coalesce(F.exists(attributions, lambda a: F.coalesce(F.expr("false") if not marks else _any(a, marks), F.lit(False))), F.lit(False))
+
+
+def _any(text: Column, marks: list[str]) -> Column:
+    found = F.lit(False)
+    for m in marks:
+        found = found | text.contains(m)
+    return found
+
+
+def distinct_field(items: Column, field: str, keep=None) -> Column:
+    """Sorted distinct values of a struct's field in a list; keep: a condition on an item."""
+    kept = F.filter(items, keep) if keep else items
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda s: s[field])))
+
+
+def station_evidence(name: Column, category: Column, permit: Column, tags: Column, answer: Column, confidence: Column, excluded: str = "excluded", unresolved: str = "unresolved") -> Column:
+    """struct<label, method>: name, category, permit name, map tags, then an answer of high or middle confidence.  An answer that says excluded counts
+    whatever its confidence; an unresolved or low one does not."""
+    sure = F.when(answer == excluded, answer).when(confidence.isin("high", "mid") & (answer != unresolved), answer)
+    return fused([("name", name), ("category", category), ("permit", permit), ("tags", tags), ("answer", sure)], unresolved=unresolved)
+
+
+def permit_name(name: Column) -> Column:
+    """A permit holder's name without its legal form."""
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), "株式会社|有限会社", ""))
+
+
+def keep_uncertain(uncertain: Column, label: Column, method: Column, trusted: tuple[str, ...] = ("name", "permit", "tags", "answer"), excluded: str = "excluded") -> Column:
+    """The label of an uncertain record only if its method is trusted, else excluded."""
+    return F.when(uncertain & ~method.isin(*trusted), excluded).otherwise(label)
+
+
+def area_evidence(rule: Column, rule_method: Column, answer: Column, confidence: Column, score: Column, least: float = 0.5, unresolved: str = "unresolved") -> Column:
+    """struct<label, method, low>: too low a score first, then rules, then an answer; one of low confidence goes to `low` only."""
+    weak = F.coalesce(score, F.lit(0.0)) < least
+    ruled = rule.isNotNull() & (rule != unresolved)
+    said = answer.isNotNull() & (answer != unresolved)
+    taken = said & (confidence != "low")
+    label = F.when(weak, unresolved).when(ruled, rule).when(taken, answer).otherwise(unresolved)
+    method = F.when(weak, "low_confidence").when(ruled, rule_method).when(taken, "answer").otherwise("unresolved")
+    low = F.when(~weak & ~ruled & said & (confidence == "low"), answer).otherwise("")
+    return F.struct(label.alias("label"), method.alias("method"), low.alias("low"))
+
+
+def rolled_up_with_fallback(label: Column, category: Column, low: Column, taxonomy: dict[str, tuple[str, str]], categories: dict[str, str], unknown: str = "unknown") -> tuple[Column, Column]:
+    """(major, mid): the label's, else the category's major, else the major of a low-confidence label; mid only from the label."""
+    major, mid = rolled_up(label, taxonomy, unknown)
+    by_category = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])[category]
+    low_major = rolled_up(low, taxonomy, unknown)[0]
+    return F.when(major != unknown, major).otherwise(F.coalesce(by_category, low_major)), mid
+
+
+def census_code(major: Column, mid: Column, codes: dict[str, str], retail: tuple[str, ...], specialty: str, default: str, unknown: str = "unknown") -> Column:
+    """A census code: by mid, retail for its set, a default for the other mids of the specialty major, else unknown."""
+    by_mid = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[mid]
+    return F.when(mid.isin(*retail), "retail").otherwise(F.coalesce(by_mid, F.when((major == specialty) & (mid != unknown), default), F.lit(unknown)))
+
+
+def narrative(ratio: Column, density: Column, quotient: Column) -> Column:
+    """A word for a place by thresholds, the first that holds."""
+    return F.when(ratio >= 2, "office").when(ratio <= 0.5, "residential").when(density >= 100, "dense").when(quotient >= 1.5, "special").otherwise("mixed")
+
+
+def first_two(names: Column, mark: str = "・", more: str = "など") -> Column:
+    """At most two names, and a word for more."""
+    return F.concat(F.array_join(F.slice(names, 1, 2), mark), F.when(F.size(names) > 2, more).otherwise(""))

@@ -69,24 +69,21 @@ _SMALL_V = {"ァ": "a", "ィ": "i", "ゥ": "u", "ェ": "e", "ォ": "o"}
 
 
 def kana_to_latin(text: str) -> str:
-    """Katakana in Latin letters: contracted sounds, doubled consonants; long marks and all else but ASCII letters and digits vanish."""
+    """Katakana in Latin letters.  A small y contracts with the syllable right before it, a small tsu doubles the first letter of the one right
+    after it, small vowels are vowels; all else vanishes."""
     out: list[str] = []
-    double = False
+    before = ""
     for c in text:
-        if c == "ッ":
-            double = True
-            continue
-        if c in _SMALL_Y and out and out[-1].endswith("i"):
-            head = out[-1][:-1]
-            out[-1] = head + ("" if head[-1:] in "hj" and len(head) else "y") + _SMALL_Y[c]
-            continue
-        if c in _SMALL_V and out:
-            out[-1] = out[-1][:-1] + _SMALL_V[c]
-            continue
-        syllable = _KANA.get(c) or (c.lower() if c.isascii() and c.isalnum() else "")
+        syllable = _KANA.get(c) or _SMALL_V.get(c) or ""
+        if syllable and before == "ッ":
+            out.append(syllable[0])
         if syllable:
-            out.append((syllable[0] if double and syllable[0] not in "aiueo" else "") + syllable)
-            double = False
+            out.append(syllable)
+        elif c in _SMALL_Y and (before in _KANA or before in _SMALL_V):
+            last = out.pop()
+            stem = last[:-1] if last in ("shi", "chi", "ji") else last[:-1] + "y" if len(last) > 1 else last
+            out.append(stem + _SMALL_Y[c])
+        before = c
     return "".join(out)
 
 
@@ -95,7 +92,8 @@ def romaji(s: Column) -> Column:
 
 
 def latin_only(s: Column) -> Column:
-    return F.regexp_replace(F.lower(s), "[^a-z0-9]", "")
+    """The Latin letters of a normal form, in lower case."""
+    return F.regexp_replace(F.lower(nfkc(s)), "[^a-z]", "")
 
 
 def match_core(core: Column, places: list[str], generic: list[str]) -> Column:
@@ -105,13 +103,14 @@ def match_core(core: Column, places: list[str], generic: list[str]) -> Column:
 
 
 def tier(dist: Column, score: Column, core_a: Column, core_b: Column, lcs: Column, latin_a: Column, latin_b: Column) -> Column:
-    """Why two records match, by distance and name: a to e, or null."""
-    shorter = F.least(F.length(core_a), F.length(core_b))
-    least = F.when(core_a.rlike(r"^[\x00-\x7f]*$"), 4).otherwise(3)
-    near_part = ((shorter >= 2) & (core_a.contains(core_b) | core_b.contains(core_a))) | ((lcs >= least) & (lcs * 2 >= shorter))
-    near_latin = (F.least(F.length(latin_a), F.length(latin_b)) >= 4) & (latin_a.contains(latin_b) | latin_b.contains(latin_a) | (_ratio(latin_a, latin_b) >= 0.8))
+    """Why two records match, by distance and name: a to e, or null.  latin_a: the Latin letters of core_a; latin_b: the other's kana in them."""
+    short = F.when(F.length(core_a) <= F.length(core_b), core_a).otherwise(core_b)
+    shorter = F.length(short)
+    least = F.when(short.rlike("^[a-z0-9]+$"), 4).otherwise(3)
+    near_part = ((shorter >= 2) & (core_a.contains(core_b) | core_b.contains(core_a))) | ((shorter > 0) & (lcs >= least) & (lcs * 2 >= shorter))
+    near_latin = (F.length(latin_a) >= 4) & (latin_b != "") & (latin_a.contains(latin_b) | latin_b.contains(latin_a) | (_ratio(latin_a, latin_b) >= 0.8))
     return (
-        F.when((dist <= 700) & (score == 1.0) & (shorter >= 4), "a")
+        F.when((dist <= 700) & (score == 1.0) & (F.length(core_a) >= 4), "a")
         .when((dist <= 200) & (score >= 0.9), "b")
         .when((dist <= 80) & (score >= 0.7), "c")
         .when((dist <= 30) & near_part, "d")
@@ -125,8 +124,25 @@ def lenient_number(s: Column) -> Column:
 
 
 def kanji_number(s: Column) -> Column:
-    """0 to 99 in Chinese numerals, or plain digits."""
+    """0 to 99 in Chinese numerals, or plain digits; anything else is 0."""
     digits = F.translate(s, "〇一二三四五六七八九", "0123456789")
     tens, ones = F.substring_index(digits, "十", 1), F.substring_index(digits, "十", -1)
     value = F.when(tens == "", 1).otherwise(tens.try_cast("int")) * 10 + F.when(ones == "", 0).otherwise(ones.try_cast("int"))
-    return F.when(digits.contains("十"), value).otherwise(digits.try_cast("int"))
+    return F.coalesce(F.when(digits.contains("十"), value).otherwise(digits.try_cast("int")), F.lit(0))
+
+
+def town_and_chome(s: Column) -> Column:
+    """struct<town, chome>: a town name and the number before its chome mark (0 without one)."""
+    pattern = r"^(.*?)([〇一二三四五六七八九十0-9]+)丁目$"
+    town = F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1)).otherwise(s)
+    return F.struct(town.alias("town"), kanji_number(F.regexp_extract(s, pattern, 2)).alias("chome"))
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """Rounded as the exact binary value says, halves to even; Spark's round goes by the decimal form, halves away from zero."""
+    return _batched("double", lambda v: float(round(v, digits)), x)
+
+
+def tag_json(tags: Column, keep: list[str]) -> Column:
+    """The kept keys of a tag map as JSON."""
+    return F.to_json(F.map_filter(tags, lambda k, _: k.isin(*keep)))

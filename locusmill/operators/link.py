@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, text
 from ..scratch import Scratch
 from . import components as stars
+from . import spatial
 
 
 def near_pairs(rows: DataFrame, limit: float = 50.0, cell: float = 0.0005, unresolved: str = "unresolved") -> DataFrame:
@@ -103,3 +104,41 @@ def greedy_duplicates(rows: DataFrame, block: str = "block", limit: float = 30.0
         return f
 
     return rows.groupBy(block).applyInPandas(run, schema)
+
+
+def fuzzy_nearest(left: DataFrame, right: DataFrame, limit: float = 80.0, least: float = 0.6) -> DataFrame:
+    """row_id, other_id, score, dist_m: of the right records within `limit` metres and with a name score of `least`, the best by score, then
+    distance, then order.  left: row_id, core, lat, lng; right: other_id, other_core, lat, lng.  Rows without a match are dropped."""
+    pairs = spatial.cell_pairs(left, right, limit).withColumns({"score": text.name_score(F.col("core"), F.col("other_core")), "dist_m": F.round("dist_m", 3)})
+    order = [F.col("score").desc(), F.col("dist_m"), F.col("other_id")]
+    return spatial.best_match(pairs.where(F.col("score") >= least), ["row_id"], order).select("row_id", "other_id", "score", "dist_m")
+
+
+def tiered_nearest(left: DataFrame, right: DataFrame, places: list[str], generic: list[str], limit: float = 700.0) -> DataFrame:
+    """row_id, other_id, reason, dist_m: the nearest right record with a reason to match (text.tier).  left: row_id, core, lat, lng; right: other_id,
+    other_core, other_kana ("" if none), lat, lng."""
+    pairs = spatial.cell_pairs(left, right, limit)
+    a, b = (text.match_core(F.col(c), places, generic) for c in ("core", "other_core"))
+    pairs = pairs.withColumns({"__a": a, "__b": b}).withColumns({"__la": text.latin_only(F.col("__a")), "__lb": text.romaji(F.col("other_kana"))})
+    score = F.greatest(text.name_score(F.col("core"), F.col("other_core")), text.name_score(F.col("core"), F.col("other_kana")))
+    reason = text.tier(F.col("dist_m"), score, F.col("__a"), F.col("__b"), text.longest_common(F.col("__a"), F.col("__b")), F.col("__la"), F.col("__lb"))
+    found = pairs.withColumns({"reason": reason, "dist_m": F.round("dist_m", 3)}).where(F.col("reason").isNotNull())
+    return spatial.best_match(found, ["row_id"], [F.col("dist_m"), F.col("other_id")]).select("row_id", "other_id", "reason", "dist_m")
+
+
+def routed(rows: DataFrame, matches: DataFrame, food: Column, uncertain: Column) -> DataFrame:
+    """rows with status: matched, nonfood, uncertain or added."""
+    m = matches.select("row_id", F.lit(True).alias("__m"))
+    status = F.when(F.col("__m"), "matched").when(~food, "nonfood").when(uncertain, "uncertain").otherwise("added")
+    return rows.join(m, "row_id", "left").withColumn("status", status).drop("__m")
+
+
+def clusters(rows: DataFrame, pairs, excluded: str = "excluded", on: bool = True) -> DataFrame:
+    """row_id, cluster: the representative's row_id, -1 for excluded rows, which link nothing; with `on` false every row stands for itself.
+    pairs: a function of the rows that count."""
+    kept = rows.where(F.col("genre") != excluded)
+    if not on:
+        found = kept.select("row_id", F.col("row_id").alias("cluster"))
+    else:
+        found = representatives(kept.join(components(kept, pairs(kept)), "row_id")).select("row_id", "cluster")
+    return rows.select("row_id").join(found, "row_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

@@ -68,3 +68,13 @@ def quadtree(points: DataFrame, box: tuple[float, float, float, float], cap: int
     reached = c.join(parent, ["depth", "px", "py"], "left_semi").unionByName(c.where("depth = 0"))
     leaves = reached.where((F.col("n") < cap) | (F.col("depth") == most))
     return leaves.select("depth", "ix", "iy", "n", F.when(F.col("n") >= cap, "saturated").otherwise("ok").alias("status"))
+
+
+def in_union(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
+    """points in any of the polygons, each once."""
+    x, y = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
+    cover = polygons.select("ring", F.explode(F.sequence(geo.cell(F.array_min(y), size), geo.cell(F.array_max(y), size))).alias("__cy"), x.alias("__x"))
+    cover = cover.withColumn("__cx", F.explode(F.sequence(geo.cell(F.array_min("__x"), size), geo.cell(F.array_max("__x"), size)))).drop("__x").alias("u")
+    p = points.withColumns({"__cy": geo.cell(F.col("lat"), size), "__cx": geo.cell(F.col("lng"), size)}).alias("p")
+    hit = (F.col("p.__cy") == F.col("u.__cy")) & (F.col("p.__cx") == F.col("u.__cx")) & geo.inside(F.col("u.ring"), F.col("p.lng"), F.col("p.lat"))
+    return p.join(cover, hit, "left_semi").drop("__cy", "__cx")

@@ -126,3 +126,66 @@ def genre_table(final: DataFrame, rules: DataFrame, area: DataFrame, label: str
     out = out.crossJoin(F.broadcast(total))  # one row of totals
     out = out.withColumns({"final_share": F.try_divide(F.col("final_n").cast("double"), "t_final"), "rules_share": F.when(known, F.try_divide(F.col("rules_n").cast("double"), "t_rules")), "area_share": F.when(known, F.try_divide(F.col("area_n").cast("double"), "t_area"))})
     return out.withColumn("lq", F.try_divide("rules_share", "area_share")).drop("t_final", "t_rules", "t_area")
+
+
+def numbered(rows: DataFrame, *order: Column, out: str = "place") -> DataFrame:
+    """rows with their place (from 1) in a total order.  Numbers come from counts per range and numbers within a range, not from one task."""
+    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(before, "__part").withColumn(out, F.col("__before") + within).drop("__part", "__before")
+
+
+def categorical(value: Column, order: list[str]) -> Column:
+    """The place of a value in a fixed order; others come last."""
+    at = F.array_position(F.array(*[F.lit(x) for x in order]), value)
+    return F.when(at == 0, len(order) + 1).otherwise(at).cast("int")
+
+
+def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total, unknown_major, unknown_mid."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("major") == UNKNOWN).alias("unknown_major"), F.count_if(F.col("mid") == UNKNOWN).alias("unknown_mid"))
+
+
+def name_rollup(rows: DataFrame, ord_col: str) -> DataFrame:
+    """name, n, category, address: per name its count, most frequent category (first seen of ties) and first address."""
+    base = rows.groupBy("name").agg(F.count("*").alias("n"), F.min_by("address", ord_col).alias("address"))
+    return base.join(modes(rows, ["name"], "category", ord_col).select("name", "category"), "name")
+
+
+def disagreements(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows in which both are there and differ."""
+    return rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+
+
+def accuracy_by(rows: DataFrame, band: str, truth: str, said: str) -> DataFrame:
+    """band, n, correct, rate."""
+    return rows.groupBy(band).agg(F.count("*").alias("n"), F.count_if(F.col(said) == F.col(truth)).alias("correct")).withColumn("rate", F.col("correct") / F.col("n"))
+
+
+def with_area_row(rows: DataFrame, whole: DataFrame, name: str = "_area") -> DataFrame:
+    """Station rows and one row (radius 0) for the whole area.  rows: station, radius, values; whole: values."""
+    return rows.unionByName(whole.select(F.lit(name).alias("station"), F.lit(0).alias("radius"), "*"))
+
+
+def address_rollup(blocks: DataFrame) -> DataFrame:
+    """town, chomes (a sorted list of chome, lat, lng): a chome lies at the rounded mean of its blocks' fixed-point positions."""
+    mean = blocks.groupBy("town", "chome").agg(F.round(F.avg("lat5")).cast("long").alias("lat5"), F.round(F.avg("lng5")).cast("long").alias("lng5"))
+    return mean.groupBy("town").agg(F.array_sort(F.collect_list(F.struct("chome", "lat5", "lng5"))).alias("chomes"))
+
+
+def ratios(rows: DataFrame, key: str, groups: dict[str, list]) -> DataFrame:
+    """code, ratio of all and of each group of areas: sums of `observed` over sums of `census`, rounded to 2 places."""
+    def ratio(where: Column) -> Column:
+        return F.round(F.try_divide(F.sum(F.when(where, F.col("observed"))).cast("double"), F.sum(F.when(where, F.col("census")))), 2)
+
+    return rows.groupBy("code").agg(ratio(F.lit(True)).alias("ratio_all"), *[ratio(F.col(key).isin(*members)).alias(f"ratio_{g}") for g, members in groups.items()])
+
+
+def with_notes(rows: DataFrame, notes: DataFrame, key: str) -> DataFrame:
+    """rows with the note of their key; a note that fits no row is an error."""
+    orphans = [r[key] for r in notes.join(rows, key, "left_anti").select(key).limit(5).collect()]
+    if orphans:
+        raise ValueError(f"notes without a row: {orphans}")
+    return rows.join(notes, key, "left")

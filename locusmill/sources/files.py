@@ -127,3 +127,27 @@ def column_json(df: DataFrame, ord_col: str, fields: list[str]) -> DataFrame:
     """One row: the table as a JSON object of column arrays, rows in order.  For tables that fit one value."""
     rows = F.array_sort(F.collect_list(F.struct(ord_col, *fields)))
     return df.agg(rows.alias("r")).select(F.to_json(F.struct(*[F.col(f"r.{f}").alias(f) for f in fields])).alias("json"))
+
+
+def inspect(df: DataFrame) -> DataFrame:
+    """name, kind, ord of the columns."""
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema)], "name string, kind string, ord int")
+
+
+def station_list(spark: SparkSession, path: str | None, constants: list[tuple]) -> DataFrame:
+    """key, name, lat, lng, passengers from a CSV, an empty number of passengers being null, or from constants where there is no path."""
+    if not path:
+        return spark.createDataFrame(constants, "key string, name string, lat double, lng double, passengers long")
+    rows = csv(spark, path, "key string, name string, lat double, lng double, passengers string")
+    return rows.withColumn("passengers", F.trim("passengers").try_cast("long"))
+
+
+def census_cells(rows: DataFrame, prefix: str, codes: list[str], areas: int) -> DataFrame:
+    """area, code, n of a census sheet given as CSV (area, item, n): items that begin with a three-character code and "_", areas by prefix.
+    Anything but `areas` areas with all codes each is an error."""
+    code = F.substring("item", 1, 3)
+    out = rows.where(F.col("area").startswith(prefix) & code.isin(*codes) & (F.substring("item", 4, 1) == "_")).select("area", code.alias("code"), "n")
+    found = out.groupBy("area").agg(F.count_distinct("code").alias("k")).agg(F.count("*").alias("areas"), F.min("k").alias("least")).first()
+    if found["areas"] != areas or found["least"] != len(codes):
+        raise ValueError(f"expected {areas} areas with {len(codes)} codes, found {found['areas']} with {found['least']} or more")
+    return out

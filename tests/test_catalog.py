@@ -6,10 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 
-from locusmill import catalog
+from locusmill import catalog, catalog_more  # noqa: F401 - adds its queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels embeddings".split()
 
 
 @pytest.fixture(scope="module")

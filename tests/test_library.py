@@ -23,8 +23,10 @@ def test_names(spark):
     assert one(spark, text.name_score(F.lit("cafe"), F.lit("cafe blue"))) == 0.9
     assert one(spark, text.name_score(F.lit(""), F.lit(""))) == 0.0
     assert one(spark, text.longest_common(F.lit("abcd"), F.lit("xbcy"))) == 2
-    assert one(spark, text.romaji(F.lit("カフェ・ラッテ"))) == "kaferatte"
-    assert one(spark, text.romaji(F.lit("シャトー"))) == "shato"
+    assert one(spark, text.romaji(F.lit("カフェ・ラッテ abc"))) == "kafueratte"
+    assert [one(spark, text.romaji(F.lit(x))) for x in ("シャトー", "キョク", "カャ", "ッア", "ッー", "ひら")] == ["shato", "kyoku", "kya", "aa", "", ""]
+    assert [one(spark, text.round_half_even(F.lit(x), n)) for x, n in ((2.675, 2), (0.12345, 4), (2.5, 0))] == [2.67, 0.1235, 2.0]
+    assert tuple(one(spark, text.town_and_chome(F.lit("本町二十三丁目")))) == ("本町", 23) and tuple(one(spark, text.town_and_chome(F.lit("本町")))) == ("本町", 0)
     assert one(spark, text.nfkc(F.lit(None).cast("string"))) is None
     assert [one(spark, text.kanji_number(F.lit(s))) for s in ("十", "二十三", "七", "9")] == [10, 23, 7, 9]
 
@@ -37,7 +39,82 @@ def test_tiers(spark):
     assert t(650, "blue cafe", "blue cafe") == "a"
     assert t(701, "blue cafe", "blue cafe") is None
     assert t(150, "blue", "blue cafe") == "b"
-    assert t(25, "xxblue", "yyblue") in ("c", "d")
+    assert t(25, "xxblue", "yyblue") == "d" and t(25, "xxblu", "yyblu") is None and t(31, "xxblue", "yyblue") is None
+
+
+def test_tiered_matches_and_routing(spark):
+    """Reasons expected from the rules: same name far away, contained near by, kana for Latin letters; the nearest with a reason wins."""
+    step = 1 / geo.M_PER_DEG
+    left = spark.createDataFrame([(1, "blue garden", 35.0, 139.0), (2, "harbor", 35.1, 139.0), (3, "mirano bar", 35.2, 139.0), (4, "lonely", 35.3, 139.0)], "row_id long, core string, lat double, lng double")
+    right = [(10, "blue garden", "", 35.0 + 600 * step, 139.0), (11, "harbor light", "", 35.1 + 150 * step, 139.0), (12, "harbors", "", 35.1 + 190 * step, 139.0), (13, "喫茶", "ミラノ", 35.2 + 20 * step, 139.0), (14, "other", "", 35.3 + 20 * step, 139.0)]
+    right = spark.createDataFrame(right, "other_id long, other_core string, other_kana string, lat double, lng double")
+    found = link.tiered_nearest(left, right, [], [])
+    assert sorted((r["row_id"], r["other_id"], r["reason"]) for r in found.collect()) == [(1, 10, "a"), (2, 11, "b"), (3, 13, "e")]
+    status = link.routed(left, found, F.col("row_id") < 10, F.col("core") == "lonely").collect()
+    assert {r["row_id"]: r["status"] for r in status} == {1: "matched", 2: "matched", 3: "matched", 4: "uncertain"}
+
+
+def test_fuzzy_nearest_is_brute_force(spark):
+    import difflib
+
+    a = [(i, n, 35 + i / 3000, 139.0) for i, n in enumerate(("tide", "diet", "cafe blue", "x", "blue"))]
+    b = [(i, n, 35 + i / 4000, 139.0002) for i, n in enumerate(("diet", "tides", "blue", "cafe", "tide", "blues"))]
+
+    def score(x, y):
+        short, long = sorted((x, y), key=len)
+        return 1.0 if x == y else 0.9 if len(short) >= 3 and short in long else difflib.SequenceMatcher(None, x, y).ratio()
+
+    want = {}
+    for i, x, la, lo in a:
+        near = []
+        for j, y, lb, lp in b:
+            h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(lp - lo) / 2) ** 2
+            m = 2 * geo.EARTH_M * math.asin(math.sqrt(h))
+            if m <= 120 and score(x, y) >= 0.6:
+                near.append((-score(x, y), round(m, 3), j))
+        if near:
+            want[i] = min(near)[2]
+    got = link.fuzzy_nearest(spark.createDataFrame(a, "row_id long, core string, lat double, lng double"), spark.createDataFrame(b, "other_id long, other_core string, lat double, lng double"), 120.0)
+    assert {r["row_id"]: r["other_id"] for r in got.collect()} == want and len(want) >= 3
+
+
+def test_notes_census_and_stations(spark, tmp_path):
+    rows, notes = spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a", "x"), ("z", "y")], "name string, note string")
+    with pytest.raises(ValueError, match="z"):
+        stats.with_notes(rows, notes, "name")
+    assert {tuple(r) for r in stats.with_notes(rows, notes.where("name = 'a'"), "name").collect()} == {("a", "x"), ("b", None)}
+    cells = spark.createDataFrame([("131a", "761_x", 3), ("131a", "762_y", 4), ("999", "761_x", 9), ("131a", "761x", 5)], "area string, item string, n long")
+    assert files.census_cells(cells, "131", ["761", "762"], 1).count() == 2
+    with pytest.raises(ValueError):
+        files.census_cells(cells, "131", ["761", "762"], 2)
+    (tmp_path / "s.csv").write_text('key,name,lat,lng,passengers\na,"x ""y""",35,139,\nb,z,35,139,12\n')
+    assert [(r["name"], r["passengers"]) for r in files.station_list(spark, str(tmp_path / "s.csv"), []).orderBy("key").collect()] == [('x "y"', None), ("z", 12)]
+    assert files.station_list(spark, None, [("k", "n", 1.0, 2.0, None)]).count() == 1
+
+
+def test_answers_as_a_stream(spark, tmp_path):
+    """Answers that arrive in two files; an id that was not asked and a label out of the list are dropped; what is left can be asked again."""
+    from locusmill.streaming import labels as stream
+
+    chunks = label.chunked(spark.createDataFrame([(i,) for i in range(5)], "doc_id long"), "doc_id", 3)
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    (tmp_path / "in").mkdir()
+
+    def answer(name, chunk, items):
+        made = json.dumps({"items": [{"id": i, "label": x, "confidence": "high", "reason": ""} for i, x in items]})
+        (tmp_path / "in" / name).write_text(json.dumps({"chunk": chunk, "answer": made, "error": None}) + "\n")
+
+    def run():
+        stream.collect_answers(spark, str(tmp_path / "in"), chunks, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["a", "b"]).awaitTermination()
+        return sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    answer("1.json", 0, [("n0", "a"), ("n2", "c"), ("n9", "a")])
+    assert run() == [0]
+    answer("2.json", 1, [("n1", "b")])
+    assert run() == [0, 4]
+    rest = label.todo(chunks.select("doc_id"), spark.read.parquet(str(tmp_path / "out")), "doc_id")
+    assert sorted(r["doc_id"] for r in rest.collect()) == [1, 2, 3]
 
 
 def test_mesh_and_coverage(spark):
