@@ -39,30 +39,64 @@ MOST_BITS = 4000
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
-_SPANS = "array<struct<start: int, end: int, kind: int, token: string>>"
+_SPANS = "array<struct<start: int, kind: int, end: int, token: string>>"
+#: Values that one step of a running sum or maximum handles: it copies an array as long for each value.
+STEP = 256
+#: Code points of a block of text, from which pieces are cut.
+TEXT_BLOCK = 512
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(values: Column, join) -> Column:
+    """Running sums or maxima of an array of integers from 0 on, join being the operation.  In blocks, so the work grows with the length, not its square."""
+    zero = F.lit(0)
+
+    def scan(block: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def add(a: Column, x: Column) -> Column:
+            new = join(a["at"], x)
+            return F.struct(new.alias("at"), F.concat(a["out"], F.array(new)).alias("out"))
+
+        return F.aggregate(block, start, add, lambda a: a["out"])
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(zero, F.floor((F.size(v) - 1) / STEP).cast("int")), lambda k: scan(F.slice(v, k * STEP + 1, F.lit(STEP))))
+
+        def shifted(local: Column) -> Column:
+            before = F.concat(F.array(zero), scan(F.transform(local, lambda x: F.element_at(x, -1))))
+            return F.flatten(F.zip_with(local, F.slice(before, F.lit(1), F.size(local)), lambda x, o: F.transform(x, lambda y: join(y, o))))
+
+        return _let(blocks, shifted)
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _find(text: Column, pattern: str, kind: int, least: int | None = None, token: bool = False) -> Column:
     """Leftmost matches, one after the other, with their places.  least: the least length of the pattern's second group.
 
     Spark has no function for the places of matches, but each match with the text before it is one (longer) match, and
-    their lengths add up.  \\G makes it fail at once behind the last match."""
+    running sums of their lengths are the matches' ends.  \\G makes it fail at once behind the last match."""
     whole = F.lit(rf"(?s)\G(.*?)({pattern})")
-    zipped = F.arrays_zip(
-        F.transform(F.regexp_extract_all(text, whole, F.lit(1)), F.length).alias("gap"),
-        F.regexp_extract_all(text, whole, F.lit(2)).alias("token"),
-        (F.transform(F.regexp_extract_all(text, whole, F.lit(4)), F.length) if least else F.array().cast("array<int>")).alias("value"),
-    )
+    gaps = F.transform(F.regexp_extract_all(text, whole, F.lit(1)), F.length)
+    values = F.transform(F.regexp_extract_all(text, whole, F.lit(4)), F.length) if least else F.array().cast("array<int>")
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["token"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), (x["token"] if token else F.lit(None).cast("string")).alias("token"))
-        found = F.concat(a["found"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(x["value"] >= least, found).otherwise(a["found"]) if least else found).alias("found"))
+    def spans(tokens: Column) -> Column:
+        ends = _running(F.zip_with(gaps, tokens, lambda g, t: g + F.length(t)), _sum)
+        zipped = F.arrays_zip(ends.alias("end"), tokens.alias("token"), values.alias("value"))
+        if least:
+            zipped = F.filter(zipped, lambda x: x["value"] >= least)
+        return F.transform(zipped, lambda x: F.struct((x["end"] - F.length(x["token"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), (x["token"] if token else F.lit(None).cast("string")).alias("token")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, add, lambda a: a["found"])).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, whole, F.lit(2)), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _count(s: Column, c: Column) -> Column:
@@ -72,7 +106,7 @@ def _count(s: Column, c: Column) -> Column:
 def scanned(text: Column) -> Column:
     """base spans, candidates with their strings, and the letter counts of ordinary runs (null without any)."""
     base = F.concat(_find(text, ASSIGN, 0, least=8), _find(text, ACCESS, 1), _find(text, HEX, 2))
-    base = F.transform(base, lambda x: F.struct(x["start"], x["end"], x["kind"]))
+    base = F.transform(base, lambda x: F.struct(x["start"], x["kind"], x["end"]))  # which sorts as the digest wants it
     words = F.lower(F.array_join(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)), ""))
     return F.struct(F.array_sort(base).alias("base"), _find(text, CANDIDATE, 3, token=True).alias("candidates"), words.alias("words"))
 
@@ -207,30 +241,34 @@ def letter_shares(words: DataFrame) -> list[float]:
     return [c / sum(counts) for c in counts]
 
 
-class Scan:
-    """What the whole corpus says: letter shares and the least evidence of each length class."""
+def _known(base: Column, held: Column) -> Column:
+    """All spans, sorted: the base ones, and the random strings (start, kind, end) that do not lie within one of them."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scanned(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
-        self.rows = scratch.table(rows.select("doc_id", "s.*"), "scanned")
-        self.letters = letter_shares(self.rows)
-        found = self.rows.where(F.size("candidates") > 0).select(F.explode(judged(F.col("candidates"), self.letters)).alias("c")).select("c.*")
-        self.least = _thresholds(found.groupBy("stratum", "bits").agg(F.count("*").alias("n")))
+    def kept(spans: Column) -> Column:
+        reach = _running(F.transform(spans, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.greatest)
+        return F.transform(F.filter(F.arrays_zip(spans.alias("x"), reach.alias("reach")), lambda z: (z["x"]["kind"] < 3) | (z["x"]["end"] > z["reach"])), lambda z: z["x"])
 
-    def spans(self, base: Column, candidates: Column) -> Column:
-        """All spans, sorted: the base ones, and the random strings that do not lie within one of them."""
-        least = F.create_map(*[F.lit(x) for kv in (self.least or {-1: 0}).items() for x in kv])
-        held = F.filter(judged(candidates, self.letters), lambda c: c["uniform"] & (c["bits"] >= F.coalesce(F.element_at(least, c["stratum"]), F.lit(MOST_BITS + 1))))
-        held = F.transform(held, lambda c: F.struct(c["start"], c["end"], F.lit(3).alias("kind")))
-        new = F.filter(held, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-        return F.when(F.size(candidates) > 0, F.array_sort(F.concat(base, new), _by_start)).otherwise(F.array_sort(base, _by_start))
+    return _let(F.array_sort(F.concat(base, held)), kept)
 
 
-def _by_start(a: Column, b: Column) -> Column:
-    def key(x: Column) -> Column:
-        return x["start"].cast("long") * 4 + x["kind"]
+class Scan:
+    """What the whole corpus says: letter shares and the least evidence of each length class.  rows: the columns of `keep` with the base spans and
+    candidates of each text, written, so each text is searched once."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, *keep: Column):
+        rows = docs.select(*keep, scanned(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
+        self.rows = scratch.table(rows, "scanned")
+        self.letters = letter_shares(self.rows.select("s.words"))
+        found = self.rows.where(F.size("s.candidates") > 0).select(F.explode(judged(F.col("s.candidates"), self.letters)).alias("c")).select("c.*")
+        self.least = _thresholds(found.groupBy("stratum", "bits").agg(F.count("*").alias("n")))
 
-    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+    def spans(self) -> Column:
+        """All spans of a row, sorted."""
+        base, candidates = F.col("s.base"), F.col("s.candidates")
+        least = F.create_map(*[F.lit(x) for kv in (self.least or {-1: 0}).items() for x in kv])
+        held = F.filter(judged(candidates, self.letters), lambda c: c["uniform"] & (c["bits"] >= F.coalesce(F.element_at(least, c["stratum"]), F.lit(MOST_BITS + 1))))
+        held = F.transform(held, lambda c: F.struct(c["start"], F.lit(3).alias("kind"), c["end"]))
+        return F.when(F.size(candidates) > 0, _known(base, held)).otherwise(base)
 
 
 def written(spans: Column) -> Column:
@@ -240,30 +278,48 @@ def written(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id and spans (start, end, kind) of every row."""
+    """doc_id and spans (start, kind, end) of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "secrets")
-    scan = Scan(docs, scratch)
-    return scratch.table(scan.rows.select("doc_id", scan.spans(F.col("base"), F.col("candidates")).alias("spans")), "spans")
+    scan = Scan(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"))
+    return scratch.table(scan.rows.select("doc_id", scan.spans().alias("spans")), "spans")
+
+
+def _cut(blocks: Column, a: Column, z: Column) -> Column:
+    """The code points from a to z of a text in blocks; the work is that of the piece and two blocks."""
+    i, j = F.floor(a / TEXT_BLOCK).cast("int"), F.floor(z / TEXT_BLOCK).cast("int")
+    first = F.coalesce(F.get(blocks, i), F.lit(""))
+    last = F.coalesce(F.get(blocks, j), F.lit(""))
+    far = F.concat(F.substr(first, a % TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(last, F.lit(1), z % TEXT_BLOCK))
+    return F.when(a >= z, "").when(i == j, F.substr(first, a % TEXT_BLOCK + 1, z - a)).otherwise(far)
+
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    def pieces(blocks: Column, ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), ends)
+        each = F.zip_with(spans, F.slice(before, F.lit(1), F.size(ends)), lambda x, at: F.when(x["start"] >= at, F.concat(_cut(blocks, at, x["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(each, ""), _cut(blocks, F.element_at(ends, -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    return _let(blocks, lambda b: _let(_running(F.transform(spans, lambda x: x["end"]), F.greatest), lambda ends: pieces(b, ends)))
 
 
 def redact(docs: DataFrame, scratch: Scratch | None = None, mark: str = "[secret]") -> DataFrame:
     """docs, all columns, with every span of text replaced by `mark`; overlapping spans give one mark.  n_chars follows."""
-    scan = Scan(docs, scratch or Scratch(docs.sparkSession, "secrets"))
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("__s", scanned(F.coalesce(text, F.lit(""))))
-    rows = rows.withColumn("__p", scan.spans(F.col("__s.base"), F.col("__s.candidates")))
-
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        piece = F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.when(new, piece).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
-
-    done = F.aggregate("__p", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("__p") > 0, done).otherwise(text))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.size("__p") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.drop("__s", "__p")
+    scan = Scan(docs, scratch or Scratch(docs.sparkSession, "secrets"), F.struct("*").alias("row"))
+    rows = scan.rows.select("row", scan.spans().alias("spans"))
+    hit = F.size("spans") > 0
+    text = F.col("row.text").cast("string")
+    rows = rows.select("row", hit.alias("hit"), F.when(hit, _redacted(text, F.col("spans"), mark)).otherwise(text).alias("new"))
+    out = []
+    for name in docs.columns:
+        old = F.col("row")[name]
+        if name == "text":
+            out.append(F.col("new").alias(name))
+        elif name == "n_chars":
+            out.append(F.when(F.col("hit"), F.length("new").cast(docs.schema[name].dataType)).otherwise(old).alias(name))
+        else:
+            out.append(old.alias(name))
+    return rows.select(*out)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
