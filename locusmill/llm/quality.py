@@ -339,7 +339,8 @@ def scored(model: Model | None) -> Column:
         release()
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["content", "metadata", "score"])
 
-    return run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"))
+    # Else a filter on the score would have it computed again.
+    return run.asNondeterministic()(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -350,7 +351,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs, all columns, that the classifier accepts."""
-    return docs.withColumn("__q", scored(model)).where(F.col("__q.score") >= THRESHOLD).drop("__q")
+    return docs.select(F.struct("*").alias("row"), scored(model)["score"].alias("score")).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
