@@ -72,9 +72,12 @@ class Automaton:
         self.by_byte = np.zeros((256, self.words), np.uint64)
         for i, (c, _) in enumerate(steps):
             if c != -2:
-                rows = [b for b in range(256) if b != SEP] if c == -1 else [c]  # ? is one byte, never the border
+                rows = [b for b in range(256) if b != SEP and b & 0xC0 != 0x80] if c == -1 else [c]  # ? takes a character's first byte, never the border
                 self.by_byte[rows, i // 64] |= np.uint64(1 << i % 64)
-        self.loop, self.start = np.zeros(self.words, np.uint64), np.zeros(self.words, np.uint64)
+        self.loop, self.start, self.any = (np.zeros(self.words, np.uint64) for _ in range(3))
+        for i, (c, _) in enumerate(steps):
+            if c == -1:
+                self.any[i // 64] |= np.uint64(1 << i % 64)
         for i in loops:
             self.loop[i // 64] |= np.uint64(1 << i % 64)
         for i, (c, _) in enumerate(steps):
@@ -98,7 +101,9 @@ class Automaton:
             d = state[:live]
             moved = d << one
             moved[:, 1:] |= d[:, :-1] >> last
-            state[:live] = (moved & self.by_byte[text[begin[:live] + t]]) | (d & self.loop)
+            c = text[begin[:live] + t]
+            # Further bytes of a character stay where ? took its first one.
+            state[:live] = (moved & self.by_byte[c]) | (d & self.loop) | (d & np.where((c & 0xC0 == 0x80)[:, None], self.any, np.uint64(0)))
         for n, e in enumerate(self.ends):
             out[order, n] = (state[:, e // 64] >> np.uint64(e % 64) & one).astype(bool)
         return out

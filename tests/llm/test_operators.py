@@ -301,3 +301,40 @@ def test_co_training_beats_the_content_alone(spark, monkeypatch):
 
     alone, together = accuracy(0), accuracy(3)
     assert together > alone + 0.01, (alone, together)
+
+
+def test_globs_are_fnmatch(spark):
+    """Over 64 bits of patterns, ? as one character, letters beyond ASCII."""
+    import fnmatch
+
+    globs = ["a?c/*", "*é?/x", "?", "*日?本*", "ab*cd*ef/*gh", "/??.exe", "*" + "long" * 20 + "*", "x*"]
+    strings = ["abc/", "aéc/z", "aécc/z", "oéé/x", "é", "日", "x日語本", "x日本", "ab12cd34ef/zzgh", "/é日.exe", "/é.exe", "a" + "long" * 20, "", "x", "a日c/"]
+    got = urls.Automaton([g.encode() for g in globs]).run([t.encode() for t in strings])
+    assert [[bool(x) for x in r] for r in got] == [[fnmatch.fnmatchcase(t, g) for g in globs] for t in strings]
+
+
+def test_secrets_of_long_texts(spark):
+    """Very many matches in one text of several blocks: places, spans and the redaction equal those of plain loops; time grows with the length."""
+    import time
+
+    rng = np.random.default_rng(4)
+    parts, at, want = [], 0, []
+    for i in range(16_000):
+        gap, hexed = "é word " if i % 3 else "\n", rng.bytes(17).hex()
+        want.append((at + len(gap), at + len(gap) + len(hexed)))
+        parts += [gap, hexed]
+        at = want[-1][1]
+    long = "".join(parts) + " tail"
+    rows = spark.createDataFrame([(1, long, len(long), "a", "b", "c"), (2, None, None, "a", "b", "c"), (3, "", 0, "a", "b", "c")], "doc_id long, text string, n_chars long, row string, s string, spans string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.query(spark, rows).collect()}
+    took = time.time() - began
+    assert got[1]["n_hex"] == len(want) and got[2]["spans"] == got[3]["spans"] == ""
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"hex:{a}:{z}" for a, z in want).encode()).hexdigest() and took < 60
+    clean = {r["doc_id"]: r for r in secrets.redact(rows).collect()}
+    text, last = [], 0
+    for a, z in want:
+        text += [long[last:a], "[secret]"]
+        last = z
+    assert clean[1]["text"] == "".join(text) + long[last:] and clean[1]["n_chars"] == len(clean[1]["text"]) and clean[2]["text"] is None and clean[1]["spans"] == "c"
+    assert secrets.redact(rows.limit(0)).columns == rows.columns and secrets.redact(rows.limit(0)).count() == 0
