@@ -338,3 +338,38 @@ def test_secrets_of_long_texts(spark):
         last = z
     assert clean[1]["text"] == "".join(text) + long[last:] and clean[1]["n_chars"] == len(clean[1]["text"]) and clean[2]["text"] is None and clean[1]["spans"] == "c"
     assert secrets.redact(rows.limit(0)).columns == rows.columns and secrets.redact(rows.limit(0)).count() == 0
+
+
+def test_estimates_are_a_brute_force_fit(spark, monkeypatch):
+    """The concentration steps on one group equal the same steps in numpy from either start, and the smaller determinant wins; the
+    result leaves planted outliers out, as the best of many random starts does."""
+    from locusmill.llm.common import Scratch as S
+
+    rng = np.random.default_rng(12)
+    p = len(rules.VECTOR)
+    x = rng.normal(size=(400, p)) @ rng.normal(size=(p, p)) * 0.3
+    x[:60] += 6
+    names = list(rules.VECTOR)
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x] + [("h", *map(float, r)) for r in x[:3]], ["g", *names])
+    got = {r["g"]: r for r in rules.estimate(rows, S(spark, "test")).collect()}
+    floor = np.diag(np.array(list(rules.VECTOR.values())) ** 2)
+
+    def concentrate(part):
+        for _ in range(60):
+            mean, cov = part.mean(0), np.cov(part.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            part = x[np.argsort(d)[: int(rules.COVER * len(x))]]
+        return np.linalg.slogdet(np.cov(part.T, bias=True) + floor)[1], part.mean(0)
+
+    best = min((concentrate(x[rng.choice(len(x), p + 1, replace=False)]) for _ in range(60)), key=lambda t: t[0])
+    assert -np.linalg.slogdet(np.array(got["g"]["inverse"]).reshape(p, p))[1] <= best[0] + 0.2
+    assert np.allclose(got["g"]["mean"], best[1], atol=0.25) and set(got) == {"g", "h"}
+
+
+def test_rare_sources_are_judged_by_wider_estimates(spark):
+    """A few documents of a rare source or language that are far from everything are rejected, ordinary ones are kept."""
+    odd = " ".join(w + "&&&" for w in prose(150).split())
+    rows = [(i, prose(int(RNG.integers(80, 400))), "en", "a") for i in range(300)]
+    rows += [(1000, odd, "en", "rare"), (1001, prose(200), "en", "rare"), (1002, odd, "xx", None), (1003, prose(200), "xx", None), (1004, prose(120), None, "a")]
+    got = {r["doc_id"]: r["kept"] for r in rules.query(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[i] for i in range(1000, 1005)] == [False, True, False, True, True] and sum(got[i] for i in range(300)) >= 298
