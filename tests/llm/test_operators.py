@@ -373,3 +373,43 @@ def test_rare_sources_are_judged_by_wider_estimates(spark):
     rows += [(1000, odd, "en", "rare"), (1001, prose(200), "en", "rare"), (1002, odd, "xx", None), (1003, prose(200), "xx", None), (1004, prose(120), None, "a")]
     got = {r["doc_id"]: r["kept"] for r in rules.query(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert [got[i] for i in range(1000, 1005)] == [False, True, False, True, True] and sum(got[i] for i in range(300)) >= 298
+
+
+def test_every_window_against_brute_force():
+    """All windows of item size against all items by exact similarity: what lies at 0.8 or more is found; probing and comparing blocks agree."""
+    from collections import Counter
+
+    rng = np.random.default_rng(21)
+    items = [(i, prose(int(n))) for i, n in enumerate(rng.integers(3, 60, 60))]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for changes in (0, 1, 1, 2, 3):
+            x = list(w)
+            for c in rng.integers(0, len(x), changes):
+                x[c] = "changed"
+            texts.append(" ".join([prose(30), *x, prose(30)]))
+    texts += ["", None, items[3][1], items[3][1] + " " + items[3][1]]
+    index = decontaminate.Index([*items, (99, None), (98, "")])
+    found = wanted = 0
+    for t in texts:
+        words, want = word_hashes(t), {}
+        for i, item in items:
+            w = word_hashes(item)
+            own = Counter(shingles(w).tolist())
+            for at in range(max(len(words) - len(w), 0) + 1 if len(words) else 0):
+                window = Counter(shingles(words[at : at + len(w)]).tolist())
+                both = sum((own & window).values())
+                s = both / (sum(own.values()) + sum(window.values()) - both)
+                if s >= 0.8:
+                    want[i] = max(want.get(i, 0.0), s)
+        got = {i: s for i, _, s in index.match(words)}
+        assert all(want[i] >= s - 1e-12 for i, s in got.items())
+        wanted, found = wanted + len(want), found + len(set(got) & set(want))
+    assert wanted > 100 and found >= 0.999 * wanted, (found, wanted)
+    prints = rng.integers(0, 1 << 16, (300, 16)).astype(np.uint16)
+    sized = decontaminate.Sized(np.arange(300), prints)
+    near = prints[:20] ^ (rng.random((20, 16)) < 0.4).astype(np.uint16) * np.uint16(5)
+    pairs = [sorted(zip(*(x.tolist() for x in sized.near(near, probe)))) for probe in (True, False)]
+    brute = [(r, i) for r in range(20) for i in range(300) if np.bitwise_count(near[r] ^ prints[i]).sum() <= decontaminate.RADIUS]
+    assert pairs[0] == pairs[1] == brute and len(brute) >= 20
