@@ -9,7 +9,7 @@ template.  Text that is itself a template token is boilerplate, inside an articl
 named by its tag path.
 
 A slot is read as content unless its path runs through furniture: navigation, header, footer, aside, form, script, style,
-or an element whose class, id or role says advert, notice, menu, comments and the like.  Pages with an article (or main)
+or an element whose class, id or role names nothing but an advert, notice, menu, comments and the like.  Pages with an article (or main)
 element keep only the slots in it, or its whole text if the template covers all of it (a copied article); the rest keep all others,
 linked or not.
 
@@ -35,7 +35,9 @@ CLASS, SUPPORT, SHARE = 3, 4, 0.5
 #: Bytes of all templates up to which they are broadcast; beyond, pages and templates are joined by host.
 BROADCAST = 16 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Attributes: a name, perhaps "=" and a quoted or unquoted value; a quote has a meaning only right behind "=".  Possessive, so that it never goes back.
+_ATTRIBUTES = r"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]++)?)?|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])|\Z", re.I) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math")}
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -43,8 +45,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that do not end a run of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 FURNITURE = frozenset("nav header footer aside form script style noscript template iframe svg math button select option textarea input dialog menu head title object canvas".split())
-#: Words of class, id or role that mark furniture.
+#: Words of class, id or role that mark furniture, where a name is made of nothing but these and PLAIN ones: "main-menu" is, "menu-of-the-day" not.
 MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu menubar modal nav navbar navigation newsletter notice notices popup promo promotion promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary search".split())
+PLAIN = frozenset("a area b bar block body bottom box button container content desktop fixed float footer foot form global group head holder id inner item items left link links list main mobile outer page panel post posts primary right row secondary section signup site slot space spot sticky top unit wrap wrapper zone articles stories".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -52,11 +55,13 @@ _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer fo
 @functools.lru_cache(1 << 14)
 def _label(name: str, attributes: str) -> tuple[str, bool]:
     """The element's name in a path, and whether it is furniture."""
-    words: list[str] = []
+    marks: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        words += _WORDS.findall((m[2] or m[3] or m[4] or "").lower())
-    marks = sorted(set(words) & MARKS)
-    return name + "".join("." + w for w in marks), bool(marks) or name in FURNITURE
+        for each in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(_WORDS.findall(each))
+            if words & MARKS and words <= MARKS | PLAIN:
+                marks |= words & MARKS
+    return name + "".join("." + w for w in sorted(marks)), bool(marks) or name in FURNITURE
 
 
 def nodes(page: str):

@@ -413,3 +413,35 @@ def test_every_window_against_brute_force():
     pairs = [sorted(zip(*(x.tolist() for x in sized.near(near, probe)))) for probe in (True, False)]
     brute = [(r, i) for r in range(20) for i in range(300) if np.bitwise_count(near[r] ^ prints[i]).sum() <= decontaminate.RADIUS]
     assert pairs[0] == pairs[1] == brute and len(brute) >= 20
+
+
+def test_attributes_and_marks():
+    """Quotes open a value only behind "=", no text is lost; a class that merely contains a furniture word is content."""
+    for page, want in [
+        ("<article><p title=it's>Hello world</p><p>I don't know</p></article>", "Hello world I don't know"),
+        ('<article><p "stray>one</p><p a="b">two</p></article>', "one two"),
+        ("<article><p class='menu-of-the-day'>Soup</p><p class='product-widget'>Lamp</p><div class='main-menu'>no</div><div class='ad-slot'>no</div></article>", "Soup Lamp"),
+        ("<p a = 'x>y' b=\"z>w\" c>t</p>", "t"),
+        ("<p a=/x/>t</p><br/>u", "t u"),
+        ("<p a='unclosed>t", ""),
+    ]:
+        assert html.extract(page) == want, page
+    assert html.extract("<p " + "a='b' " * 50_000 + ">end</p>" + "<" * 50_000).startswith("end")
+
+
+def test_templates_by_broadcast_and_by_join(spark, monkeypatch):
+    """Occurrence vectors on a small host by brute force; both ways to the templates give the same rows."""
+    own = [f"{prose(20)} own{i}" for i in range(8)]
+    rows = [(i, f"http://H.com/{i}", f"<body><div>Top</div><article><h1>T{i}</h1><p>Sign up now</p><p>{t}</p></article><div>End</div></body>") for i, t in enumerate(own)]
+    pages = spark.createDataFrame([*rows, (9, None, "<p>alone</p>"), (10, "http://other.org", None)], "page_id long, url string, html string")
+    vectors = {}
+    for i, _, page in rows:
+        for (key, kind, path), n in html.page_tokens(page).items():
+            vectors.setdefault((key, kind), []).append((i, n))
+    always = {key for (key, kind), v in vectors.items() if kind == "text" and v == [(i, 1) for i in range(8)]}
+    found = {r["host"]: set(r["keys"]) for r in html.templates(pages, Scratch(spark, "test")).collect()}
+    assert found == {"h.com": always} and len(always) == 3
+    a = sorted(map(tuple, html.query(spark, pages).collect()), key=str)
+    monkeypatch.setattr(html, "BROADCAST", 0)
+    assert a == sorted(map(tuple, html.query(spark, pages).collect()), key=str) and len(a) == 10
+    assert {r[0]: r[2] for r in a} == {i: f"T{i} {t}" for i, t in enumerate(own)} | {9: "alone", 10: ""}
