@@ -11,7 +11,6 @@ from .operators import label, link, spatial, stats
 from .plans import driver as d
 from .sources import files
 
-_K = F.col("p_partkey")
 #: part with nested fields as a place source has them: a list of levels that may be missing, hold null or be empty, and a list of sources.
 _NESTED = """nested AS (SELECT p_partkey AS id, p_type AS basic, CASE p_partkey % 5 WHEN 0 THEN ['food', p_brand] WHEN 1 THEN NULL WHEN 2 THEN [NULL] WHEN 3 THEN ['shop'] ELSE [] END AS hierarchy,
 CASE WHEN p_partkey % 3 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 4 > 0 THEN p_brand END AS freeform, p_brand AS brand, 'set' || CAST(p_partkey % 3 AS VARCHAR) AS d1, 'set' || CAST(p_partkey % 2 AS VARCHAR) AS d2 FROM part)"""
@@ -20,11 +19,11 @@ CASE WHEN p_partkey % 3 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 4 > 0
 def _nested(spark, sf):
     p = d.table(spark, sf, "part")
     none = F.lit(None).cast("array<string>")
-    hierarchy = F.when(_K % 5 == 0, F.array(F.lit("food"), F.col("p_brand"))).when(_K % 5 == 1, none).when(_K % 5 == 2, F.array(F.lit(None).cast("string"))).when(_K % 5 == 3, F.array(F.lit("shop"))).otherwise(F.array().cast("array<string>"))
-    names = F.when(_K % 3 > 0, F.struct(F.col("p_name").alias("primary")))
-    addresses = F.when(_K % 4 > 0, F.array(F.struct(F.col("p_brand").alias("freeform"))))
-    sources = F.array(*[F.struct(F.concat(F.lit("set"), (_K % n).cast("string")).alias("dataset"), (_K % n).alias("license")) for n in (3, 2)])
-    return p.select(_K.alias("id"), F.col("p_type").alias("basic"), hierarchy.alias("hierarchy"), names.alias("names"), addresses.alias("addresses"), sources.alias("sources"), "p_brand")
+    hierarchy = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("food"), F.col("p_brand"))).when(F.col("p_partkey") % 5 == 1, none).when(F.col("p_partkey") % 5 == 2, F.array(F.lit(None).cast("string"))).when(F.col("p_partkey") % 5 == 3, F.array(F.lit("shop"))).otherwise(F.array().cast("array<string>"))
+    names = F.when(F.col("p_partkey") % 3 > 0, F.struct(F.col("p_name").alias("primary")))
+    addresses = F.when(F.col("p_partkey") % 4 > 0, F.array(F.struct(F.col("p_brand").alias("freeform"))))
+    sources = F.array(*[F.struct(F.concat(F.lit("set"), (F.col("p_partkey") % n).cast("string")).alias("dataset"), (F.col("p_partkey") % n).alias("license")) for n in (3, 2)])
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("basic"), hierarchy.alias("hierarchy"), names.alias("names"), addresses.alias("addresses"), sources.alias("sources"), "p_brand")
 
 
 @query(f"WITH {_NESTED} SELECT id, coalesce(hierarchy[1] = 'food' OR (hierarchy IS NULL AND basic IN ('LARGE', 'SMALL')), false) AS by_list, coalesce(hierarchy[1] = 'food' OR (hierarchy[1] IS NULL AND basic IN ('LARGE', 'SMALL')), false) AS by_first FROM nested")
@@ -42,7 +41,7 @@ def flat_records(spark, sf):
 
 @query("SELECT p_partkey AS id FROM part WHERE contains(p_name, 'gear') OR contains(p_brand, 'gear') OR contains(p_name, '#1') OR contains(p_brand, '#1')")
 def attribution_filter(spark, sf):
-    return d.table(spark, sf, "part").where(rules.attributed(F.array("p_name", "p_brand"), ["gear", "#1"])).select(_K.alias("id"))
+    return d.table(spark, sf, "part").where(rules.attributed(F.array("p_name", "p_brand"), ["gear", "#1"])).select(F.col("p_partkey").alias("id"))
 
 
 @query("SELECT event_id, value FROM events WHERE value >= 50 AND event_type = 'click'")
@@ -137,15 +136,15 @@ def fuzzy_nearest(spark, sf):
     p = d.table(spark, sf, "part")
     first = F.split("p_name", " ")[0]
     a = d.table(spark, sf, "customer").join(p, F.col("p_partkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("row_id"), first.alias("core"), *d.place(F.col("c_custkey") * 3))
-    b = p.select(_K.alias("other_id"), F.when(_K % 2 == 0, first).otherwise(F.replace("p_name", F.lit(" "), F.lit(""))).alias("other_core"), *d.place(_K))
+    b = p.select(F.col("p_partkey").alias("other_id"), F.when(F.col("p_partkey") % 2 == 0, first).otherwise(F.replace("p_name", F.lit(" "), F.lit(""))).alias("other_core"), *d.place(F.col("p_partkey")))
     return link.fuzzy_nearest(a, b, 1000.0, 0.9)
 
 
 @query()
 def tiered_matches(spark, sf):
     p = d.table(spark, sf, "part")
-    a = p.where(_K % 2 == 0).select(_K.alias("row_id"), F.lower("p_name").alias("core"), *d.place(_K))
-    b = p.where(_K % 2 == 1).select(_K.alias("other_id"), F.lower(F.concat("p_name", F.lit("店"))).alias("other_core"), F.lit("ギア").alias("other_kana"), *d.place(_K))
+    a = p.where(F.col("p_partkey") % 2 == 0).select(F.col("p_partkey").alias("row_id"), F.lower("p_name").alias("core"), *d.place(F.col("p_partkey")))
+    b = p.where(F.col("p_partkey") % 2 == 1).select(F.col("p_partkey").alias("other_id"), F.lower(F.concat("p_name", F.lit("店"))).alias("other_core"), F.lit("ギア").alias("other_kana"), *d.place(F.col("p_partkey")))
     return link.tiered_nearest(a, b, ["blue"], ["anvil"])
 
 
@@ -165,9 +164,9 @@ def lookup_last_wins(spark, sf):
 @query("WITH l AS (SELECT name, arg_max(size, id) AS size FROM (SELECT p_partkey AS id, trim(' ' || p_name || '  ') AS name, p_size AS size FROM part) GROUP BY 1) SELECT p_partkey AS id, l.size FROM part LEFT JOIN l ON l.name = trim(p_name)")
 def name_labels(spark, sf):
     p = d.table(spark, sf, "part")
-    names = p.select(text.trimmed(F.concat(F.lit(" "), "p_name", F.lit("　 "))).alias("name"), F.col("p_size").alias("size"), _K.alias("ord"))
+    names = p.select(text.trimmed(F.concat(F.lit(" "), "p_name", F.lit("　 "))).alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("ord"))
     labels = rules.last_wins(names, ["name"], "ord").select("name", "size")
-    return p.select(_K.alias("id"), text.trimmed(F.col("p_name")).alias("name")).join(labels, "name", "left").select("id", "size")
+    return p.select(F.col("p_partkey").alias("id"), text.trimmed(F.col("p_name")).alias("name")).join(labels, "name", "left").select("id", "size")
 
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey < 5 THEN 'note ' || CAST(n_nationkey AS VARCHAR) END AS note FROM nation")
@@ -232,7 +231,7 @@ def census_codes(spark, sf):
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'sushi' WHEN p_partkey % 4 = 1 THEN 'noodles' WHEN p_partkey % 2 = 0 AND p_size > 10 THEN 'bar' WHEN p_size % 2 = 0 THEN 'bakery' ELSE '' END AS genre FROM part")
 def tag_genres(spark, sf):
-    k, size = _K, F.col("p_size")
+    k, size = F.col("p_partkey"), F.col("p_size")
     cuisine = F.when(k % 4 == 0, "odd;Su Shi;ramen").when(k % 4 == 1, "ramen").otherwise("odd")
     tags = F.create_map(F.lit("cuisine"), cuisine, F.lit("amenity"), F.when((k % 2 == 0) & (size > 10), "pub").otherwise("bench"), F.lit("shop"), F.when(size % 2 == 0, "bread").otherwise("x"))
     genre = rules.tag_genre(tags, {"sushi": "sushi", "ramen": "noodles"}, {"pub": "bar"}, {"bread": "bakery"})
@@ -350,7 +349,7 @@ def area_keys(spark, sf):
 
 @query("SELECT p_partkey AS id, row_number() OVER (ORDER BY CASE WHEN p_size > 25 THEN p_type END NULLS LAST, p_name NULLS LAST, p_partkey) AS place FROM part")
 def ordered_nulls_last(spark, sf):
-    p = d.table(spark, sf, "part").select(_K.alias("id"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("category"), "p_name")
+    p = d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("category"), "p_name")
     return stats.numbered(p, F.col("category").asc_nulls_last(), F.col("p_name").asc_nulls_last(), F.col("id")).select("id", "place")
 
 
@@ -390,13 +389,13 @@ def circle_boxes(spark, sf):
 
 @query("SELECT p_partkey AS id, replace(lower(p_name), ' ', '') AS core, regexp_replace(lower(p_type || p_name), '[^a-z]', '', 'g') AS latin, CASE WHEN p_partkey % 3 = 0 THEN 'shato' WHEN p_partkey % 3 = 1 THEN 'kafuerattekyoku' ELSE '' END AS kana, CAST(p_partkey % 100 AS INTEGER) AS number FROM part")
 def name_forms(spark, sf):
-    k = _K % 100
+    k = F.col("p_partkey") % 100
     one = F.translate((k % 10).cast("string"), "0123456789", "〇一二三四五六七八九")
     ten = F.translate(F.floor(k / 10).cast("string"), "0123456789", "〇一二三四五六七八九")
     kanji = F.when(k < 10, one).otherwise(F.concat(F.when(F.floor(k / 10) > 1, ten).otherwise(""), F.lit("十"), F.when(k % 10 > 0, one).otherwise("")))
     wide = F.translate("p_name", "abcde", "ａｂｃｄｅ")
-    kana = F.when(_K % 3 == 0, "シャトー").when(_K % 3 == 1, "カフェ・ラッテキョク").otherwise("ひらがな abc")
-    return d.table(spark, sf, "part").select(_K.alias("id"), text.core_name(wide).alias("core"), text.latin_only(F.concat("p_type", wide)).alias("latin"), text.romaji(kana).alias("kana"), text.town_and_chome(F.concat(F.lit("町"), kanji, F.lit("丁目")))["chome"].alias("number"))
+    kana = F.when(F.col("p_partkey") % 3 == 0, "シャトー").when(F.col("p_partkey") % 3 == 1, "カフェ・ラッテキョク").otherwise("ひらがな abc")
+    return d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.core_name(wide).alias("core"), text.latin_only(F.concat("p_type", wide)).alias("latin"), text.romaji(kana).alias("kana"), text.town_and_chome(F.concat(F.lit("町"), kanji, F.lit("丁目")))["chome"].alias("number"))
 
 
 @query(f"WITH {V} SELECT id, CAST(round(lat * 1e5) AS BIGINT) AS lat5, CAST(round(lng * 1e5) AS BIGINT) AS lng5, round((lng - 139.6e0) * 1000, 6) AS x, round((35.8e0 - lat) * 1000, 6) AS y FROM venues")
@@ -422,7 +421,7 @@ def exact_rounding(spark, sf):
 def tag_json(spark, sf):
     keys = [F.lit("shop"), F.col("p_type"), F.lit("note"), F.col("p_brand")]
     tags = F.when(F.col("p_size") > 20, F.create_map(*keys, F.lit("cuisine"), F.col("p_name"))).otherwise(F.create_map(*keys))
-    return d.table(spark, sf, "part").select(_K.alias("id"), text.tag_json(tags, ["shop", "cuisine"]).alias("tags"))
+    return d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.tag_json(tags, ["shop", "cuisine"]).alias("tags"))
 
 
 @query()
