@@ -308,7 +308,8 @@ def link(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
     if members.isEmpty():
         return None
     involved = members.select("digest").distinct()
-    one = signed.groupBy("digest").agg(F.min("uid").alias("uid")).join(involved, "digest", "left_semi").select("uid")  # a row of each text
+    # A row of each text; written, so that Spark knows its size and moves the signed rows only where it is too large to broadcast.
+    one = scratch.table(signed.groupBy("digest").agg(F.min("uid").alias("uid")).join(involved, "digest", "left_semi").select("uid"), "one")
     nodes = scratch.table(signed.select("uid", "digest", "sig", "mini", "shingles", "weights").join(one, "uid", "left_semi").drop("uid"), "nodes")
     return _settle(members, None, nodes, scratch)
 
