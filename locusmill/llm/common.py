@@ -10,8 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..scratch import Scratch, beside, ship  # noqa: F401 - the operators take them from here
+from ..scratch import BROADCAST_ROWS, Scratch, beside, ship  # noqa: F401 - the operators take them from here
 
 #: Characters of text that one step of a Python operator handles at once; bounds the arrays it builds.
 SLICE_CHARS = 250_000
@@ -48,6 +50,21 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def chosen(rows: DataFrame, uids: DataFrame, scratch: Scratch, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows whose `uid`, a number of 0 or more, is among uids.  The numbers go into bitmaps of 32,768 consecutive ones each, 4 KB.  Up to
+    `limit` bitmaps, 80 MB for some 600 million numbers, these are broadcast and no row moves; beyond, rows are shuffled by uid.  Both give the same
+    rows.  Repeated uids count once; none give no rows."""
+    n = F.col("uid") + 1  # numbers above 0 fill a bitmap from its first bit
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("__bits")
+    maps = scratch.table(uids.groupBy(F.bitmap_bucket_number(n).alias("__block")).agg(bits), name)
+    if maps.limit(limit + 1).count() > limit:
+        return rows.join(uids.select("uid"), "uid", "left_semi")
+    place = F.bitmap_bit_position(n)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(n) == F.col("__block"))
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 #: Odd multiplier of the positional word hash, its inverse modulo 2**64, and a 64-bit value for each byte.
 _R = 0xD1342543DE82EF95
 _R_INVERSE = pow(_R, -1, 1 << 64)

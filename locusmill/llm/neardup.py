@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components as stars
-from .common import Scratch, hashed_words, mix, releasing, ship, shingles, slices
+from .common import Scratch, chosen, hashed_words, mix, releasing, ship, shingles, slices
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and registers in a band of each level.
@@ -308,9 +308,8 @@ def link(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
     if members.isEmpty():
         return None
     involved = members.select("digest").distinct()
-    # A row of each text; written, so that Spark knows its size and moves the signed rows only where it is too large to broadcast.
-    one = scratch.table(signed.groupBy("digest").agg(F.min("uid").alias("uid")).join(involved, "digest", "left_semi").select("uid"), "one")
-    nodes = scratch.table(signed.select("uid", "digest", "sig", "mini", "shingles", "weights").join(one, "uid", "left_semi").drop("uid"), "nodes")
+    one = signed.groupBy("digest").agg(F.min("uid").alias("uid")).join(involved, "digest", "left_semi").select("uid")  # a row of each text
+    nodes = scratch.table(chosen(signed.select("uid", "digest", "sig", "mini", "shingles", "weights"), one, scratch, "one").drop("uid"), "nodes")
     return _settle(members, None, nodes, scratch)
 
 
@@ -349,7 +348,7 @@ def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     signed = scratch.table(sign(rows.select("uid", "row.doc_id", "row.text")), "signed")
     best = _classes(signed, scratch)[1]
     scratch.drop("signed", "texts")
-    return rows.join(best.select("uid"), "uid", "left_semi").select("row.*")
+    return chosen(rows, best.select("uid"), scratch, "kept").select("row.*")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

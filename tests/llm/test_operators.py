@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("locusmill.llm")
 from locusmill.llm import chat, decontaminate, html, idstore, neardup, packing, quality, queries, rules, secrets, urls  # noqa: E402
-from locusmill.llm.common import Scratch, shingles, word_hashes  # noqa: E402
+from locusmill.llm.common import Scratch, chosen, shingles, word_hashes  # noqa: E402
 from locusmill.llm.textstats import statistics  # noqa: E402
 
 RNG = np.random.default_rng(5)
@@ -445,3 +445,16 @@ def test_templates_by_broadcast_and_by_join(spark, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST", 0)
     assert a == sorted(map(tuple, html.query(spark, pages).collect()), key=str) and len(a) == 10
     assert {r[0]: r[2] for r in a} == {i: f"T{i} {t}" for i, t in enumerate(own)} | {9: "alone", 10: ""}
+
+
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_chosen_by_bitmaps_and_by_join(spark, limit):
+    """Numbers at the borders of bytes, of bitmaps and of partitions; some repeated, some of no row."""
+    edges = [0, 1, 7, 8, 9, 32766, 32767, 32768, 32769, 65535, 65536, 1 << 33, (1 << 33) + 7, (1 << 33) + 32767, (1 << 33) + 32768, (5 << 33) + 3]
+    rows = spark.createDataFrame([(u, f"r{u}") for u in edges], "uid long, place string")
+    scratch = Scratch(spark, "chosen")
+    for k, want in enumerate([edges[::2], edges[1::2], edges, []]):
+        uids = spark.createDataFrame([(u,) for u in [*want, *want[:3], 12345, 9 << 33]], "uid long")
+        got = chosen(rows, uids, scratch, f"maps{k}", limit)
+        assert got.columns == ["uid", "place"]
+        assert sorted(got.collect()) == [(u, f"r{u}") for u in sorted(want)]
