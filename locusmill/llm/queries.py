@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, idstore, neardup, packing, quality, rules, secrets, urls
+from . import asof, chat, cluster, decontaminate, html, idstore, neardup, packing, quality, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.query(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.query(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_quality_classifier, op3_id_store, op4_near_duplicates, op5_quality_rules, op6_packing, op7_main_text, op8_chat_format, op9_url_filter, op10_decontamination)
+    own = (op1_secret_scan, op2_quality_classifier, op3_id_store, op4_near_duplicates, op5_quality_rules, op6_packing, op7_main_text, op8_chat_format, op9_url_filter, op10_decontamination, op11_sharding, op12_as_of, op13_centroids)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.SQL, "op9_url_filter": urls.SQL}
+    return {"op8_chat_format": chat.SQL, "op9_url_filter": urls.SQL, "op11_sharding": sharding.SQL, "op12_as_of": asof.SQL, "op13_centroids": cluster.SQL}
