@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import geo, rules, text
-from .operators import label, link, spatial, stats
+from .operators import label, link, order, spatial, stats
 from .plans import driver as d
 
 QUERIES: dict = {}
@@ -238,7 +238,7 @@ def left_anti_todo(spark, sf):
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS chunk, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 100 AS INTEGER) AS pos FROM documents")
 def chunking(spark, sf):
-    return label.chunked(d.table(spark, sf, "documents").select("doc_id"), "doc_id", 100).select("doc_id", "chunk", "pos")
+    return order.chunked(d.table(spark, sf, "documents").select("doc_id"), "doc_id", 100).select("doc_id", "chunk", "pos")
 
 
 @query("SELECT count(*) AS n, count(quality) AS a_adopted, count(toxic) AS b_adopted, count(*) FILTER (quality = t) AS a_correct, count(*) FILTER (toxic = t) AS b_correct, count(*) FILTER (quality = toxic) AS same, count(*) FILTER (quality = toxic AND quality <> t) AS same_wrong FROM (SELECT l.quality, l.toxic, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS t FROM labels l JOIN documents USING (doc_id))")
@@ -340,12 +340,12 @@ def genre_table(spark, sf):
 
 @query(f"WITH {V} SELECT label, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM venues GROUP BY label")
 def genre_dictionary(spark, sf):
-    return stats.dictionary(d.venues(spark, sf), "label", "id").select("label", F.col("code").cast("long").alias("code"))
+    return order.dictionary(d.venues(spark, sf), "label", "id").select("label", F.col("code").cast("long").alias("code"))
 
 
 @query(f"WITH {S} SELECT station, passengers, rank() OVER (ORDER BY passengers DESC) AS place FROM stations WHERE passengers IS NOT NULL")
 def ridership_ranking(spark, sf):
-    return d.stations(spark, sf).where("passengers is not null").select("station", "passengers", F.rank().over(Window.orderBy(F.desc("passengers"))).cast("long").alias("place"))
+    return order.ranked(d.stations(spark, sf).select("station", "passengers"), "passengers")
 
 
 @query()
@@ -364,5 +364,5 @@ def _stub(prompt: str) -> str:
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def labeler_stub(spark, sf):
-    chunks = label.chunked(left_anti_todo(spark, sf), "doc_id", 50)
+    chunks = order.chunked(left_anti_todo(spark, sf), "doc_id", 50)
     return label.collected(label.ask(label.prompts(chunks, ["doc_id"]), _stub), chunks, ["even", "odd"]).select("doc_id", "label")

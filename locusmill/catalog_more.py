@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _lq, _pairs, query
 from .functions import geo, rules, text
-from .operators import label, link, spatial, stats
+from .operators import cover, label, link, order, spatial, stats
 from .plans import driver as d
+from .scratch import Scratch
 from .sources import files
 
 #: part with nested fields as a place source has them: a list of levels that may be missing, hold null or be empty, and a list of sources.
@@ -318,6 +319,41 @@ def area_ratios(spark, sf):
     return stats.ratios(c, "ward", {"central": list(range(5)), "outer": list(range(20, 25))})
 
 
+def _ring(corners):
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in (*corners, corners[0])])
+
+
+def _box(x0, y0, x1, y1):
+    return _ring([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+
+
+_HOLLOW = "p AS (SELECT n_nationkey AS k, 139.6e0 + n_nationkey * 0.009e0 + 0.00003e0 AS x, 35.6e0 + n_nationkey * 5 % 25 * 0.006e0 + 0.00003e0 AS y FROM nation)"
+
+
+@query(f"WITH {V}, {_HOLLOW}, h AS (SELECT v.id, min(k) AS area FROM venues v, p WHERE (lng > x AND lng < x + 0.08e0 AND lat > y AND lat < y + 0.05e0 AND NOT (lng > x + 0.02e0 AND lng < x + 0.06e0 AND lat > y + 0.01e0 AND lat < y + 0.04e0)) OR (lng > x + 0.03e0 AND lng < x + 0.05e0 AND lat > y + 0.02e0 AND lat < y + 0.03e0) OR (lng > x + 0.1e0 AND lng < x + 0.11e0 AND lat > y AND lat < y + 0.05e0) GROUP BY 1) SELECT v.id, h.area FROM venues v LEFT JOIN h USING (id)")
+def hollow_areas(spark, sf):
+    """Areas with a hole, an island in it and a part of their own; a venue lies in the first that holds it."""
+    n = d.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("ord"), (F.lit(139.6) + F.col("n_nationkey") * 0.009 + 0.00003).alias("x"), (F.lit(35.6) + F.col("n_nationkey") * 5 % 25 * 0.006 + 0.00003).alias("y"))
+    boxes = [(0.0, 0.0, 0.08, 0.05), (0.02, 0.01, 0.06, 0.04), (0.03, 0.02, 0.05, 0.03), (0.1, 0.0, 0.11, 0.05)]
+    rings = F.array(*[_box(F.col("x") + a, F.col("y") + b, F.col("x") + c, F.col("y") + e) for a, b, c, e in boxes])
+    return cover.located(d.venues(spark, sf).select("id", "lat", "lng"), n.select("id", "ord", rings.alias("rings"))).select("id", "area")
+
+
+@query("""WITH RECURSIVE f AS (SELECT s_nationkey AS area, s_suppkey * 7919 % 40 AS x, s_suppkey * 104729 % 40 AS y, 6 + s_suppkey % 5 AS w, 6 + s_suppkey % 7 AS h FROM supplier),
+g AS (SELECT DISTINCT area, i AS x, j AS y FROM f, range(0, 52) a(i), range(0, 54) b(j) WHERE i >= x AND i < x + w AND j >= y AND j < y + h AND NOT (i >= x + 2 AND i < x + w - 2 AND j >= y + 2 AND j < y + h - 2)),
+o AS (SELECT DISTINCT area, CAST(-1 AS BIGINT) AS x, CAST(-1 AS BIGINT) AS y FROM f UNION
+  SELECT o.area, o.x + a, o.y + b FROM o, range(-1, 2) p(a), range(-1, 2) q(b) WHERE o.x + a BETWEEN -1 AND 53 AND o.y + b BETWEEN -1 AND 55 AND NOT EXISTS (SELECT 1 FROM g WHERE g.area = o.area AND g.x = o.x + a AND g.y = o.y + b))
+SELECT g.area, round(count(*) * 90e0 * 111e0 / 4096, 3) AS km2, round((55 * 57 - any_value(n)) * 90e0 * 111e0 / 4096, 3) AS filled_km2 FROM g JOIN (SELECT area, count(*) AS n FROM o GROUP BY 1) o ON o.area = g.area GROUP BY 1""")
+def area_union(spark, sf):
+    """Hollow boxes of each nation's suppliers, united; the SQL counts cells of a fine grid, and floods it from outside to find the holes."""
+    k = F.col("s_suppkey")
+    x, y, w, h = k * 7919 % 40, k * 104729 % 40, 6 + k % 5, 6 + k % 7
+    hollow = F.array(*[_box((x + i) / 64, (y + i) / 64, (x + w - i) / 64, (y + h - i) / 64) for i in (0, 2)])
+    p = d.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("area"), hollow.alias("rings"))
+    t = cover.sizes(p, Scratch(spark, "union"), 90.0, 111.0)
+    return t.select("area", F.round("km2", 3).alias("km2"), F.round("filled_km2", 3).alias("filled_km2"))
+
+
 @query(f"WITH {V} SELECT id, least(abs(lng - 139.65e0), abs(139.75e0 - lng)) * 90000 < 500 AND lat BETWEEN 35.64e0 AND 35.76e0 OR least(abs(lat - 35.64e0), abs(35.76e0 - lat)) * 111000 < 500 AND lng BETWEEN 139.65e0 AND 139.75e0 AS near_edge FROM venues WHERE lng BETWEEN 139.65e0 AND 139.75e0 AND lat BETWEEN 35.64e0 AND 35.76e0")
 def edge_flags(spark, sf):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((139.65, 35.64), (139.75, 35.64), (139.75, 35.76), (139.65, 35.76), (139.65, 35.64))])
@@ -350,12 +386,12 @@ def area_keys(spark, sf):
 @query("SELECT p_partkey AS id, row_number() OVER (ORDER BY CASE WHEN p_size > 25 THEN p_type END NULLS LAST, p_name NULLS LAST, p_partkey) AS place FROM part")
 def ordered_nulls_last(spark, sf):
     p = d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("category"), "p_name")
-    return stats.numbered(p, F.col("category").asc_nulls_last(), F.col("p_name").asc_nulls_last(), F.col("id")).select("id", "place")
+    return order.numbered(p, F.col("category").asc_nulls_last(), F.col("p_name").asc_nulls_last(), F.col("id")).select("id", "place")
 
 
 @query(f"WITH {S} SELECT station, row_number() OVER (ORDER BY passengers DESC NULLS LAST, station) AS place FROM stations")
 def stable_ranking(spark, sf):
-    return stats.numbered(d.stations(spark, sf).select("station", "passengers"), F.col("passengers").desc_nulls_last(), F.col("station")).select("station", "place")
+    return order.numbered(d.stations(spark, sf).select("station", "passengers"), F.col("passengers").desc_nulls_last(), F.col("station")).select("station", "place")
 
 
 @query(f"WITH {V} SELECT id, CAST(CASE mid " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(d.MIDS)) + f" ELSE {len(d.MIDS) + 1} END AS INTEGER) AS place FROM venues")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ANSWER = "struct<items: array<struct<id: string, label: string, confidence: string, reason: string>>>"
 
@@ -16,16 +15,6 @@ def todo(names: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
     return names.join(labelled.select(key).distinct(), key, "left_anti")
 
 
-def chunked(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with chunk and pos, by key order.  Numbers come from counts per range and numbers within, not from one task."""
-    parts = rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    n = F.row_number().over(Window.partitionBy("__part").orderBy(key)) + F.col("__before") - 1
-    numbered = parts.join(before, "__part").withColumn("__i", n)
-    return numbered.withColumn("chunk", F.floor(F.col("__i") / size)).withColumn("pos", (F.col("__i") % size).cast("int")).drop("__part", "__before", "__i")
-
-
 def prompts(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """chunk, n, prompt: a tab-separated line n0, n1, ... per row; a chunk has a fixed size."""
     line = F.concat_ws("\t", F.concat(F.lit("n"), "pos"), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from . import cover
 
 
 def in_bbox(df: DataFrame, box: tuple[float, float, float, float], bbox: str = "bbox") -> DataFrame:
@@ -39,16 +40,11 @@ def best_match(pairs: DataFrame, key: list[str], order: list[Column]) -> DataFra
     return pairs.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__k") == 1).drop("__k")
 
 
-def polygon_join(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
-    """points with `area` of the first polygon (by ord) that holds them; others are dropped.  polygons: area, ord, ring (array<struct<x, y>>).
-    Polygons are covered with cells of `size` degrees, points look up their own cell."""
-    x, y = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    cover = polygons.select("area", "ord", "ring", F.explode(F.sequence(geo.cell(F.array_min(y), size), geo.cell(F.array_max(y), size))).alias("__cy"), x.alias("__x"))
-    cover = cover.withColumn("__cx", F.explode(F.sequence(geo.cell(F.array_min("__x"), size), geo.cell(F.array_max("__x"), size)))).drop("__x")
-    p = points.withColumns({"__cy": geo.cell(F.col("lat"), size), "__cx": geo.cell(F.col("lng"), size)})
-    hit = p.join(cover, ["__cy", "__cx"]).where(geo.inside(F.col("ring"), F.col("lng"), F.col("lat")))
-    keys = points.columns
-    return hit.groupBy(*keys).agg(F.min_by("area", "ord").alias("area"))
+def polygon_join(points: DataFrame, polygons: DataFrame, size: float = 0.0625) -> DataFrame:
+    """points with `area` of the first polygon (by ord) that holds them; others are dropped.  polygons: area, ord, and ring (array<struct<x, y>>)
+    or rings, for holes and parts."""
+    whole = polygons if "rings" in polygons.columns else polygons.withColumn("rings", F.array("ring"))
+    return cover.located(points, whole.select(F.col("area").alias("id"), "ord", "rings"), size).where(F.col("area").isNotNull())
 
 
 def quadtree(points: DataFrame, box: tuple[float, float, float, float], cap: int, most: int = 12) -> DataFrame:
@@ -70,11 +66,8 @@ def quadtree(points: DataFrame, box: tuple[float, float, float, float], cap: int
     return leaves.select("depth", "ix", "iy", "n", F.when(F.col("n") >= cap, "saturated").otherwise("ok").alias("status"))
 
 
-def in_union(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
-    """points in any of the polygons, each once."""
-    x, y = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    cover = polygons.select("ring", F.explode(F.sequence(geo.cell(F.array_min(y), size), geo.cell(F.array_max(y), size))).alias("__cy"), x.alias("__x"))
-    cover = cover.withColumn("__cx", F.explode(F.sequence(geo.cell(F.array_min("__x"), size), geo.cell(F.array_max("__x"), size)))).drop("__x").alias("u")
-    p = points.withColumns({"__cy": geo.cell(F.col("lat"), size), "__cx": geo.cell(F.col("lng"), size)}).alias("p")
-    hit = (F.col("p.__cy") == F.col("u.__cy")) & (F.col("p.__cx") == F.col("u.__cx")) & geo.inside(F.col("u.ring"), F.col("p.lng"), F.col("p.lat"))
-    return p.join(cover, hit, "left_semi").drop("__cy", "__cx")
+def in_union(points: DataFrame, polygons: DataFrame, size: float = 0.0625) -> DataFrame:
+    """points in any of the polygons (ring, or rings for holes and parts), each once."""
+    whole = polygons if "rings" in polygons.columns else polygons.withColumn("rings", F.array("ring"))
+    named = whole.select(F.lit(True).alias("id"), F.lit(0).alias("ord"), "rings")
+    return cover.located(points.withColumnRenamed("area", "__area"), named, size).where("area").drop("area").withColumnRenamed("__area", "area")

@@ -107,12 +107,6 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count_if(both).alias("compared"), F.count_if(both & (F.col(a) == F.col(b))).alias("agreed")).withColumn("rate", F.try_divide(F.col("agreed").cast("double"), F.col("compared")))
 
 
-def dictionary(rows: DataFrame, value: str, ord_col: str) -> DataFrame:
-    """value, code: codes from 0 in order of first appearance; one row per distinct value."""
-    first = rows.groupBy(value).agg(F.min(ord_col).alias("__f"))
-    return first.select(value, (F.row_number().over(Window.orderBy("__f", value)) - 1).alias("code"))
-
-
 def genre_table(final: DataFrame, rules: DataFrame, area: DataFrame, label: str = "label", unresolved: str = "unresolved") -> DataFrame:
     """Counts of three sources side by side with shares and the quotient of the rules-only share to the area's; final shares count
     unresolved rows, the quotient's shares do not."""
@@ -128,15 +122,6 @@ def genre_table(final: DataFrame, rules: DataFrame, area: DataFrame, label: str
     return out.withColumn("lq", F.try_divide("rules_share", "area_share")).drop("t_final", "t_rules", "t_area")
 
 
-def numbered(rows: DataFrame, *order: Column, out: str = "place") -> DataFrame:
-    """rows with their place (from 1) in a total order.  Numbers come from counts per range and numbers within a range, not from one task."""
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return parts.join(before, "__part").withColumn(out, F.col("__before") + within).drop("__part", "__before")
-
-
 def categorical(value: Column, order: list[str]) -> Column:
     """The place of a value in a fixed order; others come last."""
     at = F.array_position(F.array(*[F.lit(x) for x in order]), value)

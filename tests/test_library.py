@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusmill.functions import geo, rules, text
-from locusmill.operators import label, link, spatial, stats
+from locusmill.operators import label, link, order, spatial, stats
 from locusmill.sources import files
 
 
@@ -96,7 +96,7 @@ def test_answers_as_a_stream(spark, tmp_path):
     """Answers that arrive in two files; an id that was not asked and a label out of the list are dropped; what is left can be asked again."""
     from locusmill.streaming import labels as stream
 
-    chunks = label.chunked(spark.createDataFrame([(i,) for i in range(5)], "doc_id long"), "doc_id", 3)
+    chunks = order.chunked(spark.createDataFrame([(i,) for i in range(5)], "doc_id long"), "doc_id", 3)
     chunks.write.parquet(str(tmp_path / "chunks"))
     chunks = spark.read.parquet(str(tmp_path / "chunks"))
     (tmp_path / "in").mkdir()
@@ -196,7 +196,7 @@ def test_rules(spark):
 
 def test_labelling(spark):
     rows = spark.createDataFrame([(i, f"name{i}") for i in range(7)], "id long, name string")
-    chunks = label.chunked(rows, "id", 3)
+    chunks = order.chunked(rows, "id", 3)
 
     def labeler(prompt):
         if "name6" in prompt:
