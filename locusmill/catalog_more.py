@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _lq, _pairs, query
 from .functions import geo, rules, text
-from .operators import cover, label, link, order, spatial, stats
+from .operators import cover, label, link, order, sequential, spatial, stats
 from .plans import driver as d
 from .scratch import Scratch
 from .sources import files
@@ -460,13 +460,22 @@ def tag_json(spark, sf):
     return d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.tag_json(tags, ["shop", "cuisine"]).alias("tags"))
 
 
-@query()
+_FOLD = f"""g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM (SELECT 'N' || CAST(station % 10 AS VARCHAR) AS name, station AS ord, lat, lng FROM stations)),
+f AS (SELECT name, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(o BIGINT, lat DOUBLE, lng DOUBLE, n DOUBLE)[]) AS kept, CAST(-1 AS BIGINT) AS ord, CAST(-1 AS BIGINT) AS into_ FROM g WHERE k = 1
+UNION ALL SELECT name, k, CASE WHEN p = 0 THEN list_append(kept, {{'o': ord, 'lat': lat, 'lng': lng, 'n': 1e0}}) ELSE [CASE WHEN i = p THEN {{'o': x.o, 'lat': (x.lat * x.n + lat) / (x.n + 1), 'lng': (x.lng * x.n + lng) / (x.n + 1), 'n': x.n + 1}} ELSE x END FOR x, i IN kept] END, ord, CASE WHEN p = 0 THEN ord ELSE kept[p].o END
+  FROM (SELECT g.*, f.kept, coalesce(list_position([{H('x.lat', 'x.lng', 'g.lat', 'g.lng')} <= 3000 FOR x IN f.kept], true), 0) AS p FROM f JOIN g ON g.name = f.name AND g.k = f.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {S}, {_FOLD} SELECT name, ord, into_ AS into FROM f WHERE k > 0")
 def merged_groups(spark, sf):
     s = d.stations(spark, sf)
-    return link.merged_groups(s.select(F.concat(F.lit("N"), (F.col("station") % 10).cast("string")).alias("name"), F.col("station").alias("ord"), "lat", "lng", F.lit(1.0).alias("n")), 3000.0)
+    return sequential.merged_groups(s.select(F.concat(F.lit("N"), (F.col("station") % 10).cast("string")).alias("name"), F.col("station").alias("ord"), "lat", "lng", F.lit(1.0).alias("n")), 3000.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {V}, c AS (SELECT id, split_part(name, ' ', 2) AS core, lat, lng FROM venues), n AS (SELECT b.id, list_sort(list(a.id)) AS before FROM c a JOIN c b ON a.id < b.id AND length(a.core) >= 2 AND length(b.core) >= 2 AND (contains(a.core, b.core) OR contains(b.core, a.core)) AND abs(a.lat - b.lat) < 0.004 AND {H('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 400 GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM n), f AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS dropped, CAST(-1 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS owner
+UNION ALL SELECT k, CASE WHEN owner IS NULL THEN dropped ELSE list_append(dropped, id) END, id, owner FROM (SELECT o.k, f.dropped, o.id, list_min(list_filter(o.before, lambda x: NOT list_contains(f.dropped, x))) AS owner FROM f JOIN o ON o.k = f.k + 1))
+SELECT venues.id AS row_id, f.owner AS dup_of FROM venues LEFT JOIN f ON f.id = venues.id""")
 def greedy_duplicates(spark, sf):
-    v = d.venues(spark, sf).select(F.col("id").alias("row_id"), F.split("name", " ")[1].alias("core"), "lat", "lng", geo.cell(F.col("lat"), 0.02).alias("block"))
-    return link.greedy_duplicates(v, "block", 400.0).select("row_id", "dup_of")
+    v = d.venues(spark, sf).select(F.col("id").alias("row_id"), F.split("name", " ")[1].alias("core"), "lat", "lng")
+    return sequential.greedy_duplicates(v, 400.0).select("row_id", "dup_of")

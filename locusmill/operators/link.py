@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
@@ -22,7 +20,7 @@ def near_pairs(rows: DataFrame, limit: float = 50.0, cell: float = 0.0005, unres
     pairs = a.join(base.alias("b"), (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.row_id") < F.col("b.row_id")))
     genre = (F.col("a.genre") == F.col("b.genre")) | (F.col("a.genre") == unresolved) | (F.col("b.genre") == unresolved)
     close = geo.planar(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) <= limit
-    return pairs.where(genre & text.names_match(F.col("a.core"), F.col("b.core")) & close).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"))
+    return pairs.where(close & genre & text.names_match(F.col("a.core"), F.col("b.core"))).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,60 +50,6 @@ def record_key(source: Column, name: Column, lat: Column, lng: Column, address:
     return F.coalesce(F.nullif(id, F.lit("")), F.concat_ws("|", source, name, lat.cast("string"), lng.cast("string"), address))
 
 
-def merged_groups(groups: DataFrame, limit: float = 500.0) -> DataFrame:
-    """Same-named groups merged in order while their centres lie within limit; the centre moves with each merge.
-    groups: name, ord, lat, lng, n -> name, ord, into (the ord of the group it joins).  Order matters, so each name is one task."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        f = f.sort_values("ord")
-        kept: list[list[float]] = []
-        into = []
-        for o, lat, lng, n in zip(f["ord"], f["lat"], f["lng"], f["n"]):
-            for k in kept:
-                a, b = math.radians(k[1]), math.radians(lat)
-                h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lng - k[2]) / 2) ** 2
-                if 2 * geo.EARTH_M * math.asin(math.sqrt(h)) <= limit:
-                    k[1], k[2], k[3] = (k[1] * k[3] + lat * n) / (k[3] + n), (k[2] * k[3] + lng * n) / (k[3] + n), k[3] + n
-                    into.append(int(k[0]))
-                    break
-            else:
-                kept.append([o, lat, lng, n])
-                into.append(int(o))
-        return pd.DataFrame({"name": f["name"], "ord": f["ord"], "into": into})
-
-    return groups.groupBy("name").applyInPandas(run, "name string, ord long, into long")
-
-
-def greedy_duplicates(rows: DataFrame, block: str = "block", limit: float = 30.0) -> DataFrame:
-    """rows with dup_of: the earlier surviving record within limit whose core contains or is contained (2 characters or more), else null.
-    Earlier survivors decide, so each block (a region no pair crosses) is one task."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("dup_of", T.LongType())])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        f = f.sort_values("row_id").reset_index(drop=True)
-        alive: list[int] = []
-        dup = []
-        for i, (core, lat, lng) in enumerate(zip(f["core"], f["lat"], f["lng"])):
-            found = None
-            for j in alive:
-                other = f["core"][j]
-                short = min(core, other, key=len)
-                if len(short) >= 2 and (core in other or other in core) and math.hypot((lat - f["lat"][j]) * geo.M_PER_DEG, (lng - f["lng"][j]) * geo.M_PER_DEG * math.cos(math.radians(f["lat"][j]))) <= limit:
-                    found = int(f["row_id"][j])
-                    break
-            if found is None:
-                alive.append(i)
-            dup.append(found)
-        f["dup_of"] = pd.array(dup, dtype="Int64")
-        return f
-
-    return rows.groupBy(block).applyInPandas(run, schema)
-
-
 def fuzzy_nearest(left: DataFrame, right: DataFrame, limit: float = 80.0, least: float = 0.6) -> DataFrame:
     """row_id, other_id, score, dist_m: of the right records within `limit` metres and with a name score of `least`, the best by score, then
     distance, then order.  left: row_id, core, lat, lng; right: other_id, other_core, lat, lng.  Rows without a match are dropped."""

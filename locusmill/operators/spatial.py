@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,16 +18,29 @@ def in_bbox(df: DataFrame, box: tuple[float, float, float, float], bbox: str = "
     return df.where((F.col(f"{bbox}.xmin") >= x0) & (F.col(f"{bbox}.xmax") <= x1) & (F.col(f"{bbox}.ymin") >= y0) & (F.col(f"{bbox}.ymax") <= y1))
 
 
-def cell_pairs(few: DataFrame, many: DataFrame, radius: float, max_lat: float = 60.0) -> DataFrame:
+def _columns(band: Column, size: float, radius: float) -> Column:
+    """How many cells a latitude band has around the earth, each at least a radius wide for points of the band and its neighbours."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * size)
+    reach = F.lit(math.sin(min(radius / geo.EARTH_M, math.pi) / 2)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+    return F.greatest(F.lit(1), F.floor(360 / (F.degrees(2 * F.asin(F.least(F.lit(1.0), reach))) * 1.001))).cast("long")
+
+
+def cell_pairs(few: DataFrame, many: DataFrame, radius: float) -> DataFrame:
     """All columns of both, and dist_m, for pairs within radius.  Both have lat and lng and no other common names; these come out as
-    few_lat, few_lng, lat, lng.  `few` is copied to the 3 x 3 cells around it, `many` is not copied.  Cells are at least a radius wide up to max_lat."""
-    import math
+    few_lat, few_lng, lat, lng.  `few` is copied to the cells around it in three latitude bands, `many` is not copied.
+
+    A band is a radius high, and its cells are as wide as a radius needs at its latitude, around the earth: pairs beside a pole and across 180
+    degrees are found.  Rows with a null place are in no pair."""
+    size = math.degrees(radius / geo.EARTH_M) * 1.001
+
+    def column(lng: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * n), n - 1)
 
-    size = radius / geo.M_PER_DEG * 1.01
-    wide = size / math.cos(math.radians(max_lat))
     a = few.withColumnsRenamed({"lat": "few_lat", "lng": "few_lng"})
-    a = a.withColumn("__cy", F.explode(geo.neighbours(geo.cell(F.col("few_lat"), size)))).withColumn("__cx", F.explode(geo.neighbours(geo.cell(F.col("few_lng"), wide))))
-    b = many.withColumns({"__cy": geo.cell(F.col("lat"), size), "__cx": geo.cell(F.col("lng"), wide)})
+    a = a.withColumn("__cy", F.explode(geo.neighbours(geo.cell(F.col("few_lat"), size)))).withColumn("__n", _columns(F.col("__cy"), size, radius))
+    a = a.withColumn("__cx", F.explode(F.array_distinct(F.transform(geo.neighbours(column(F.col("few_lng"), F.col("__n"))), lambda c: F.pmod(c, F.col("__n")))))).drop("__n")
+    b = many.withColumn("__cy", geo.cell(F.col("lat"), size))
+    b = b.withColumn("__cx", column(F.col("lng"), _columns(F.col("__cy"), size, radius)))
     dist = geo.haversine(F.col("few_lat"), F.col("few_lng"), F.col("lat"), F.col("lng"))
     return a.join(b, ["__cy", "__cx"]).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("__cy", "__cx")
 

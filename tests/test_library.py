@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusmill.functions import geo, rules, text
-from locusmill.operators import label, link, order, spatial, stats
+from locusmill.operators import label, link, order, sequential, spatial, stats
 from locusmill.sources import files
 
 
@@ -178,9 +178,9 @@ def test_link_edge_cases(spark):
 
 def test_order_dependent_groups(spark):
     g = spark.createDataFrame([("n", 0, 35.0, 139.0, 1), ("n", 1, 35.003, 139.0, 1), ("n", 2, 35.2, 139.0, 1)], "name string, ord long, lat double, lng double, n long")
-    assert {r["ord"]: r["into"] for r in link.merged_groups(g).collect()} == {0: 0, 1: 0, 2: 2}
+    assert {r["ord"]: r["into"] for r in sequential.merged_groups(g).collect()} == {0: 0, 1: 0, 2: 2}
     r = spark.createDataFrame([("z", 1, "blue", 35.0, 139.0), ("z", 2, "blue cafe", 35.0, 139.0001), ("z", 3, "red", 35.0, 139.0)], "block string, row_id long, core string, lat double, lng double")
-    assert {x["row_id"]: x["dup_of"] for x in link.greedy_duplicates(r).collect()} == {1: None, 2: 1, 3: None}
+    assert {x["row_id"]: x["dup_of"] for x in sequential.greedy_duplicates(r).collect()} == {1: None, 2: 1, 3: None}
 
 
 def test_rules(spark):
