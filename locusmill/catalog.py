@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import geo, rules, text
-from .operators import label, link, order, spatial, stats
+from .operators import circles, label, link, order, spatial, stats
 from .plans import driver as d
 
 QUERIES: dict = {}
@@ -40,9 +40,19 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.by_radius(spatial.cell_pairs(d.stations(spark, sf), v, max(d.RADII)), d.RADII)
 
 
+def _centres(spark: SparkSession, sf: str) -> DataFrame:
+    return d.stations(spark, sf).select(F.col("station").alias("centre"), "lat", "lng")
+
+
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    """station, radius, major, mid, n: the pairs counted, without making them."""
+    v = d.counted(d.venues(spark, sf)).select("lat", "lng", "major", "mid")
+    return circles.tallies(_centres(spark, sf), v, d.RADII, ["major", "mid"]).withColumnRenamed("centre", "station")
+
+
 def _lq(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["station", "radius"]
-    local = stats.shares(stats.tally(_pairs(spark, sf), keys), keys)
+    local = stats.shares(stats.tally(_counts(spark, sf), keys, summed=True), keys)
     base = stats.shares(stats.tally(d.counted(d.venues(spark, sf)), []), [])
     return stats.quotients(local, base)
 
@@ -76,7 +86,7 @@ def station_range_join(spark, sf):
 
 @query(f"WITH {V}, {S}, {_PAIRS}, {_TALLY} SELECT station, radius, level, major, mid, n FROM t")
 def station_tally(spark, sf):
-    return stats.tally(_pairs(spark, sf), ["station", "radius"]).select("station", "radius", "level", "major", "mid", "n")
+    return stats.tally(_counts(spark, sf), ["station", "radius"], summed=True).select("station", "radius", "level", "major", "mid", "n")
 
 
 @query(_ALL + "SELECT station, radius, level, major, mid, round(share, 6) AS share FROM sh")
@@ -96,7 +106,7 @@ def lq_pivot(spark, sf):
 
 @query(_ALL + "SELECT station, major, mid, radius, n, n - coalesce(lag(n) OVER (PARTITION BY station, level, major, mid ORDER BY radius), 0) AS ring_n FROM t WHERE level = 'mid'")
 def ring_difference(spark, sf):
-    t = stats.tally(_pairs(spark, sf), ["station", "radius"]).where("level = 'mid'")
+    t = stats.tally(_counts(spark, sf), ["station", "radius"], summed=True).where("level = 'mid'")
     return stats.rings(t, ["station", "level", "major", "mid"]).select("station", "major", "mid", "radius", "n", "ring_n")
 
 
@@ -127,35 +137,37 @@ def weight_range(spark, sf):
     return _weights(spark, sf).groupBy("code").agg(F.round(F.min("weight"), 6).alias("least"), F.round(F.max("weight"), 6).alias("most"))
 
 
-def _weighted_pairs(spark, sf):
-    return stats.weighted(_pairs(spark, sf).withColumn("code", F.col("mid")), _weights(spark, sf))
+def _weighted_counts(spark, sf):
+    """station, radius, major, mid, n, n_w, and the weighed venues of the whole area."""
+    area = stats.weighted(d.counted(d.venues(spark, sf)).withColumn("code", F.col("mid")), _weights(spark, sf)).select("lat", "lng", "major", "mid", "weight")
+    return circles.tallies(_centres(spark, sf), area, d.RADII, ["major", "mid"], "weight").withColumnRenamed("centre", "station"), area
 
 
 @query(f"WITH {V}, {S}, {_PAIRS}, {_WEIGHTS}, {_WJOIN}, wt AS (SELECT station, radius, major, mid, sum(weight) AS nw FROM wp GROUP BY ALL), ws AS (SELECT *, CASE WHEN mid <> 'unknown' THEN nw / sum(CASE WHEN mid <> 'unknown' THEN nw END) OVER (PARTITION BY station, radius) END AS share FROM wt), wb0 AS (SELECT v.major, v.mid, sum(coalesce(w.weight, 1e0)) AS nw FROM venues v LEFT JOIN w ON w.ward = v.ward AND w.code = CASE WHEN v.mid = 'unknown' THEN 'all' ELSE v.mid END WHERE v.label <> 'excluded' GROUP BY 1, 2), wb AS (SELECT *, CASE WHEN mid <> 'unknown' THEN nw / sum(CASE WHEN mid <> 'unknown' THEN nw END) OVER () END AS base FROM wb0) SELECT station, radius, ws.major, ws.mid, round(ws.nw, 4) AS n_w, round(share / base, 6) AS lq_w FROM ws LEFT JOIN wb USING (major, mid)")
 def weighted_lq(spark, sf):
     keys = ["station", "radius"]
-    local = stats.shares(stats.tally(_weighted_pairs(spark, sf), keys, "weight"), keys, "n_w")
-    area = stats.weighted(d.counted(d.venues(spark, sf)).withColumn("code", F.col("mid")), _weights(spark, sf))
+    counts, area = _weighted_counts(spark, sf)
+    local = stats.shares(stats.tally(counts, keys, "weight", summed=True), keys, "n_w")
     base = stats.shares(stats.tally(area, [], "weight"), [], "n_w")
     return stats.quotients(local, base).where("level = 'mid'").select("station", "radius", "major", "mid", F.round("n_w", 4).alias("n_w"), F.round("lq", 6).alias("lq_w"))
 
 
 @query(f"WITH {V}, {S}, {_PAIRS}, {_WEIGHTS}, {_WJOIN} SELECT station, radius, round(sum(weight), 4) AS n_w, round(sum(weight) / nullif(max(passengers), 0) * 10000, 4) AS per_10k FROM wp GROUP BY 1, 2")
 def per_10k(spark, sf):
-    t = _weighted_pairs(spark, sf).groupBy("station", "radius").agg(F.sum("weight").alias("n_w"), F.max("passengers").alias("p"))
+    t = _weighted_counts(spark, sf)[0].groupBy("station", "radius").agg(F.sum("n_w").alias("n_w")).join(d.stations(spark, sf).select("station", F.col("passengers").alias("p")), "station")
     return t.select("station", "radius", F.round("n_w", 4).alias("n_w"), F.round(stats.per_10k(F.col("n_w"), F.col("p")), 4).alias("per_10k"))
 
 
 @query(_ALL + ", tot AS (SELECT station, radius, count(*) AS total FROM pairs GROUP BY 1, 2) SELECT station, radius, mid, n, CASE WHEN lq < 1 AND base_share * total >= 3 THEN 'low' WHEN lq > 1 AND n >= 3 THEN 'high' END AS note FROM lq JOIN tot USING (station, radius) WHERE level = 'mid'")
 def notable_genres(spark, sf):
-    total = _pairs(spark, sf).groupBy("station", "radius").agg(F.count("*").alias("total"))
+    total = _counts(spark, sf).groupBy("station", "radius").agg(F.sum("n").alias("total"))
     return stats.notable(_lq(spark, sf).where("level = 'mid'").join(total, ["station", "radius"])).select("station", "radius", "mid", "n", "note")
 
 
 @query(f"WITH {V}, {S}, {_PAIRS}, n AS (SELECT station, radius, count(*) AS n FROM pairs GROUP BY 1, 2) SELECT s.station, r.radius, coalesce(n.n, 0) AS n FROM stations s CROSS JOIN (VALUES (1000), (2000), (5000)) r(radius) LEFT JOIN n ON n.station = s.station AND n.radius = r.radius")
 def completion_zeros(spark, sf):
     keys = d.stations(spark, sf).select("station", F.explode(F.array(*[F.lit(r) for r in d.RADII])).alias("radius"))
-    return stats.completed(keys, _pairs(spark, sf).groupBy("station", "radius").agg(F.count("*").alias("n")), ["station", "radius"], ["n"])
+    return stats.completed(keys, _counts(spark, sf).groupBy("station", "radius").agg(F.sum("n").alias("n")), ["station", "radius"], ["n"])
 
 
 @query(f"WITH {V}, {S}, m AS (SELECT s.station, v.id, v.mid, {H('s.lat', 's.lng', 'v.lat', 'v.lng')} AS dist FROM stations s, venues v WHERE {H('s.lat', 's.lng', 'v.lat', 'v.lng')} <= 3000) SELECT station, id, round(dist, 3) AS dist_m FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY CASE WHEN mid = 'unknown' THEN 1 ELSE 0 END, round(dist, 3), id) AS k FROM m) WHERE k = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _lq, _pairs, query
+from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _counts, _lq, query
 from .functions import geo, rules, text
 from .operators import cover, label, link, order, sequential, spatial, stats
 from .plans import driver as d
@@ -265,7 +265,7 @@ def narratives(spark, sf):
 
 @query(f"WITH {V}, {S}, {_PAIRS} SELECT station, radius, count(*) AS total, count(*) FILTER (major = 'unknown') AS unknown_major, count(*) FILTER (mid = 'unknown') AS unknown_mid FROM pairs GROUP BY 1, 2")
 def station_totals(spark, sf):
-    return stats.totals(_pairs(spark, sf), ["station", "radius"])
+    return stats.totals(_counts(spark, sf), ["station", "radius"], summed=True)
 
 
 @query(f"WITH {V}, u AS (SELECT id, name, category, 'a' || CAST(id % 17 AS VARCHAR) AS address FROM venues WHERE label = 'unresolved'), c AS (SELECT name, category, count(*) AS n, min(id) AS f FROM u GROUP BY 1, 2), m AS (SELECT name, category FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, f) AS k FROM c) WHERE k = 1) SELECT name, count(*) AS n, any_value(m.category) AS category, arg_min(address, id) AS address FROM u JOIN m USING (name) GROUP BY name")
@@ -302,7 +302,7 @@ def accuracy_by_band(spark, sf):
 
 @query(f"WITH {V}, {S}, {_PAIRS} SELECT CAST(station AS VARCHAR) AS station, radius, count(*) AS n FROM pairs GROUP BY 1, 2 UNION ALL SELECT '_area', 0, count(*) FROM venues WHERE label <> 'excluded'")
 def area_row(spark, sf):
-    rows = _pairs(spark, sf).groupBy(F.col("station").cast("string").alias("station"), "radius").agg(F.count("*").alias("n"))
+    rows = _counts(spark, sf).groupBy(F.col("station").cast("string").alias("station"), "radius").agg(F.sum("n").alias("n"))
     return stats.with_area_row(rows, d.counted(d.venues(spark, sf)).agg(F.count("*").alias("n")))
 
 

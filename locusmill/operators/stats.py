@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 UNKNOWN = "unknown"
 
 
-def tally(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """keys, level (major or mid), major, mid, n[, n_w]: two grouping levels in one pass, partial sums before the shuffle."""
-    aggs = [F.count("*").alias("n")] + ([F.sum(weight).alias("n_w")] if weight else [])
+def tally(rows: DataFrame, keys: list[str], weight: str | None = None, summed: bool = False) -> DataFrame:
+    """keys, level (major or mid), major, mid, n[, n_w]: two grouping levels in one pass, partial sums before the shuffle.  summed: rows are
+    sums already, with their number in n and, if weighted, their weight in n_w."""
+    aggs = [(F.sum("n") if summed else F.count("*")).alias("n")] + ([F.sum("n_w" if summed else weight).alias("n_w")] if weight else [])
     sets = rows.groupingSets([[F.col(c) for c in (*keys, "major")], [F.col(c) for c in (*keys, "major", "mid")]], *[F.col(c) for c in (*keys, "major", "mid")])
     out = sets.agg(*aggs, F.grouping("mid").alias("__g"))
     return out.withColumn("level", F.when(F.col("__g") == 1, "major").otherwise("mid")).withColumn("mid", F.when(F.col("__g") == 0, F.col("mid")).otherwise(F.lit(""))).drop("__g")
@@ -128,9 +129,11 @@ def categorical(value: Column, order: list[str]) -> Column:
     return F.when(at == 0, len(order) + 1).otherwise(at).cast("int")
 
 
-def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, total, unknown_major, unknown_mid."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("major") == UNKNOWN).alias("unknown_major"), F.count_if(F.col("mid") == UNKNOWN).alias("unknown_mid"))
+def totals(rows: DataFrame, keys: list[str], summed: bool = False) -> DataFrame:
+    """keys, total, unknown_major, unknown_mid.  summed: rows are sums already, with their number in n."""
+    n = F.col("n") if summed else F.lit(1)
+    unknown = [F.sum(F.when(F.col(c) == UNKNOWN, n).otherwise(0)).alias(f"unknown_{c}") for c in ("major", "mid")]
+    return rows.groupBy(*keys).agg(F.sum(n).alias("total"), *unknown)
 
 
 def name_rollup(rows: DataFrame, ord_col: str) -> DataFrame:
