@@ -141,6 +141,38 @@ def fuzzy_nearest(spark, sf):
     return link.fuzzy_nearest(a, b, 1000.0, 0.9)
 
 
+_SCORES = f"""ca AS (SELECT c_custkey AS row_id, split_part(p_name, ' ', 1) AS core, {d.PLACE.format(k='c_custkey*3')} FROM customer JOIN part ON p_partkey = c_custkey),
+cb AS (SELECT p_partkey AS other_id, reverse(split_part(p_name, ' ', 2)) || CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1)[2:] ELSE split_part(p_name, ' ', 1)[1:3] END AS other_core, {d.PLACE.format(k='p_partkey')} FROM part),
+near AS MATERIALIZED (SELECT row_id, other_id, core, other_core, round({H('ca.lat', 'ca.lng', 'cb.lat', 'cb.lng')}, 3) AS dist_m FROM ca, cb WHERE {H('ca.lat', 'ca.lng', 'cb.lat', 'cb.lng')} <= 1000),
+names AS (SELECT DISTINCT core AS a, other_core AS b FROM near),
+holds AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0e0 WHEN a = b THEN 1e0 WHEN (length(a) <= length(b) AND contains(b, a) AND length(a) >= 3) OR (length(a) > length(b) AND contains(a, b) AND length(b) >= 3) THEN 0.9e0 END AS known, 2e0 * list_sum([least(len(string_split(a, c)), len(string_split(b, c))) - 1 FOR c IN list_distinct(string_split(a, ''))]) / (length(a) + length(b)) AS bound FROM names)"""
+_MATCH = "list_sort(flatten(flatten([[[{'k': k, 'i': -i, 'j': -j} FOR k IN range(1, least(ah - i, bh - j) + 1) IF a[i + 1:i + k] = b[j + 1:j + k]] FOR j IN range(bl, bh)] FOR i IN range(al, ah)])), 'DESC')[1]"
+#: Longest matching blocks as a recursion: the longest common run of a piece, of these the first, then the pieces before and behind it.
+_RATIO = f"""blocks AS (SELECT a, b, {_MATCH} AS m, al, ah, bl, bh FROM (SELECT a, b, CAST(0 AS BIGINT) AS al, length(a) AS ah, CAST(0 AS BIGINT) AS bl, length(b) AS bh FROM holds WHERE known IS NULL)
+UNION ALL SELECT a, b, {_MATCH}, al, ah, bl, bh FROM (SELECT a, b, unnest([{{'al': al, 'ah': -m.i, 'bl': bl, 'bh': -m.j}}, {{'al': m.k - m.i, 'ah': ah, 'bl': m.k - m.j, 'bh': bh}}], recursive := true) FROM blocks WHERE m.k > 0) WHERE al < ah AND bl < bh),
+scores AS (SELECT a, b, coalesce(known, 2e0 * (SELECT coalesce(sum(m.k), 0) FROM blocks x WHERE x.a = h.a AND x.b = h.b) / (length(a) + length(b))) AS score FROM holds h)"""
+
+
+def _named(spark, sf):
+    p = d.table(spark, sf, "part")
+    first, second = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    a = d.table(spark, sf, "customer").join(p, F.col("p_partkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("row_id"), first.alias("core"), *d.place(F.col("c_custkey") * 3))
+    other = F.concat(F.reverse(second), F.when(F.col("p_partkey") % 3 == 0, F.expr("substring(split(p_name, ' ')[0], 2)")).otherwise(F.substring(first, 1, 3)))
+    return a, p.select(F.col("p_partkey").alias("other_id"), other.alias("other_core"), *d.place(F.col("p_partkey")))
+
+
+@query(f"WITH RECURSIVE {_SCORES}, {_RATIO} SELECT row_id, other_id, score, dist_m FROM (SELECT row_id, other_id, score, dist_m, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, dist_m, other_id) AS k FROM near JOIN scores ON a = core AND b = other_core WHERE score >= 0.4) WHERE k = 1")
+def scored_nearest(spark, sf):
+    """Names that need the ratio: no pair is decided by containment alone."""
+    return link.fuzzy_nearest(*_named(spark, sf), 1000.0, 0.4)
+
+
+@query(f"WITH {_SCORES} SELECT count(*) AS near, count(*) FILTER (coalesce(known, 0) >= 0.4) AS known, count(*) FILTER (known IS NULL AND bound >= 0.4) AS verified FROM near JOIN holds ON a = core AND b = other_core")
+def name_filter(spark, sf):
+    """How many pairs within reach the bound leaves for the exact ratio."""
+    return link.filter_report(*_named(spark, sf), 1000.0, 0.4)
+
+
 @query()
 def tiered_matches(spark, sf):
     p = d.table(spark, sf, "part")

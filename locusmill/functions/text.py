@@ -12,10 +12,20 @@ from pyspark.sql import functions as F
 
 
 def _batched(kind: str, one, *columns: Column) -> Column:
-    """An Arrow-batched function of values; null if any is null.  Made at the call, so that workers can import this module."""
+    """An Arrow-batched function of values, called once for equal ones of a batch; null if any is null.  Made at the call, so that workers can
+    import this module."""
 
     def run(*s: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else one(*row) for row in zip(*s)], dtype=object)
+        known: dict = {}
+        out = []
+        for row in zip(*s):
+            if any(v is None for v in row):
+                out.append(None)
+                continue
+            if row not in known:
+                known[row] = one(*row)
+            out.append(known[row])
+        return pd.Series(out, dtype=object)
 
     if len(columns) == 1:
         return F.pandas_udf(lambda a: run(a), kind)(*columns)
@@ -23,7 +33,9 @@ def _batched(kind: str, one, *columns: Column) -> Column:
 
 
 def nfkc(s: Column) -> Column:
-    return _batched("string", lambda x: unicodedata.normalize("NFKC", x), s)
+    """The compatibility normal form; plain ASCII is its own and stays in the JVM."""
+    plain = s.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, s).otherwise(_batched("string", lambda x: unicodedata.normalize("NFKC", x), F.when(~plain, s)))
 
 
 def trimmed(s: Column) -> Column:
@@ -48,16 +60,90 @@ def _ratio(a: Column, b: Column) -> Column:
     return _batched("double", lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), a, b)
 
 
+def _known_score(a: Column, b: Column) -> Column:
+    """The score where no ratio is needed, else null."""
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(names_match(a, b), 0.9)
+
+
 def name_score(a: Column, b: Column) -> Column:
-    """1.0 equal, 0.9 containment, else the longest-matching-blocks ratio (a before b: the ratio is not symmetric)."""
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(names_match(a, b), 0.9).otherwise(_ratio(a, b))
+    """1.0 equal, 0.9 containment, else the longest-matching-blocks ratio (a before b: the ratio is not symmetric), which only names that are
+    neither reach Python for."""
+    known = _known_score(a, b)
+    open_ = known.isNull()
+    return F.coalesce(known, _ratio(F.when(open_, a), F.when(open_, b)))
+
+
+def letters(s: Column) -> Column:
+    """map<letter, count> of a name, to be made once a name and not once a pair."""
+    each = F.split(s, "")
+    return F.map_from_entries(F.transform(F.array_distinct(F.filter(each, lambda c: c != "")), lambda c: F.struct(c, F.size(F.filter(each, lambda x: x == c)))))
+
+
+def score_bound(a: Column, b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """What name_score is at most: matching blocks hold no letter more often than either name, so their length is bounded by the common letters."""
+    common = F.aggregate(F.map_entries(letters_a), F.lit(0), lambda n, e: n + F.least(e["value"], F.coalesce(F.try_element_at(letters_b, e["key"]), F.lit(0))))
+    return F.coalesce(_known_score(a, b), F.try_divide(2.0 * common, F.length(a) + F.length(b)))
+
+
+class Substrings:
+    """The suffix automaton of a text: after one build, linear in the text, the longest common substring with another is one walk over that."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for c in text:
+            cur = self._state({}, self.length[last] + 1, 0)
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = cur
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.length[q] == self.length[p] + 1:
+                    self.link[cur] = q
+                else:
+                    copy = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = copy
+                        p = self.link[p]
+                    self.link[q] = self.link[cur] = copy
+            last = cur
+
+    def _state(self, steps: dict[str, int], length: int, link: int) -> int:
+        self.next.append(steps)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.next) - 1
+
+    def longest(self, other: str) -> int:
+        at = held = best = 0
+        for c in other:
+            while at and c not in self.next[at]:
+                at = self.link[at]
+                held = self.length[at]
+            if c in self.next[at]:
+                at, held = self.next[at][c], held + 1
+                best = max(best, held)
+        return best
 
 
 def longest_common(a: Column, b: Column) -> Column:
-    def one(x: str, y: str) -> int:
-        return difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match(0, len(x), 0, len(y)).size
+    """The length of the longest common substring; a batch builds one automaton for each name in b and walks all names in a beside it."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        built: dict[str, Substrings] = {}
+        out: list[int | None] = []
+        for s, t in zip(x, y):
+            if s is None or t is None:
+                out.append(None)
+                continue
+            if t not in built:
+                built[t] = Substrings(t)
+            out.append(built[t].longest(s))
+        return pd.Series(out, dtype=object)
 
-    return _batched("int", one, a, b)
+    return F.pandas_udf(lambda x, y: run(x, y), "int")(a, b)
 
 
 # The kana rows in table order and their Latin consonants and vowels.
@@ -139,8 +225,23 @@ def town_and_chome(s: Column) -> Column:
 
 
 def round_half_even(x: Column, digits: int) -> Column:
-    """Rounded as the exact binary value says, halves to even; Spark's round goes by the decimal form, halves away from zero."""
-    return _batched("double", lambda v: float(round(v, digits)), x)
+    """Rounded as the exact binary value says, halves to even; Spark's round goes by the decimal form, halves away from zero.  A batch is rounded
+    at once; only values too near a half for that, or too large, are rounded one by one."""
+
+    def run(v: pd.Series) -> pd.Series:
+        import numpy as np
+
+        x = v.to_numpy(float, na_value=np.nan)
+        with np.errstate(invalid="ignore", over="ignore"):
+            scaled = x * 10.0**digits
+            out = np.rint(scaled) / 10.0**digits
+            odd = ~(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) > 1e-4) | ~(np.abs(scaled) < 1e11)
+        for i in np.flatnonzero(odd & np.isfinite(x)):
+            out[i] = round(float(x[i]), digits)
+        out[np.isinf(x)] = x[np.isinf(x)]
+        return pd.Series(out).astype(object).where(v.notna().to_numpy(), None)
+
+    return F.pandas_udf(lambda v: run(v), "double")(x)
 
 
 def tag_json(tags: Column, keep: list[str]) -> Column:

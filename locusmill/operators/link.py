@@ -50,14 +50,28 @@ def record_key(source: Column, name: Column, lat: Column, lng: Column, address:
     return F.coalesce(F.nullif(id, F.lit("")), F.concat_ws("|", source, name, lat.cast("string"), lng.cast("string"), address))
 
 
+def bounded_pairs(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+    """The pairs within `limit` metres with `bound`, what their name score is at most: from lengths, containment and letter counts, in the JVM."""
+    a, b = left.withColumn("__a", text.letters(F.col("core"))), right.withColumn("__b", text.letters(F.col("other_core")))
+    bound = text.score_bound(F.col("core"), F.col("other_core"), F.col("__a"), F.col("__b"))
+    return spatial.cell_pairs(a, b, limit).withColumn("bound", bound).drop("__a", "__b")
+
+
 def fuzzy_nearest(left: DataFrame, right: DataFrame, limit: float = 80.0, least: float = 0.6) -> DataFrame:
     """row_id, other_id, score, dist_m: of the right records within `limit` metres and with a name score of `least`, the best by score, then
     distance, then order.  left: row_id, core, lat, lng; right: other_id, other_core, lat, lng.  Rows without a match are dropped."""
-    pairs = spatial.cell_pairs(left, right, limit).withColumns({"score": text.name_score(F.col("core"), F.col("other_core")), "dist_m": F.round("dist_m", 3)})
+    pairs = bounded_pairs(left, right, limit).where(F.col("bound") >= least).drop("bound").withColumns({"score": text.name_score(F.col("core"), F.col("other_core")), "dist_m": F.round("dist_m", 3)})
     order = [F.col("score").desc(), F.col("dist_m"), F.col("other_id")]
     return spatial.best_match(pairs.where(F.col("score") >= least), ["row_id"], order).select("row_id", "other_id", "score", "dist_m")
 
 
+def filter_report(left: DataFrame, right: DataFrame, limit: float, least: float) -> DataFrame:
+    """One row: near (pairs within limit), known (pairs of equal or contained names that reach `least`), verified (pairs whose ratio is computed)."""
+    open_ = (F.col("core") != "") & (F.col("other_core") != "") & (F.col("core") != F.col("other_core")) & ~text.names_match(F.col("core"), F.col("other_core"))
+    reach = F.col("bound") >= least
+    return bounded_pairs(left, right, limit).agg(F.count("*").alias("near"), F.count_if(reach & ~open_).alias("known"), F.count_if(reach & open_).alias("verified"))
+
+
 def tiered_nearest(left: DataFrame, right: DataFrame, places: list[str], generic: list[str], limit: float = 700.0) -> DataFrame:
     """row_id, other_id, reason, dist_m: the nearest right record with a reason to match (text.tier).  left: row_id, core, lat, lng; right: other_id,
     other_core, other_kana ("" if none), lat, lng."""
