@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _counts, _lq, query
+from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _counts, _lq, _stub, left_anti_todo, query
 from .functions import geo, rules, text
 from .operators import cover, label, link, order, sequential, spatial, stats
 from .plans import driver as d
 from .scratch import Scratch
-from .sources import files
+from .sources import files, places
+from .streaming import labels
 
 #: part with nested fields as a place source has them: a list of levels that may be missing, hold null or be empty, and a list of sources.
 _NESTED = """nested AS (SELECT p_partkey AS id, p_type AS basic, CASE p_partkey % 5 WHEN 0 THEN ['food', p_brand] WHEN 1 THEN NULL WHEN 2 THEN [NULL] WHEN 3 THEN ['shop'] ELSE [] END AS hierarchy,
@@ -511,3 +512,31 @@ SELECT venues.id AS row_id, f.owner AS dup_of FROM venues LEFT JOIN f ON f.id =
 def greedy_duplicates(spark, sf):
     v = d.venues(spark, sf).select(F.col("id").alias("row_id"), F.split("name", " ")[1].alias("core"), "lat", "lng")
     return sequential.greedy_duplicates(v, 400.0).select("row_id", "dup_of")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def answers_collected(spark, sf):
+    """Chunks are sent, answered in files and collected as a stream; those that fail the first time are sent again."""
+    scratch = Scratch(spark, "answers")
+    chunks = scratch.table(order.chunked(left_anti_todo(spark, sf), "doc_id", 20), "chunks")
+    requests = label.prompts(chunks, ["doc_id"])
+    found = labels.Collection(spark, scratch.path("found"), chunks, ["even", "odd"])
+    for attempt in range(2):
+        todo = scratch.table(found.pending(requests), f"requests-{attempt}")
+        found.sent(todo, attempt)
+        answers = label.ask(todo, _stub)
+        if attempt == 0:  # each third chunk fails once
+            late = F.col("chunk") % 3 == 0
+            answers = answers.select("chunk", F.when(~late, F.col("answer")).alias("answer"), F.when(late, "busy").alias("error"))
+        answers.write.json(scratch.path(f"answers/{attempt}"))
+        found.collect(scratch.path("answers/*"), scratch.path("checkpoint"), 3).awaitTermination()
+    return found.labels().select("doc_id", "label")
+
+
+@query(f"WITH {V} SELECT id, round(lat, 4) AS lat FROM venues WHERE lng >= 139.7 AND lng <= 139.75 AND lat >= 35.65 AND lat <= 35.7")
+def curve_scan(spark, sf):
+    """Venues written along a curve and read back by a nested box."""
+    scratch = Scratch(spark, "curve")
+    b = F.struct(F.col("lng").alias("xmin"), F.col("lng").alias("xmax"), F.col("lat").alias("ymin"), F.col("lat").alias("ymax"))
+    places.write(d.venues(spark, sf).select("id", "lat", b.alias("bbox")), scratch.path("places"))
+    return places.read(spark, scratch.path("places"), _BOX).select("id", F.round("lat", 4).alias("lat"))

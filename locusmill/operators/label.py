@@ -22,19 +22,40 @@ def prompts(chunks: DataFrame, fields: list[str]) -> DataFrame:
     return chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("prompt"))
 
 
-def ask(requests: DataFrame, labeler: Callable[[str], str]) -> DataFrame:
-    """chunk, answer, error: the labeler is called once a prompt; a failure is recorded, to be sent again."""
+def params(requests: DataFrame, model: str, instructions: str, most_tokens: int = 16_000, effort: str | None = "low") -> DataFrame:
+    """requests with `params`: the body of a call as JSON, with the answer's schema; effort is left out where a model has none."""
+    string = F.struct(F.lit("string").alias("type"))
+    item = F.struct(*[string.alias(k) for k in ("id", "label", "confidence", "reason")])
+    schema = F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit("array").alias("type"), F.struct(F.lit("object").alias("type"), item.alias("properties")).alias("items")).alias("items")).alias("properties"))
+    output = [F.struct(F.lit("json_schema").alias("type"), schema.alias("schema")).alias("format"), *([F.lit(effort).alias("effort")] if effort else [])]
+    message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
+    body = F.struct(F.lit(model).alias("model"), F.lit(most_tokens).alias("max_tokens"), F.lit(instructions).alias("system"), F.array(message).alias("messages"), F.struct(*output).alias("output_config"))
+    return requests.withColumn("params", F.to_json(body))
+
+
+def ask(requests: DataFrame, labeler: Callable[[str], str], attempts: int = 1, fatal: tuple[type[Exception], ...] = (), pause: float = 5.0) -> DataFrame:
+    """chunk, answer, error: the labeler is called for each prompt, up to `attempts` times with growing pauses; a failure is recorded, to be sent
+    again.  A fatal kind, which no repetition mends (a wrong key, a bad request), ends the job."""
 
     def run(frames):
+        import time
+
         for f in frames:
             answers, errors = [], []
             for p in f["prompt"]:
-                try:
-                    answers.append(labeler(p))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - whatever the service raises
-                    answers.append(None)
-                    errors.append(str(e))
+                answer = error = None
+                for k in range(attempts):
+                    try:
+                        answer, error = labeler(p), None
+                        break
+                    except fatal:
+                        raise
+                    except Exception as e:  # noqa: BLE001 - whatever the service raises
+                        error = str(e)
+                        if k + 1 < attempts:
+                            time.sleep(pause * (k + 1))
+                answers.append(answer)
+                errors.append(error)
             yield pd.DataFrame({"chunk": f["chunk"], "answer": answers, "error": errors})
 
     return requests.select("chunk", "prompt").mapInPandas(run, "chunk long, answer string, error string")

@@ -107,13 +107,15 @@ def test_answers_as_a_stream(spark, tmp_path):
 
     def run():
         stream.collect_answers(spark, str(tmp_path / "in"), chunks, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["a", "b"]).awaitTermination()
-        return sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        return sorted(r["doc_id"] for r in found.labels().collect())
+
+    found = stream.Collection(spark, str(tmp_path / "out"), chunks, ["a", "b"])
 
     answer("1.json", 0, [("n0", "a"), ("n2", "c"), ("n9", "a")])
     assert run() == [0]
     answer("2.json", 1, [("n1", "b")])
     assert run() == [0, 4]
-    rest = label.todo(chunks.select("doc_id"), spark.read.parquet(str(tmp_path / "out")), "doc_id")
+    rest = label.todo(chunks.select("doc_id"), found.labels(), "doc_id")
     assert sorted(r["doc_id"] for r in rest.collect()) == [1, 2, 3]
 
 
