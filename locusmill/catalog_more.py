@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _counts, _lq, _stub, left_anti_todo, query
 from .functions import geo, rules, text
-from .operators import cover, label, link, order, sequential, spatial, stats
+from .operators import chains, cover, label, link, order, sequential, spatial, stats
 from .plans import driver as d
 from .scratch import Scratch
 from .sources import files, places
@@ -411,6 +411,81 @@ def grouped_lines(spark, sf):
     return n.groupBy(F.col("n_regionkey").alias("line")).agg(F.max_by("n_name", "n_nationkey").alias("operator"), F.count("*").alias("n"), F.sum("n_nationkey").cast("long").alias("stops"))
 
 
+@query(_ALL + ", r AS (SELECT *, n - coalesce(lag(n) OVER (PARTITION BY station, level, major, mid ORDER BY radius), 0) AS ring_n FROM t), rs AS (SELECT *, CASE WHEN (level = 'major' AND major <> 'unknown') OR (level = 'mid' AND mid <> 'unknown') THEN CAST(ring_n AS DOUBLE) / nullif(sum(CASE WHEN (level = 'major' AND major <> 'unknown') OR (level = 'mid' AND mid <> 'unknown') THEN ring_n END) OVER (PARTITION BY station, radius, level), 0) END AS rshare FROM r) SELECT station, radius, level, major, mid, ring_n, round(rshare, 6) AS share, round(CASE WHEN base_share <> 0 THEN rshare / base_share END, 6) AS lq FROM rs LEFT JOIN base USING (level, major, mid)")
+def ring_lq(spark, sf):
+    """Counts, shares and quotients of the rings between radii."""
+    t = stats.tally(_counts(spark, sf), ["station", "radius"], summed=True)
+    base = stats.shares(stats.tally(d.counted(d.venues(spark, sf)), []), [])
+    return stats.ring_quotients(t, ["station"], base).select("station", "radius", "level", "major", "mid", "ring_n", F.round("share", 6).alias("share"), F.round("lq", 6).alias("lq"))
+
+
+@query(f"""WITH {V}, {S}, {_PAIRS}, n AS (SELECT station, radius, count(*) AS n FROM pairs GROUP BY 1, 2),
+e AS (SELECT station, radius, CASE WHEN lng BETWEEN 139.65e0 AND 139.75e0 AND lat BETWEEN 35.64e0 AND 35.76e0 THEN least((lng - 139.65e0) * 90000, (139.75e0 - lng) * 90000, (lat - 35.64e0) * 111000, (35.76e0 - lat) * 111000)
+  ELSE sqrt(pow(greatest(139.65e0 - lng, lng - 139.75e0, 0) * 90000, 2) + pow(greatest(35.64e0 - lat, lat - 35.76e0, 0) * 111000, 2)) END < radius AS near_edge FROM stations, (VALUES (1000), (2000), (5000)) r(radius))
+SELECT e.station, e.radius, coalesce(n.n, 0) AS n, e.near_edge FROM e LEFT JOIN n ON n.station = e.station AND n.radius = e.radius""")
+def completion_edges(spark, sf):
+    """Every station and radius: its count or 0, and whether its circle reaches over the area's border."""
+    s = d.stations(spark, sf).withColumn("radius", F.explode(F.array(*[F.lit(r) for r in d.RADII])))
+    ring = _box(*[F.lit(v) for v in (139.65, 35.64, 139.75, 35.76)])
+    flags = s.select("station", "radius", geo.near_edge(F.array(ring), F.col("lng"), F.col("lat"), 90000.0, 111000.0, F.col("radius")).alias("near_edge"))
+    n = _counts(spark, sf).groupBy("station", "radius").agg(F.sum("n").alias("n"))
+    return stats.completed(s.select("station", "radius"), n, ["station", "radius"], ["n"], flags)
+
+
+@query("""WITH l AS (SELECT s_suppkey, n_name, i FROM supplier, range(0, 3) r(i), nation WHERE i < s_suppkey % 4 AND n_nationkey = (s_nationkey + i) % 25),
+s AS (SELECT s_suppkey, 'N' || CAST(s_nationkey % 20 AS VARCHAR) AS name FROM supplier), h AS (SELECT s_suppkey, string_agg(n_name, '・' ORDER BY i) FILTER (i < 2) || CASE WHEN count(*) > 2 THEN 'など' ELSE '' END AS hint FROM l GROUP BY 1)
+SELECT s.s_suppkey, CASE WHEN count(*) OVER (PARTITION BY name) > 1 AND hint IS NOT NULL THEN name || '（' || hint || '）' ELSE name END AS shown FROM s LEFT JOIN h ON h.s_suppkey = s.s_suppkey""")
+def station_names(spark, sf):
+    """Stations of one name are told apart by their first two lines."""
+    s = d.table(spark, sf, "supplier")
+    runs = s.select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).where("i < s_suppkey % 4")
+    named = runs.join(d.table(spark, sf, "nation").select((F.col("n_nationkey")).alias("k"), "n_name"), F.col("k") == (F.col("s_nationkey") + F.col("i")) % 25)
+    lines = stats.ordered_names(named, ["s_suppkey"], "n_name", [F.col("i")])
+    rows = s.select("s_suppkey", F.concat(F.lit("N"), (F.col("s_nationkey") % 20).cast("string")).alias("name")).join(lines, "s_suppkey", "left")
+    return stats.disambiguated(rows, "name", F.when(F.size("names") > 0, rules.first_two(F.col("names")))).select("s_suppkey", "shown")
+
+
+@query(f"WITH {S} SELECT station FROM stations WHERE passengers > 0 AND station IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49)")
+def served_stations(spark, sf):
+    """Stations with passengers and a key that the facts have."""
+    facts = d.table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("station"))
+    return d.stations(spark, sf).where("passengers > 0").join(facts, "station", "left_semi").select("station")
+
+
+@query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'Ring' WHEN s_suppkey % 3 = 1 THEN 'Metro' || CAST(s_nationkey AS VARCHAR) ELSE 'L' || CAST(s_nationkey AS VARCHAR) END AS name, count(*) AS n, arg_max(CASE WHEN s_suppkey % 5 = 0 THEN 'East Rail' WHEN s_suppkey % 3 = 1 THEN 'City Metro' ELSE 'Other' END, s_suppkey) AS operator, arg_max(CASE WHEN s_suppkey % 5 = 0 THEN 'jr' WHEN s_suppkey % 3 = 1 OR s_nationkey % 2 = 0 THEN 'subway' ELSE 'private' END, s_suppkey) AS kind FROM supplier GROUP BY 1")
+def lines_by_name(spark, sf):
+    """Lines grouped by their derived name; the last one's operator and kind win."""
+    k = F.col("s_suppkey")
+    operator = F.when(k % 5 == 0, "East Rail").when(k % 3 == 1, "City Metro").otherwise("Other")
+    line = F.when(k % 3 == 0, "大環線").otherwise(F.concat((k % 9).cast("string"), F.lit("号線"), F.when(k % 3 == 1, "").otherwise("L"), F.col("s_nationkey").cast("string"), F.lit("（支線）")))
+    name = rules.line_name(F.when(k % 3 == 1, "City Metro").otherwise("Other"), line, {"大環線": "Ring"}, {"City Metro": "Metro"})
+    kind = rules.line_kind(operator, F.when((F.col("s_nationkey") % 2 == 0) | (k % 3 == 1), "subway").otherwise("rail"), ["City Metro"], "^East Rail")
+    rows = d.table(spark, sf, "supplier").select(k.alias("ord"), operator.alias("operator"), kind.alias("kind"), name.alias("__name"))
+    return stats.grouped_last(rows, F.col("__name"), "ord", ["operator", "kind"])
+
+
+@query(f"WITH p AS (SELECT s_nationkey AS line, s_suppkey AS k, {d.PLACE.format(k='s_suppkey*37+11')} FROM supplier), s AS (SELECT line, hypot_ AS m FROM (SELECT line, sqrt(pow((lng - lag(lng) OVER w) * 90000, 2) + pow((lat - lag(lat) OVER w) * 111000, 2)) AS hypot_ FROM p WINDOW w AS (PARTITION BY line ORDER BY k)) WHERE hypot_ IS NOT NULL) SELECT line, count(*) + 1 AS points, round(sum(m), 3) AS m FROM s GROUP BY 1".replace("pow(", "power("))
+def merged_routes(spark, sf):
+    """Each nation's suppliers joined by segments, which are merged to one line again."""
+    s = d.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("k"), *d.place(F.col("s_suppkey") * 37 + 11))
+    w = Window.partitionBy("key").orderBy("k")
+    even = F.col("k") % 2 == 0  # segments point either way
+    ends = s.withColumns({"lat0": F.lag("lat").over(w), "lng0": F.lag("lng").over(w)}).where("lat0 is not null")
+    segments = ends.select("key", *[F.when(even, a).otherwise(b).alias(c) for a, b, c in ((F.col("lng0"), F.col("lng"), "x1"), (F.col("lat0"), F.col("lat"), "y1"), (F.col("lng"), F.col("lng0"), "x2"), (F.col("lat"), F.col("lat0"), "y2"))])
+    lines = chains.merged_lines(segments, Scratch(spark, "routes"))
+    measured = lines.select("key", F.size("points").cast("long").alias("n"), F.round(chains.length_m(F.col("points"), 90000.0, 111000.0), 3).alias("m"))
+    return measured.withColumnsRenamed({"key": "line", "n": "points"})
+
+
+@query("SELECT r_name AS area, n_nationkey AS part, round((1 + n_nationkey % 3) * 0.5e0, 6) AS size FROM nation JOIN region ON r_regionkey = n_regionkey")
+def rekeyed_areas(spark, sf):
+    """Parts of areas, known by number, get the areas' names."""
+    w = (1 + F.col("n_nationkey") % 3).cast("double")
+    p = d.table(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("area"), F.col("n_nationkey").alias("part"), _box(F.lit(0.0), F.lit(0.0), w, F.lit(0.5)).alias("ring"))
+    names = d.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("area"), F.col("r_name").alias("name"))
+    return spatial.rekeyed(p, names, "area", "name").select("area", "part", F.round(geo.ring_area(F.col("ring")), 6).alias("size"))
+
+
 @query("SELECT r_name AS area, n_name AS key FROM nation JOIN region ON r_regionkey = n_regionkey")
 def area_keys(spark, sf):
     return d.table(spark, sf, "nation").join(d.table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("area"), F.col("n_name").alias("key"))

@@ -86,3 +86,9 @@ def in_union(points: DataFrame, polygons: DataFrame, size: float = 0.0625) -> Da
     whole = polygons if "rings" in polygons.columns else polygons.withColumn("rings", F.array("ring"))
     named = whole.select(F.lit(True).alias("id"), F.lit(0).alias("ord"), "rings")
     return cover.located(points.withColumnRenamed("area", "__area"), named, size).where("area").drop("area").withColumnRenamed("__area", "area")
+
+
+def rekeyed(polygons: DataFrame, names: DataFrame, key: str, to: str) -> DataFrame:
+    """polygons with their key replaced by its name in `to` (names: key, to, a row per key); polygons without a name are left out."""
+    named = names.select(F.col(key).alias("__key"), F.col(to).alias("__to"))
+    return polygons.join(named, F.col(key) == F.col("__key")).withColumn(key, F.col("__to")).drop("__key", "__to")

@@ -69,9 +69,30 @@ def rings(rows: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return rows.withColumn("ring_n", F.col(n) - F.coalesce(before, F.lit(0)))
 
 
-def completed(keys: DataFrame, facts: DataFrame, on: list[str], values: list[str]) -> DataFrame:
-    """Every key, missing values 0."""
-    return keys.join(facts, on, "left").na.fill(0, values)
+def ring_quotients(rows: DataFrame, keys: list[str], base: DataFrame) -> DataFrame:
+    """rows (keys, radius, level, major, mid, n: counts within radii) with ring_n, and share and lq of the ring between a radius and the one
+    before, from the ring's own counts.  A label without venues in a ring has quotient 0; a ring without known labels has none."""
+    r = rings(rows, [*keys, "level", "major", "mid"])
+    return quotients(shares(r, [*keys, "radius"], "ring_n"), base)
+
+
+def completed(keys: DataFrame, facts: DataFrame, on: list[str], values: list[str], flags: DataFrame | None = None) -> DataFrame:
+    """Every key, missing values 0; with flags (on, further columns), these come along for every key, whether it has facts or not."""
+    out = keys.join(facts, on, "left").na.fill(0, values)
+    return out if flags is None else out.join(flags, on, "left")
+
+
+def grouped_last(rows: DataFrame, key: Column, ord_col: str, last: list[str], out: str = "name") -> DataFrame:
+    """A row per derived key with its number of rows, n, and of the columns in `last` the values of the last row by ord_col."""
+    return rows.groupBy(key.alias(out)).agg(F.count("*").alias("n"), F.max_by(F.struct(*last), ord_col).alias("__l")).select(out, "n", *[F.col(f"__l.{c}").alias(c) for c in last])
+
+
+def disambiguated(rows: DataFrame, name: str, shown: Column, out: str = "shown") -> DataFrame:
+    """rows with the name to show: a name that several rows have gets its hint in brackets, where it has one.  Rows of a name are counted before
+    they meet the count, so a frequent name is one row of the smaller side."""
+    often = rows.groupBy(name).agg(F.count("*").alias("__n"))
+    several = (F.col("__n") > 1) & (F.coalesce(shown, F.lit("")) != "")
+    return rows.join(often, name).withColumn(out, F.when(several, F.concat(F.col(name), F.lit("（"), shown, F.lit("）"))).otherwise(F.col(name))).drop("__n")
 
 
 def notable(rows: DataFrame, total: str = "total", least: int = 3) -> DataFrame:
