@@ -3,12 +3,14 @@
 Layout of a store, all Parquet:
   recipes/  one row per document in ascending doc_id order (file by file, row by row): its chunk digests and their ends,
             Merkle root, and the number of ids before it within its part
-  parts/    ids in each part, in part order
+  parts/    ids and documents in each part, and a seal over its recipes' roots and places
+  manifest/ one row: a seal over all parts
   chunks/   each distinct chunk once: digest, ids as little-endian unsigned integers of `width` bytes
 
 A rolling hash over windows of ids cuts a document's id stream where the hash's low bits vanish, so equal passages give equal
 chunks wherever they stand.  A chunk's address is its 128-bit BLAKE2 digest; a document's manifest is the Merkle root over its
-chunk digests.  Reading checks every chunk against its address and every recipe against its root.
+chunk digests, below its id, length and chunk ends.  Reading checks the recipes against the parts and these against the manifest, every recipe
+against its root and every chunk against its address; whatever is missing, added or altered is an error.
 
 Nulls: a null text is empty, its document is the end id alone; a null doc_id sorts first.  Documents with one doc_id keep the
 order of the scan.  An empty table gives an empty store.  Other columns are ignored."""
@@ -21,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -90,6 +92,11 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def recipe_root(doc_id: int | None, n_tokens: int, ends: list[int], leaves: list[bytes]) -> bytes:
+    """The root of a document: its id, length and chunk ends above the tree over its chunks."""
+    return digest(b"\2" + f"{doc_id}:{n_tokens}:{','.join(map(str, ends))}:".encode() + merkle(leaves))
+
+
 def stage(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
     """Each document with its chunks."""
     ship(docs.sparkSession)
@@ -122,7 +129,7 @@ def stage(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame
                     [
                         *[b.column(i).slice(lo, hi - lo) for i in range(2)],
                         pa.array(sizes, pa.int64()),
-                        pa.array([merkle(leaves[a:z]) for a, z in zip(first.tolist(), first[1:].tolist())], pa.binary()),
+                        pa.array([recipe_root(i, n, e, leaves[a:z]) for i, n, e, a, z in zip(b.column(1).slice(lo, hi - lo).to_pylist(), sizes.tolist(), own, first.tolist(), first[1:].tolist())], pa.binary()),
                         *[pa.ListArray.from_arrays(lists, v) for v in (pa.array(leaves, pa.binary()), pa.array(chunk_ends), payloads)],
                     ],
                     schema=_STAGED,
@@ -148,7 +155,7 @@ def write(docs: DataFrame, tokenizer: str, store: Scratch, end_id: int = END_ID,
     recipes = staged.drop("payloads").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("uid")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes = store.table(recipes.mapInArrow(_running, T.StructType([*recipes.schema.fields, T.StructField("start_in_part", T.LongType())])), "recipes")
-    store.table(recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")), "parts")
+    store.table(_sealed(store.table(_parts(recipes), "parts")), "manifest")
     chunk = F.explode(F.arrays_zip("digests", "payloads")).alias("c")
     # The digest decides the payload, so a distinct over both keeps one of each and combines before the shuffle.
     store.table(staged.select(chunk).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("payload")).distinct(), "chunks")
@@ -156,16 +163,40 @@ def write(docs: DataFrame, tokenizer: str, store: Scratch, end_id: int = END_ID,
     return store
 
 
+def _parts(recipes: DataFrame) -> DataFrame:
+    """part, n, docs, seal, total: each part's ids, documents and two sums over the hashes of its recipes' roots and places."""
+    h = F.xxhash64("uid", "root", "start_in_part", "part")
+    return recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"), F.bit_xor(h).alias("seal"), F.sum(F.xxhash64(h).cast("decimal(38,0)")).alias("total"))
+
+
+def _sealed(parts: DataFrame) -> DataFrame:
+    """The manifest over all parts, one row."""
+    return parts.agg(F.count("*").alias("parts"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("part", "n", "docs", "seal", "total")), F.lit(0)).alias("seal"))
+
+
+def verify(store: Scratch) -> None:
+    """An error if the recipes are not those of the parts table, or this is not that of the manifest: something was lost, added or altered."""
+    spark = store.spark
+    recipes, parts, manifest = (spark.read.parquet(store.path(name)) for name in ("recipes", "parts", "manifest"))
+    found = _parts(recipes.select("uid", "root", "start_in_part", "part", "n_tokens"))
+    wrong = found.exceptAll(parts).unionAll(parts.exceptAll(found)).limit(3).collect()
+    if wrong:
+        raise ValueError(f"recipes and parts differ in parts {sorted({r['part'] for r in wrong})}")
+    if _sealed(parts).collect() != manifest.collect():
+        raise ValueError("the parts do not match the manifest")
+
+
 def _recipes(store: Scratch) -> DataFrame:
-    """The recipes, each checked against its Merkle root, with the start of each document among all ids."""
+    """The recipes of a verified set, each checked against its Merkle root, with the start of each document among all ids."""
 
     def checked(batches):
         for b in batches:
-            for root, leaves in zip(b.column("root").to_pylist(), b.column("digests").to_pylist()):
-                if merkle(leaves) != root:
+            for root, *rest in zip(*(b.column(k).to_pylist() for k in ("root", "doc_id", "n_tokens", "ends", "digests"))):
+                if recipe_root(*rest) != root:
                     raise ValueError("a recipe does not match its Merkle root")
             yield b
 
+    verify(store)
     spark = store.spark
     recipes = spark.read.parquet(store.path("recipes"))
     recipes = recipes.mapInArrow(checked, recipes.schema)
@@ -174,6 +205,11 @@ def _recipes(store: Scratch) -> DataFrame:
     return recipes.join(parts.select("part", F.coalesce(before, F.lit(0)).alias("before")), "part").withColumn("start", F.col("before") + F.col("start_in_part"))
 
 
+def _present(column: str) -> Column:
+    """A chunk's column after a left join; a chunk that is not there is an error."""
+    return F.when(F.col("crc").isNull(), F.raise_error(F.concat(F.lit("a chunk is missing: "), F.hex("digest")))).otherwise(F.col(column))
+
+
 def _chunks(store: Scratch, width: int, payload: bool) -> DataFrame:
     """The chunks, each checked against its address, as (digest, crc32 of its ids as 32-bit integers[, ids])."""
     kind = f"<u{width}"
@@ -195,8 +231,8 @@ def _chunks(store: Scratch, width: int, payload: bool) -> DataFrame:
 def read_ids(store: Scratch, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document, rebuilt from the files."""
     r = _recipes(store)
-    uses = r.select("uid", F.posexplode("digests").alias("k", "digest")).join(_chunks(store, width, True), "digest")
-    ids = uses.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
+    uses = r.select("uid", F.posexplode("digests").alias("k", "digest")).join(_chunks(store, width, True), "digest", "left")
+    ids = uses.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", _present("ids").alias("ids")))).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
     return r.select("uid", "doc_id", "start", "n_tokens").join(ids.select("uid", joined.alias("ids")), "uid").drop("uid")
 
@@ -249,7 +285,7 @@ def digests(store: Scratch, width: int = 2) -> DataFrame:
     r = _recipes(store)
     uses = r.select("uid", "doc_id", "start", "n_tokens", F.explode(F.arrays_zip("digests", "ends")).alias("c"))
     uses = uses.select("uid", "doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), ((F.col("n_tokens") - F.col("c.ends")) * 4).alias("zeros"))
-    uses = uses.join(_chunks(store, width, False), "digest")
+    uses = uses.join(_chunks(store, width, False), "digest", "left").withColumn("crc", _present("crc"))
     return uses.groupBy("uid", "doc_id", "start", "n_tokens").agg(F.bit_xor(move("crc", "zeros")).alias("ids_crc32")).drop("uid")
 
 
