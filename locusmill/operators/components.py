@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import BROADCAST_ROWS, Scratch
+from ..scratch import BROADCAST_ROWS, Scratch, ship
 
 #: Edges that one task holds, at least.
 ROWS = 200_000
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a task."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    if nodes:
+        kind = batch.schema.field("a").type
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["node", "comp"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "components", one_task: int = 0) -> DataFrame:
     """node, comp: the least node of each component, for every node with an edge (a, b).  Loops, repeated edges and either direction
     are allowed; edges with a null end are ignored.
 
     Alternating stars: large-star ties every node's greater neighbours to its least one, small-star its lesser neighbours
     and itself.  Both keep the components and move edges towards the least nodes until each component is one star.  Minima are
     partial before the shuffle, and the edges of a hub meet a table with one row per node, a join whose hot keys Spark can split.  Each round
-    is written, so a lost executor costs no earlier round; there is no cap on rounds."""
+    is written, so a lost executor costs no earlier round; there is no cap on rounds.
+
+    Once at most `one_task` edges are left, which is not more than a task holds anyway, that task joins them at once."""
+    ship(edges.sparkSession)
     a, b = F.col("a"), F.col("b")
     pairs = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     pairs, k = scratch.table(pairs, f"{name}-0"), 0
     while True:
         n = pairs.count()
+        if n <= one_task:
+            kind = pairs.schema["a"].dataType.simpleString()
+            return scratch.table(pairs.coalesce(1).mapInArrow(_joined, f"node {kind}, comp {kind}"), f"{name}-joined")
         parts = n // ROWS + 1  # a small graph needs no more tasks than these, whatever the session says
 
         def joined(rows: DataFrame, minima: DataFrame, key: str, n: int = n) -> DataFrame:

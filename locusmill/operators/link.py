@@ -25,7 +25,7 @@ def near_pairs(rows: DataFrame, limit: float = 50.0, cell: float = 0.0005, unres
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """row_id, component (its least row_id) for every node."""
-    labels = stars.components(edges, Scratch(edges.sparkSession, "components"))
+    labels = stars.components(edges, Scratch(edges.sparkSession, "components"), one_task=stars.ROWS)
     return nodes.select("row_id").join(labels.select(F.col("node").alias("row_id"), "comp"), "row_id", "left").select("row_id", F.coalesce("comp", "row_id").alias("component"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import geo
 from ..scratch import Scratch
 from . import spatial
-from .components import components
+from .components import ROWS, components
 
 #: Conflicts of a component up to which one task decides it; larger ones lose their clear cases in rounds first.
 MOST = 200_000
@@ -42,7 +42,7 @@ def overruled(conflicts: DataFrame, scratch: Scratch, most: int = MOST) -> DataF
             yield pd.DataFrame({"node": pd.Series(out, dtype="int64")})
 
     while not edges.isEmpty():
-        comps = components(edges.select(F.col("later").alias("a"), F.col("earlier").alias("b")), scratch, f"components-{k}")
+        comps = components(edges.select(F.col("later").alias("a"), F.col("earlier").alias("b")), scratch, f"components-{k}", ROWS)
         named = scratch.table(edges.join(comps.withColumnRenamed("node", "later"), "later"), f"named-{k}")
         size = named.groupBy("comp").agg(F.count("*").alias("n"))
         small = named.join(size.where(F.col("n") <= most), "comp", "left_semi")

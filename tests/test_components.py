@@ -59,3 +59,11 @@ def test_both_ways_beside_a_small_table(spark):
     for how in ("left", "inner"):
         broadcast, salted = (sorted(map(tuple, beside(rows, small, "g", how, limit=n).collect()), key=str) for n in (10, 2))
         assert broadcast == salted and len(salted) == (300 if how == "left" else 215) and SALT > 1
+
+
+@pytest.mark.parametrize("name, edges, rounds", list(shapes()), ids=lambda x: x if isinstance(x, str) else "")
+def test_one_task(spark, name, edges, rounds):
+    df = spark.createDataFrame([*edges, (None, 1), (7, 7)], "a long, b long").repartition(3)
+    got = {r["node"]: r["comp"] for r in components(df, Scratch(spark, "test"), one_task=10_000).collect()}
+    want = union_find([(a, b) for a, b in edges if a != b])
+    assert got == want
