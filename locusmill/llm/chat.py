@@ -27,40 +27,53 @@ BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _turn_hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "position", "role", "text")
-
-
 def _beside(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     same = F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.block") == F.col("b.block"))
     return rows.alias("r").join(blocks.alias("b"), same)
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, position (from 0), role, text, prefix_a, prefix_b (the rolling hash of the turns up to this one)."""
+def texts(conversations: DataFrame, scratch: Scratch) -> DataFrame:
+    """A written table of the turns as they come: uid (a number for each row), conv_id, turn, role, text."""
     rows = conversations.select(
+        F.monotonically_increasing_id().alias("uid"),
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / BLOCK))
-    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    )
+    return scratch.table(rows, "texts")
+
+
+def turns(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """uid, conv_id, position (from 0), prefix_a, prefix_b (the rolling hash of the turns up to this one) of the rows of texts().
+
+    Roles and texts are hashed as they are scanned and don't travel; where a conversation repeats a turn's number, only the texts of these rows
+    do, as their order needs them."""
+    block = F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / BLOCK).alias("block")
+    narrow = rows.select("uid", "conv_id", "turn", block, *[F.xxhash64(F.lit(seed), "role", "text").alias(f"text_{c}") for seed, c in ((1, "a"), (2, "b"))])
+    ties = scratch.table(narrow.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "ties")
+    order = [F.col("turn").asc_nulls_first()]
+    if not ties.isEmpty():
+        same = F.col("r.conv_id").eqNullSafe(F.col("t.conv_id")) & F.col("r.turn").eqNullSafe(F.col("t.turn"))
+        tied = rows.alias("r").join(ties.alias("t"), same, "left_semi").select("uid", "role", "text")
+        narrow, order = narrow.join(tied, "uid", "left"), [*order, F.col("role"), F.col("text")]
+    sizes = narrow.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = _beside(rows, sizes).select("r.*", "first")
-    rows = rows.withColumn("position", F.col("first") + F.row_number().over(within) - 1)
-    rows = rows.withColumn("a", _turn_hash(1)).withColumn("b", _turn_hash(2))
-    sums = rows.groupBy("conv_id", "block").agg(F.bit_xor("a").alias("sum_a"), F.bit_xor("b").alias("sum_b"))
+    within = Window.partitionBy("conv_id", "block").orderBy(*order, "uid")
+    placed = _beside(narrow, sizes).select("r.*", "first")
+    placed = placed.withColumn("position", F.col("first") + F.row_number().over(within) - 1)
+    placed = placed.select("uid", "conv_id", "block", "position", *[F.xxhash64(F.lit(seed), "position", "text_a", "text_b").alias(c) for seed, c in ((3, "a"), (4, "b"))])
+    sums = placed.groupBy("conv_id", "block").agg(F.bit_xor("a").alias("sum_a"), F.bit_xor("b").alias("sum_b"))
     sums = sums.select("conv_id", "block", *[F.coalesce(F.bit_xor(f"sum_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in "ab"])
     upto = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _beside(rows, sums).select("r.*", "before_a", "before_b")
+    placed = _beside(placed, sums).select("r.*", "before_a", "before_b")
     prefix = [F.col(f"before_{c}").bitwiseXOR(F.bit_xor(c).over(upto)).alias(f"prefix_{c}") for c in "ab"]
-    return rows.select("conv_id", "position", "role", "text", *prefix)
+    return scratch.table(placed.select("uid", "conv_id", "position", *prefix), "turns")
 
 
 def collapse(rows: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations to keep.  rows: turns(), written."""
+    """conv_id and n_turns of the conversations to keep.  rows: turns()."""
     key = ["position", "prefix_a", "prefix_b"]
     sizes = rows.groupBy("conv_id").agg(F.max("position").alias("position"))
     same = F.col("r.conv_id").eqNullSafe(F.col("s.conv_id"))
@@ -77,11 +90,12 @@ def rendered() -> Column:
 
 
 def format_chats(conversations: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """conv_id, position, n_turns, segment: the rendered turns of the maximal conversations."""
-    rows = (scratch or Scratch(conversations.sparkSession, "chat")).table(turns(conversations), "turns")
-    kept = collapse(rows)
-    out = rows.alias("r").join(kept.alias("k"), F.col("r.conv_id").eqNullSafe(F.col("k.conv_id")))
-    return out.select(F.col("r.conv_id").alias("conv_id"), "position", "n_turns", rendered().alias("segment"))
+    """conv_id, position, n_turns, segment: the rendered turns of the maximal conversations.  Texts are shuffled once, to meet their places."""
+    scratch = scratch or Scratch(conversations.sparkSession, "chat")
+    said = texts(conversations, scratch)
+    rows = turns(said, scratch)
+    kept = rows.alias("r").join(collapse(rows).alias("k"), F.col("r.conv_id").eqNullSafe(F.col("k.conv_id"))).select("r.uid", "r.position", "k.n_turns")
+    return said.join(kept, "uid").select("conv_id", "position", "n_turns", rendered().alias("segment"))
 
 
 def transcripts(segments: DataFrame) -> DataFrame:

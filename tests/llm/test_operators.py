@@ -200,6 +200,18 @@ def test_chats(spark):
     assert next(r for r in t if r["conv_id"] == 2)["chat"].startswith("<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n")
 
 
+def test_chat_ties_and_clashes(spark):
+    """Turns of one number are ordered by role and text, repeated rows stay, other columns don't matter, long conversations cross blocks."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "bot", "z"), (2, None, "bot", "z"), (2, 0, "user", "a"), (3, 5, "x", "y")]
+    rows += [(9, k, "user", f"t{k}") for k in range(700)] + [(8, k, "user", f"t{k}") for k in range(600)]
+    df = spark.createDataFrame([(*r, "own", 7, 7) for r in rows], "conv_id long, turn long, role string, text string, block string, uid int, position int").repartition(4)
+    got = {}
+    for r in chat.query(spark, df).collect():
+        got.setdefault(r["conv_id"], []).append((r["position"], r["n_turns"], r["segment"].split("\n")[1].removesuffix("<|im_end|>")))
+    assert sorted(got) == [1, 3, 9]
+    assert sorted(got[1]) == [(0, 4, "z"), (1, 4, "a"), (2, 4, "a"), (3, 4, "b")] and sorted(got[9]) == [(k, 700, f"t{k}") for k in range(700)]
+
+
 def test_urls(spark):
     cases = [(1, "http://A.example.com/en/x"), (2, "https://www.example.com/en/1?q"), (3, "http://com"), (4, None), (5, "nothing"), (6, "http://q.net/es/1"), (7, "http://x.org/a.example.com/en/"), (8, "http://spam-farm.org/x"), (9, "http://y.com/en")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.query(spark, spark.createDataFrame(cases, "page_id long, url string")).collect()}
