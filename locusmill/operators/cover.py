@@ -200,13 +200,10 @@ def _border(members, size: float, x0: float, y0: float):
         skew = np.abs(det) > 1e-12 * size_i * np.hypot(d[:, 0], d[:, 1])
         hit = skew & (u >= -1e-9) & (u <= 1 + 1e-9)
         cuts[i] += t[hit & (t > low[i]) & (t < high[i])].tolist()
-        for j in np.flatnonzero(~skew):  # along one line: the other's ends cut this one
-            for p in (a[j], a[j] + d[j]):
-                q = p - a[i]
-                if abs(q[0] * d[i, 1] - q[1] * d[i, 0]) <= GRAIN * size_i:
-                    s = float(q @ d[i]) / size_i**2
-                    if low[i] < s < high[i]:
-                        cuts[i].append(s)
+        q = np.concatenate([a[~skew], (a + d)[~skew]]) - a[i]  # along one line: the others' ends cut this one
+        on = np.abs(q[:, 0] * d[i, 1] - q[:, 1] * d[i, 0]) <= GRAIN * size_i
+        t = q[on] @ d[i] / size_i**2
+        cuts[i] += t[(t > low[i]) & (t < high[i])].tolist()
     pieces = set()
     for i, ts in enumerate(cuts):
         ends = np.rint((a[i] + np.array(sorted(set(ts)))[:, None] * d[i]) / GRAIN).astype(np.int64)
