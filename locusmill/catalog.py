@@ -299,11 +299,7 @@ def lenient_number(spark, sf):
 
 @query(f"WITH {V} SELECT id, CASE WHEN lng > 139.65 AND lng < 139.75 AND lat > 35.65 AND lat < 35.75 THEN 'west' ELSE 'east' END AS area FROM venues WHERE (lng > 139.65 AND lng < 139.75 AND lat > 35.65 AND lat < 35.75) OR (lng > 139.75001 AND lng < 139.82 AND lat > 35.62 AND lat < 35.78001)")
 def point_in_polygon(spark, sf):
-    def ring(x0, y0, x1, y1):
-        return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
-
-    # Borders lie between the points' coordinates, which are multiples of 0.0001.
-    areas = [("west", 0, ring(139.65003, 35.65003, 139.74997, 35.74997)), ("east", 1, ring(139.75003, 35.62003, 139.81997, 35.78003))]
+    areas = [("west", 0, spatial.open_box(139.65, 35.65, 139.75, 35.75)), ("east", 1, spatial.open_box(139.75001, 35.62, 139.82, 35.78001))]
     polygons = spark.createDataFrame(areas, "area string, ord int, ring array<struct<x: double, y: double>>")
     return spatial.polygon_join(d.venues(spark, sf).select("id", "lat", "lng"), polygons).select("id", "area")
 
