@@ -121,10 +121,7 @@ def history_filter(spark, sf):
 
 @query(f"WITH {V} SELECT id FROM venues WHERE (lng > 139.65 AND lng < 139.75 AND lat > 35.65 AND lat < 35.75) OR (lng > 139.70001 AND lng < 139.82 AND lat > 35.62 AND lat < 35.78001)")
 def point_in_union(spark, sf):
-    def ring(x0, y0, x1, y1):
-        return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
-
-    areas = [(ring(139.65003, 35.65003, 139.74997, 35.74997),), (ring(139.70003, 35.62003, 139.81997, 35.78003),)]
+    areas = [(spatial.open_box(139.65, 35.65, 139.75, 35.75),), (spatial.open_box(139.70001, 35.62, 139.82, 35.78001),)]
     return spatial.in_union(d.venues(spark, sf).select("id", "lat", "lng"), spark.createDataFrame(areas, "ring array<struct<x: double, y: double>>")).select("id")
 
 

@@ -41,6 +41,6 @@ def same_as_sql(spark, tables, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["point_in_polygon"])
+@pytest.mark.parametrize("name", ["point_in_polygon", "point_in_union"])
 def test_points_on_borders(spark, full, name):
     same_as_sql(spark, full, name)
