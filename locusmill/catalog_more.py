@@ -463,12 +463,12 @@ def lines_by_name(spark, sf):
 
 @query(f"WITH p AS (SELECT s_nationkey AS line, s_suppkey AS k, {d.PLACE.format(k='s_suppkey*37+11')} FROM supplier), s AS (SELECT line, hypot_ AS m FROM (SELECT line, sqrt(pow((lng - lag(lng) OVER w) * 90000, 2) + pow((lat - lag(lat) OVER w) * 111000, 2)) AS hypot_ FROM p WINDOW w AS (PARTITION BY line ORDER BY k)) WHERE hypot_ IS NOT NULL) SELECT line, count(*) + 1 AS points, round(sum(m), 3) AS m FROM s GROUP BY 1".replace("pow(", "power("))
 def merged_routes(spark, sf):
-    """Each nation's suppliers joined by segments, which are merged to one line again."""
+    """Each nation's suppliers joined by segments, which are merged to one line again.  Suppliers are points of their own, also at one place."""
     s = d.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("k"), *d.place(F.col("s_suppkey") * 37 + 11))
     w = Window.partitionBy("key").orderBy("k")
     even = F.col("k") % 2 == 0  # segments point either way
-    ends = s.withColumns({"lat0": F.lag("lat").over(w), "lng0": F.lag("lng").over(w)}).where("lat0 is not null")
-    segments = ends.select("key", *[F.when(even, a).otherwise(b).alias(c) for a, b, c in ((F.col("lng0"), F.col("lng"), "x1"), (F.col("lat0"), F.col("lat"), "y1"), (F.col("lng"), F.col("lng0"), "x2"), (F.col("lat"), F.col("lat0"), "y2"))])
+    ends = s.withColumns({f"{c}0": F.lag(c).over(w) for c in ("lat", "lng", "k")}).where("lat0 is not null")
+    segments = ends.select("key", *[F.when(even, F.col(a)).otherwise(F.col(b)).alias(f"{c}{i}") for c, col in (("x", "lng"), ("y", "lat"), ("n", "k")) for i, a, b in ((1, f"{col}0", col), (2, col, f"{col}0"))])
     lines = chains.merged_lines(segments, Scratch(spark, "routes"))
     measured = lines.select("key", F.size("points").cast("long").alias("n"), F.round(chains.length_m(F.col("points"), 90000.0, 111000.0), 3).alias("m"))
     return measured.withColumnsRenamed({"key": "line", "n": "points"})

@@ -35,11 +35,13 @@ def ranked(links: DataFrame, scratch: Scratch, name: str = "chains") -> DataFram
 def merged_lines(segments: DataFrame, scratch: Scratch) -> DataFrame:
     """key, line, closed, points (array<struct<x, y>>): segments (key, x1, y1, x2, y2) of each key joined wherever exactly two of them end.
 
-    Points with one end, or three and more, end a line.  A line of one key and a point of equal coordinates is one; repeated segments, in either
-    direction, count once, and segments of no length or with a null are left out.  A line starts at the end whose first segment is the lesser.
+    Points with one end, or three and more, end a line.  A line of one key and a point of equal coordinates is one, unless segments name their
+    points (n1, n2): then points are told apart by name, too.  Repeated segments, in either direction, count once, and segments from a point to
+    itself or with a null are left out.  A line starts at the end whose first segment is the lesser.
     Every segment gives two directed ones; a chain of them and its reverse are one line, of which one is kept."""
-    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    whole = segments.dropna(subset=["x1", "y1", "x2", "y2"]).select("key", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    names = "n1" in segments.columns
+    a, b = (F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("xyn" if names else "xy")]) for k in (1, 2))
+    whole = segments.dropna(subset=["x1", "y1", "x2", "y2", *(["n1", "n2"] if names else [])]).select("key", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
     whole = scratch.table(whole.withColumn("id", F.monotonically_increasing_id()), "segments")
     both = whole.select("key", (F.col("id") * 2).alias("node"), "a", "b").unionByName(whole.select("key", (F.col("id") * 2 + 1).alias("node"), F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.table(both, "directed")
@@ -55,7 +57,8 @@ def merged_lines(segments: DataFrame, scratch: Scratch) -> DataFrame:
     points = F.array_sort(F.collect_list(F.struct("rank", "a", "b")))
     lines = found.groupBy("key", "chain").agg(F.first("ring").alias("closed"), points.alias("p"))
     at = F.concat(F.transform("p", lambda s: s["a"]), F.array(F.element_at("p", -1)["b"]))
-    return lines.select("key", F.col("chain").alias("line"), "closed", at.alias("points"))
+    places = F.transform(at, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    return lines.select("key", F.col("chain").alias("line"), "closed", places.alias("points"))
 
 
 def length_m(points: Column, mx: float, my: float) -> Column:

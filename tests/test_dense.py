@@ -44,3 +44,7 @@ def same_as_sql(spark, tables, name):
 @pytest.mark.parametrize("name", ["point_in_polygon", "point_in_union"])
 def test_points_on_borders(spark, full, name):
     same_as_sql(spark, full, name)
+
+
+def test_routes_pass_one_place_often(spark, dense):
+    same_as_sql(spark, dense, "merged_routes")
