@@ -160,8 +160,8 @@ def per_10k(spark, sf):
 
 @query(_ALL + ", tot AS (SELECT station, radius, count(*) AS total FROM pairs GROUP BY 1, 2) SELECT station, radius, mid, n, CASE WHEN lq < 1 AND base_share * total >= 3 THEN 'low' WHEN lq > 1 AND n >= 3 THEN 'high' END AS note FROM lq JOIN tot USING (station, radius) WHERE level = 'mid'")
 def notable_genres(spark, sf):
-    total = _counts(spark, sf).groupBy("station", "radius").agg(F.sum("n").alias("total"))
-    return stats.notable(_lq(spark, sf).where("level = 'mid'").join(total, ["station", "radius"])).select("station", "radius", "mid", "n", "note")
+    mids = _lq(spark, sf).where("level = 'mid'")
+    return stats.notable(mids.withColumn("total", F.sum("n").over(Window.partitionBy("station", "radius")))).select("station", "radius", "mid", "n", "note")
 
 
 @query(f"WITH {V}, {S}, {_PAIRS}, n AS (SELECT station, radius, count(*) AS n FROM pairs GROUP BY 1, 2) SELECT s.station, r.radius, coalesce(n.n, 0) AS n FROM stations s CROSS JOIN (VALUES (1000), (2000), (5000)) r(radius) LEFT JOIN n ON n.station = s.station AND n.radius = r.radius")

@@ -18,6 +18,8 @@ from . import spatial
 LEVELS, ACROSS = 4, 8
 #: Latitude beyond which columns are too narrow to count in: circles there are joined with rows.
 POLAR = 85.0
+#: Places of centres that a task cuts to cells: some seconds of work, while their rows alone would fit one task.
+SPOTS = 250
 
 
 def _metres(lat: float, lng: float, lats: np.ndarray, lngs: np.ndarray) -> np.ndarray:
@@ -66,7 +68,8 @@ def tallies(centres: DataFrame, rows: DataFrame, radii: list[int], keys: list[st
 
     Rows are summed up by fine cell and keys, and these sums by the larger cells, before anything is joined; a circle then needs some hundred
     cells, whatever the rows.  Rows on a rim are first summed up by place, so neither a full cell nor a full place meets a circle row by row.
-    Rows and centres with a null place count nowhere; centre is unique."""
+    Centres at one place share their circles, and get these tallies once they are made.  Rows and centres with a null place count nowhere; centre
+    is unique."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "circles")
     ship(spark)
     size = 2.0 ** min(-3, math.floor(math.log2(math.degrees(min(radii) / geo.EARTH_M) / ACROSS)))  # all levels then go around the earth
@@ -93,19 +96,21 @@ def tallies(centres: DataFrame, rows: DataFrame, radii: list[int], keys: list[st
                 if (cx != rows[5]).any():  # beyond 180 degrees a cell of the rim can come twice
                     rows = np.unique(rows, axis=1)
                 own = b.take(pa.array(rows[0]))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), pa.array(rows[4]), pa.array(rows[5]), pa.array(rows[3] == 1)], ["centre", "few_lat", "few_lng", "radius", "level", "cy", "cx", "whole"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), pa.array(rows[4]), pa.array(rows[5]), pa.array(rows[3] == 1)], ["spot", "few_lat", "few_lng", "radius", "level", "cy", "cx", "whole"])
 
-    kind = centres.schema["centre"].dataType.simpleString()
     known = centres.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("centre", F.col("lat").cast("double").alias("few_lat"), F.col("lng").cast("double").alias("few_lng"))
+    spots = scratch.table(known.select("few_lat", "few_lng").distinct().select(F.monotonically_increasing_id().alias("spot"), "few_lat", "few_lng"), "spots")
     polar = F.abs("few_lat") > POLAR
-    covered = scratch.table(known.where(~polar).mapInArrow(cover, f"centre {kind}, few_lat double, few_lng double, radius int, level int, cy long, cx long, whole boolean"), "cover")
-    inside = covered.where("whole").join(cells, ["level", "cy", "cx"]).groupBy("centre", "radius", *keys).agg(*sums)
+    dealt = spots.where(~polar).repartition(spots.count() // SPOTS + 1)
+    covered = scratch.table(dealt.mapInArrow(cover, "spot long, few_lat double, few_lng double, radius int, level int, cy long, cx long, whole boolean"), "cover")
+    inside = covered.where("whole").join(cells, ["level", "cy", "cx"]).groupBy("spot", "radius", *keys).agg(*sums)
     rim = covered.where("not whole").drop("level", "whole")
     edge = placed.join(rim.select("cy", "cx").distinct(), ["cy", "cx"], "left_semi").groupBy("cy", "cx", "lat", "lng", *keys).agg(*ones)
     near = edge.join(rim, ["cy", "cx"]).where(geo.haversine(F.col("few_lat"), F.col("few_lng"), F.col("lat"), F.col("lng")) <= F.col("radius"))
-    out = inside.unionByName(near.groupBy("centre", "radius", *keys).agg(*sums))
-    beyond = known.where(polar).withColumnsRenamed({"few_lat": "lat", "few_lng": "lng"})
+    out = inside.unionByName(near.groupBy("spot", "radius", *keys).agg(*sums))
+    beyond = spots.where(polar).withColumnsRenamed({"few_lat": "lat", "few_lng": "lng"})
     if not beyond.isEmpty():
         pairs = spatial.by_radius(spatial.cell_pairs(beyond, placed.drop("cy", "cx"), max(radii)), radii)
-        out = out.unionByName(pairs.groupBy("centre", "radius", *keys).agg(*ones))
-    return out.groupBy("centre", "radius", *keys).agg(*sums)
+        out = out.unionByName(pairs.groupBy("spot", "radius", *keys).agg(*ones))
+    per = scratch.table(out.groupBy("spot", "radius", *keys).agg(*sums), "tallies")
+    return known.join(spots, ["few_lat", "few_lng"]).join(per, "spot").select("centre", "radius", *keys, "n", *(["n_w"] if weight else []))

@@ -45,3 +45,19 @@ def test_rims_are_thin():
     whole, rim = (sum(len(r) for _, r, _, w in found if w is k) for k in (True, False))
     area = sum(len(r) * 16**level for level, r, _, w in found if w)
     assert whole + rim < 1300 and area > 4 * rim
+
+
+def test_centres_at_one_place_share_circles(spark, monkeypatch):
+    written = {}
+
+    class Kept(circles.Scratch):
+        def table(self, df, name):
+            written[name] = super().table(df, name)
+            return written[name]
+
+    monkeypatch.setattr(circles, "Scratch", Kept)
+    centres = spark.range(500).selectExpr("id as centre", "35.6 + id % 2 * 0.01 as lat", "139.7D as lng")
+    rows = spark.range(900).selectExpr("35.6 + id % 30 * 0.001 as lat", "139.7D as lng", "'a' as major")
+    got = circles.tallies(centres, rows, [1000], ["major"]).collect()
+    assert written["cover"].count() < 2 * 400 and len(got) == 500
+    assert {(r["centre"] % 2, r["n"]) for r in got} == {(0, 9 * 30), (1, 18 * 30 - 30)}
