@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .functions import geo, rules, text
 from .operators import circles, label, link, order, spatial, stats
 from .plans import driver as d
+from .scratch import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,15 +174,13 @@ def completion_zeros(spark, sf):
 @query(f"WITH {V}, {S}, m AS (SELECT s.station, v.id, v.mid, {H('s.lat', 's.lng', 'v.lat', 'v.lng')} AS dist FROM stations s, venues v WHERE {H('s.lat', 's.lng', 'v.lat', 'v.lng')} <= 3000) SELECT station, id, round(dist, 3) AS dist_m FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY CASE WHEN mid = 'unknown' THEN 1 ELSE 0 END, round(dist, 3), id) AS k FROM m) WHERE k = 1")
 def nearest_match(spark, sf):
     v = d.venues(spark, sf).select("id", "lat", "lng", "mid")
-    p = spatial.cell_pairs(d.stations(spark, sf), v, 3000).withColumn("dist_m", F.round("dist_m", 3))
-    return spatial.best_match(p, ["station"], [F.when(F.col("mid") == "unknown", 1).otherwise(0), F.col("dist_m"), F.col("id")]).select("station", "id", "dist_m")
+    return spatial.nearest(d.stations(spark, sf).select("station", "lat", "lng"), v, 3000, "id", first=F.when(F.col("mid") == "unknown", 1).otherwise(0)).select("station", "id", "dist_m")
 
 
 @query(f"WITH {V}, {S}, m AS (SELECT s.station, v.id, round({H('s.lat', 's.lng', 'v.lat', 'v.lng')}, 3) AS dist_m FROM stations s, venues v WHERE {H('s.lat', 's.lng', 'v.lat', 'v.lng')} <= 2000) SELECT station, id, dist_m, k FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY dist_m, id) AS k FROM m) WHERE k <= 50")
 def nearest_k(spark, sf):
     v = d.venues(spark, sf).select("id", "lat", "lng")
-    p = spatial.cell_pairs(d.stations(spark, sf), v, 2000).withColumn("dist_m", F.round("dist_m", 3))
-    return p.withColumn("k", F.row_number().over(Window.partitionBy("station").orderBy("dist_m", "id")).cast("long")).where("k <= 50").select("station", "id", "dist_m", "k")
+    return spatial.nearest_k(d.stations(spark, sf).select("station", "lat", "lng"), v, 2000, "id", 50).select("station", "id", "dist_m", "k")
 
 
 _NEAR = f"""b AS (SELECT id, lat, lng, split_part(name, ' ', 2) AS core, label AS genre, CAST(floor(lat/0.01) AS BIGINT) AS cy, CAST(floor(lng/0.01) AS BIGINT) AS cx FROM venues),
@@ -280,14 +279,17 @@ def mesh_bounds(spark, sf):
 c AS (SELECT s.station, v.id, count(*) AS hundredths FROM stations s, venues v, g WHERE {H('s.lat', 's.lng', 'v.lat + (i + 0.5e0)*0.01e0/10', 'v.lng + (j + 0.5e0)*0.0125e0/10')} <= 2000 GROUP BY 1, 2)
 SELECT station, CAST(sum(hundredths * (id % 97)) + 50 AS BIGINT) // 100 AS people, count(*) AS cells FROM c GROUP BY 1""")
 def mesh_coverage(spark, sf):
-    """Every part is a mesh cell.  Sums of hundredths are exact, so halves round alike in any order."""
-    cells = d.venues(spark, sf).select("id", "lat", "lng")
-    p = spatial.cell_pairs(d.stations(spark, sf), cells, 2000 + 1500).repartition("station", "id")
+    """Every part is a mesh cell.  Sums of hundredths are exact, so halves round alike in any order; cells at one place are covered alike."""
+    scratch, s = Scratch(spark, "mesh"), d.stations(spark, sf).select("station", "lat", "lng")
+    cells = d.venues(spark, sf).groupBy("lat", "lng").agg(F.sum(F.col("id") % 97).alias("people"), F.count("*").alias("cells"))
+    p = scratch.table(spatial.place_pairs(s, cells, 2000 + 1500), "pairs")
+    p = p.repartition(p.count() // 50_000 + 1)
     at = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumns({"i": F.floor(F.col("k") / 10), "j": F.col("k") % 10})
     near = geo.haversine(F.col("few_lat"), F.col("few_lng"), F.col("lat") + (F.col("i") + 0.5) * 0.01 / 10, F.col("lng") + (F.col("j") + 0.5) * 0.0125 / 10) <= 2000
-    c = at.where(near).groupBy("station", "id").agg((F.count("*") / 100).cast("decimal(3,2)").alias("coverage"))
-    c = c.withColumn("people", F.col("id") % 97).withColumn("cells", 1 / F.col("coverage").cast("double"))
-    return stats.interpolated(c, ["people", "cells"], ["station"])
+    c = at.where(near).groupBy("few_lat", "few_lng", "lat", "lng").agg((F.count("*") / 100).cast("decimal(3,2)").alias("coverage"))
+    c = c.join(cells, ["lat", "lng"]).withColumn("cells", F.col("cells") / F.col("coverage").cast("double"))
+    per = stats.interpolated(c, ["people", "cells"], ["few_lat", "few_lng"]).withColumnsRenamed({"few_lat": "lat", "few_lng": "lng"})
+    return s.join(per, ["lat", "lng"]).select("station", "people", "cells")
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE), 0) AS k, coalesce(TRY_CAST(trim(CASE event_id % 4 WHEN 0 THEN '*' WHEN 1 THEN '1,234' WHEN 2 THEN ' 12 ' ELSE '-' END) AS DOUBLE), 0) AS loose FROM events")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from locusmill import catalog, catalog_more  # noqa: F401 - adds its queries
+from locusmill.operators import spatial
 
 NAMES = [f"{a} {b}" for a in ("small", "hot", "old", "blue", "new") for b in ("ring", "bolt", "gear", "gizmo", "anvil")]
 TYPES = ["PROMO", "LARGE", "SMALL", "ECONOMY", "MEDIUM"]
@@ -48,3 +49,17 @@ def test_points_on_borders(spark, full, name):
 
 def test_routes_pass_one_place_often(spark, dense):
     same_as_sql(spark, dense, "merged_routes")
+
+
+@pytest.mark.parametrize("name", ["nearest_match", "nearest_k", "mesh_coverage"])
+def test_full_places_meet_once(spark, dense, name, monkeypatch):
+    """Only distinct places are paired, whatever their rows."""
+    met, plain = [], spatial.cell_pairs
+
+    def counted(few, many, radius):
+        met.append((few.count(), many.count()))
+        return plain(few, many, radius)
+
+    monkeypatch.setattr(spatial, "cell_pairs", counted)
+    same_as_sql(spark, dense, name)
+    assert met and all(a <= 86 and b <= 86 for a, b in met)
