@@ -75,7 +75,7 @@ def _near_rows(spark, sf):
 
 @query(_CLUSTER + "SELECT venues.id AS row_id, coalesce(cluster, -1) AS cluster FROM venues LEFT JOIN f ON f.x = venues.id")
 def venue_clusters(spark, sf):
-    return link.clusters(_near_rows(spark, sf), lambda rows: link.near_pairs(rows, 400.0, 0.01))
+    return link.clusters(_near_rows(spark, sf), lambda rows: link.near_components(rows, 400.0, 0.01))
 
 
 @query(_CLUSTER + "SELECT x AS row_id FROM f WHERE x = cluster")

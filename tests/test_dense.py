@@ -51,7 +51,7 @@ def test_routes_pass_one_place_often(spark, dense):
     same_as_sql(spark, dense, "merged_routes")
 
 
-@pytest.mark.parametrize("name", ["nearest_match", "nearest_k", "mesh_coverage"])
+@pytest.mark.parametrize("name", ["nearest_match", "nearest_k", "mesh_coverage", "fuzzy_nearest", "scored_nearest", "name_filter"])
 def test_full_places_meet_once(spark, dense, name, monkeypatch):
     """Only distinct places are paired, whatever their rows."""
     met, plain = [], spatial.cell_pairs
@@ -63,3 +63,20 @@ def test_full_places_meet_once(spark, dense, name, monkeypatch):
     monkeypatch.setattr(spatial, "cell_pairs", counted)
     same_as_sql(spark, dense, name)
     assert met and all(a <= 86 and b <= 86 for a, b in met)
+
+
+@pytest.mark.parametrize("name", ["near_pairs", "dedupe_components", "representatives", "venue_clusters", "representative_rows"])
+def test_near_classes(spark, dense, name, monkeypatch):
+    """Names meet once a class and place: far fewer are compared than there are pairs of rows."""
+    from locusmill.operators import link
+
+    seen, plain = [], link._classes
+
+    def counted(rows, *args):
+        members, pairs = plain(rows, *args)
+        seen.append((pairs.count(), members.groupBy("cls").count().selectExpr("sum(count * count)").first()[0]))
+        return members, pairs
+
+    monkeypatch.setattr(link, "_classes", counted)
+    same_as_sql(spark, dense, name)
+    assert seen and all(n < m for n, m in seen)
