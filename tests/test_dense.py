@@ -80,3 +80,37 @@ def test_near_classes(spark, dense, name, monkeypatch):
     monkeypatch.setattr(link, "_classes", counted)
     same_as_sql(spark, dense, name)
     assert seen and all(n < m for n, m in seen)
+
+
+def test_pairs_are_spelled_out_from_places(spark, dense, monkeypatch):
+    """Lists of ids at distinct places meet, and lists longer than a block are several."""
+    lists, plain = [], spatial._blocks
+
+    def counted(rows, key):
+        found = plain(rows, key)
+        lists.append((found.count(), rows.count(), found.agg({"n": "max"}).first()[0]))
+        return found
+
+    monkeypatch.setattr(spatial, "_blocks", counted)
+    got = same_as_sql(spark, dense, "station_range_join")
+    assert all(a * 2 < b for a, b, _ in lists) and len(lists) == 2
+    monkeypatch.setattr(spatial, "BLOCK", 2)
+    lists.clear()
+    assert sorted(same_as_sql(spark, dense, "station_range_join")) == sorted(got)
+    assert max(n for *_, n in lists) < 9
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_pairs_in_cells_of_any_width(spark, parts, monkeypatch):
+    """Beside a pole, across 180 degrees and at the equator; null places are in no pair."""
+    import random
+
+    from locusmill.operators.circles import _metres
+
+    rng, radius = random.Random(parts), 700
+    spots = [(0.0, 0.0), (60.0, 179.999), (-60.0, -179.999), (89.999, 10.0), (-89.999, 0.0), (35.6, 139.7)]
+    a, b = ([(i, max(-90.0, min(90.0, y + rng.uniform(-0.01, 0.01))), (x + rng.uniform(-1, 1) * (180 if abs(y) > 89 else 0.02) + 180) % 360 - 180) for i in range(120) for y, x in [spots[i % 6]]] for _ in range(2))
+    want = {(i, j) for i, y, x in a for j, v, u in b if _metres(y, x, v, u) <= radius}
+    monkeypatch.setattr(spatial, "PARTS", parts)
+    got = spatial.id_pairs(spark.createDataFrame([*a, (999, None, 1.0)], "s int, lat double, lng double"), spark.createDataFrame([*b, (999, 1.0, None)], "v int, lat double, lng double"), [radius], "s", "v").collect()
+    assert {(r["s"], r["v"]) for r in got} == want and len(got) == len(want) > 100
