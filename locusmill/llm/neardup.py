@@ -41,8 +41,8 @@ ESTIMATE = 0.5
 ROUNDS, HOT, TILE = 2, 8192, 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("mini", pa.binary()), ("shingles", pa.binary()), ("weights", pa.binary())])
-_SIGNED_SPARK = "uid long, doc_id long, digest binary, h long, bands array<long>, sig binary, mini binary, shingles binary, weights binary"
+_SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("mini", pa.binary()), ("shingles", pa.binary()), ("weights", pa.binary())])
+_SIGNED_SPARK = "uid long, doc_id long, digest binary, h long, bands array<long>, mini binary, shingles binary, weights binary"
 
 
 def probminhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -82,7 +82,7 @@ def band_keys(sig: np.ndarray, level: int = 0) -> np.ndarray:
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """For every row of (uid, doc_id, text): uid, doc_id, digest (of the text's words) and its first half h, bands, sig, mini (a byte of each register),
+    """For every row of (uid, doc_id, text): uid, doc_id, digest (of the text's words) and its first half h, bands, mini (a byte of each register),
     shingles (sorted 32-bit hashes) and weights (empty: all 1)."""
     ship(rows.sparkSession)
 
@@ -114,7 +114,7 @@ def sign(rows: DataFrame) -> DataFrame:
                         pa.array(digests, pa.binary()),
                         pa.array(np.frombuffer(b"".join(digests), "<i8")[::2]),
                         lists,
-                        *[pa.array(c, pa.binary()) for c in ([r.tobytes() for r in sig], short, sets, weights)],
+                        *[pa.array(c, pa.binary()) for c in (short, sets, weights)],
                     ],
                     schema=_SIGNED,
                 )
@@ -211,13 +211,8 @@ def _similar(a: np.ndarray, x: np.ndarray | None, others: list[tuple[np.ndarray,
     return out
 
 
-def _across(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
-    """comp_a, comp_b: links between different components, as many as unite what is linked within a bucket.
-
-    Members are compared across components, by signature and then exactly, on the first level only in the first bucket that a pair shares; a pair
-    whose components have met meanwhile is passed over, so a bucket gives fewer links than members.  Members are cut into tiles of about
-    TILE, and each pair of tiles is a group of its own.  The largest component of a bucket has tiles apart, which meet the others' tiles and never
-    each other; a bucket of one large component and few strays therefore costs in proportion to its members."""
+def _tiled(rows: DataFrame) -> DataFrame:
+    """key, digest, comp, tile, i, j: the members of buckets for each pair of tiles (i, j) that they are compared in."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     own, rest = (F.ceil(n / TILE).cast("int") for n in (F.col("top.n"), F.col("all") - F.col("top.n")))
@@ -225,25 +220,60 @@ def _across(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     tile = F.when(F.col("comp") == F.col("top"), F.col("rest") + F.pmod(F.xxhash64("digest"), F.col("own"))).otherwise(F.pmod(F.xxhash64("digest"), F.col("rest")))
     others = F.col("rest") + F.when(F.col("comp") == F.col("top"), 0).otherwise(F.col("own"))
     rows = rows.select("key", "digest", "comp", tile.cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
-    rows = rows.select("key", "digest", "comp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    rows = rows.join(nodes.select("digest", "sig", "shingles", "weights"), "digest")
+    return rows.select("key", "digest", "comp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
 
-    def run(key, table):
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+
+class _Pairs:
+    """The members of a pair of tiles, and for each which later ones it is to be compared with."""
+
+    def __init__(self, key: tuple, table: pa.Table, level: int):
+        self.names = table.column("comp").to_pylist()
+        self.comp = np.unique(np.array([c.hex() for c in self.names]), return_inverse=True)[1]
+        self.tile = np.array(table.column("tile").to_pylist())
+        self.same_tile = key[1].as_py() == key[2].as_py()
+        self.mini = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        self.keys = np.array(table.column("bands").to_pylist(), np.int64) if level == 0 else None
         if level == 0:
-            keys = band_keys(sig)
-            own = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0])
+            self.own = int(np.flatnonzero((self.keys == key[0].as_py()).all(0))[0])
+
+    def after(self, r: int) -> np.ndarray:
+        at = r + 1 + np.flatnonzero((self.comp[r + 1 :] != self.comp[r]) & (self.same_tile | (self.tile[r + 1 :] != self.tile[r])))
+        at = at[(self.mini[at] == self.mini[r]).mean(1) >= ESTIMATE]
+        return at if self.keys is None else at[(self.keys[at] == self.keys[r]).argmax(1) == self.own]
+
+
+def _candidates(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """The rows of _tiled() that have another to be compared with exactly, by signature: where texts share a bucket by chance, few."""
+
+    def run(key, table):
+        pairs = _Pairs(key, table, level)
+        met = np.zeros(table.num_rows, bool)
+        for r in range(table.num_rows):
+            at = pairs.after(r)
+            met[at] = True
+            met[r] |= len(at) > 0
+        return table.select(["key", "digest", "comp", "tile", "i", "j"]).filter(pa.array(met))
+
+    return rows.join(nodes.select("digest", "bands", "mini"), "digest").groupBy("key", "i", "j").applyInArrow(run, "key long, digest binary, comp binary, tile int, i int, j int")
+
+
+def _across(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """comp_a, comp_b: links between different components, as many as unite what is linked within a bucket.
+
+    Members are compared across components, by signature and then exactly, on the first level only in the first bucket that a pair shares; a pair
+    whose components have met meanwhile is passed over, so a bucket gives fewer links than members.  Members are cut into tiles of about
+    TILE, and each pair of tiles is a group of its own.  The largest component of a bucket has tiles apart, which meet the others' tiles and never
+    each other; a bucket of one large component and few strays therefore costs in proportion to its members.  Shingles move only for members that
+    signatures do not rule out."""
+    rows = _candidates(_tiled(rows), nodes, level).join(nodes.select("digest", "bands", "mini", "shingles", "weights"), "digest")
+
+    def run(key, table):
+        pairs = _Pairs(key, table, level)
+        comp, names = pairs.comp, pairs.names
         sets = [(np.frombuffer(s, "<u4"), np.frombuffer(w, "<u4").astype(float) if w else None) for s, w in zip(table.column("shingles").to_pylist(), table.column("weights").to_pylist())]
-        names = table.column("comp").to_pylist()
-        comp = np.unique(np.array([c.hex() for c in names]), return_inverse=True)[1]
-        tile = np.array(table.column("tile").to_pylist())
-        same_tile = key[1].as_py() == key[2].as_py()
         a, b = [], []
         for r in range(len(names)):
-            at = r + 1 + np.flatnonzero((comp[r + 1 :] != comp[r]) & (same_tile | (tile[r + 1 :] != tile[r])))
-            if level == 0:
-                at = at[(keys[at] == keys[r]).argmax(1) == own]
-            at = at[(sig[at] == sig[r]).mean(1) >= ESTIMATE]
+            at = pairs.after(r)
             for s in at[_similar(*sets[r], [sets[k] for k in at])].tolist():
                 if comp[s] != comp[r]:
                     comp[comp == comp[s]] = comp[r]
@@ -309,7 +339,7 @@ def link(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
         return None
     involved = members.select("digest").distinct()
     one = signed.groupBy("digest").agg(F.min("uid").alias("uid")).join(involved, "digest", "left_semi").select("uid")  # a row of each text
-    nodes = scratch.table(chosen(signed.select("uid", "digest", "sig", "mini", "shingles", "weights"), one, scratch, "one").drop("uid"), "nodes")
+    nodes = scratch.table(chosen(signed.select("uid", "digest", "bands", "mini", "shingles", "weights"), one, scratch, "one").drop("uid"), "nodes")
     return _settle(members, None, nodes, scratch)
 
 

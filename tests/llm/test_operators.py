@@ -118,6 +118,23 @@ def test_near_duplicates_of_a_hot_group(spark, monkeypatch, rounds, hot):
     assert [r["class_id"] for r in sorted(got)] == want
 
 
+def test_shingles_move_only_where_signatures_agree(spark):
+    """A bucket that texts share by chance sends on the two that are near, and signatures are kept as bands and bytes only."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(40)]
+    texts.append(texts[7].rsplit(" ", 3)[0] + " x")
+    signed = neardup.sign(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "uid long, doc_id long, text string")).cache()
+    assert "sig" not in signed.columns
+    key = next(r.key for r in signed.selectExpr("explode(bands) AS key").groupBy("key").count().where("count = 2").collect())
+    bucket = signed.selectExpr(f"CAST({key} AS LONG) AS key", "digest", "digest AS comp")
+    nodes = signed.withColumn("bands", F.array_repeat(F.lit(key), neardup.LEVELS[0][0]))  # all share this bucket, and it first
+    near = neardup._candidates(neardup._tiled(bucket), nodes, 0).join(signed.select("digest", "doc_id"), "digest")
+    assert sorted(r["doc_id"] for r in near.collect()) == [7, 40]
+    links = neardup._across(bucket, nodes, 0).collect()
+    assert len(links) == 1
+
+
 def test_statistics_and_rules(spark, docs):
     got = rules.query(spark, docs).collect()
     assert len(got) == docs.count()
