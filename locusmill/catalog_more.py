@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _ALL, _NEAR, _PAIRS, H, S, V, _counts, _lq, _stub, left_anti_todo, query
+from .catalog import _ALL, _NEAR, _PAIRS, _SPOT, H, S, V, _base, _counts, _every_radius, _lq, _stub, _tally, left_anti_todo, query
 from .functions import geo, rules, text
 from .operators import chains, cover, label, link, order, sequential, spatial, stats
 from .plans import driver as d
@@ -295,7 +295,8 @@ def narratives(spark, sf):
 
 @query(f"WITH {V}, {S}, {_PAIRS} SELECT station, radius, count(*) AS total, count(*) FILTER (major = 'unknown') AS unknown_major, count(*) FILTER (mid = 'unknown') AS unknown_mid FROM pairs GROUP BY 1, 2")
 def station_totals(spark, sf):
-    return stats.totals(_counts(spark, sf), ["station", "radius"], summed=True)
+    own, counts = _counts(spark, sf, ["major", "mid"])
+    return own.join(stats.totals(counts, _SPOT, summed=True), "spot").select("station", "radius", "total", "unknown_major", "unknown_mid")
 
 
 @query(f"WITH {V}, u AS (SELECT id, name, category, 'a' || CAST(id % 17 AS VARCHAR) AS address FROM venues WHERE label = 'unresolved'), c AS (SELECT name, category, count(*) AS n, min(id) AS f FROM u GROUP BY 1, 2), m AS (SELECT name, category FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, f) AS k FROM c) WHERE k = 1) SELECT name, count(*) AS n, any_value(m.category) AS category, arg_min(address, id) AS address FROM u JOIN m USING (name) GROUP BY name")
@@ -332,7 +333,8 @@ def accuracy_by_band(spark, sf):
 
 @query(f"WITH {V}, {S}, {_PAIRS} SELECT CAST(station AS VARCHAR) AS station, radius, count(*) AS n FROM pairs GROUP BY 1, 2 UNION ALL SELECT '_area', 0, count(*) FROM venues WHERE label <> 'excluded'")
 def area_row(spark, sf):
-    rows = _counts(spark, sf).groupBy(F.col("station").cast("string").alias("station"), "radius").agg(F.sum("n").alias("n"))
+    own, counts = _counts(spark, sf, [])
+    rows = own.join(counts, "spot").select(F.col("station").cast("string").alias("station"), "radius", "n")
     return stats.with_area_row(rows, d.counted(d.venues(spark, sf)).agg(F.count("*").alias("n")))
 
 
@@ -411,9 +413,9 @@ def grouped_lines(spark, sf):
 @query(_ALL + ", r AS (SELECT *, n - coalesce(lag(n) OVER (PARTITION BY station, level, major, mid ORDER BY radius), 0) AS ring_n FROM t), rs AS (SELECT *, CASE WHEN (level = 'major' AND major <> 'unknown') OR (level = 'mid' AND mid <> 'unknown') THEN CAST(ring_n AS DOUBLE) / nullif(sum(CASE WHEN (level = 'major' AND major <> 'unknown') OR (level = 'mid' AND mid <> 'unknown') THEN ring_n END) OVER (PARTITION BY station, radius, level), 0) END AS rshare FROM r) SELECT station, radius, level, major, mid, ring_n, round(rshare, 6) AS share, round(CASE WHEN base_share <> 0 THEN rshare / base_share END, 6) AS lq FROM rs LEFT JOIN base USING (level, major, mid)")
 def ring_lq(spark, sf):
     """Counts, shares and quotients of the rings between radii."""
-    t = stats.tally(_counts(spark, sf), ["station", "radius"], summed=True)
-    base = stats.shares(stats.tally(d.counted(d.venues(spark, sf)), []), [])
-    return stats.ring_quotients(t, ["station"], base).select("station", "radius", "level", "major", "mid", "ring_n", F.round("share", 6).alias("share"), F.round("lq", 6).alias("lq"))
+    own, t = _tally(spark, sf)
+    r = stats.ring_quotients(t, ["spot"], _base(spark, sf)).withColumns({c: F.round(c, 6) for c in ("share", "lq")})
+    return own.join(r, "spot").select("station", "radius", "level", "major", "mid", "ring_n", "share", "lq")
 
 
 @query(f"""WITH {V}, {S}, {_PAIRS}, n AS (SELECT station, radius, count(*) AS n FROM pairs GROUP BY 1, 2),
@@ -422,11 +424,12 @@ e AS (SELECT station, radius, CASE WHEN lng BETWEEN 139.65e0 AND 139.75e0 AND la
 SELECT e.station, e.radius, coalesce(n.n, 0) AS n, e.near_edge FROM e LEFT JOIN n ON n.station = e.station AND n.radius = e.radius""")
 def completion_edges(spark, sf):
     """Every station and radius: its count or 0, and whether its circle reaches over the area's border."""
-    s = d.stations(spark, sf).withColumn("radius", F.explode(F.array(*[F.lit(r) for r in d.RADII])))
+    own, counts = _counts(spark, sf, [])
     ring = _box(*[F.lit(v) for v in (139.65, 35.64, 139.75, 35.76)])
-    flags = s.select("station", "radius", geo.near_edge(F.array(ring), F.col("lng"), F.col("lat"), 90000.0, 111000.0, F.col("radius")).alias("near_edge"))
-    n = _counts(spark, sf).groupBy("station", "radius").agg(F.sum("n").alias("n"))
-    return stats.completed(s.select("station", "radius"), n, ["station", "radius"], ["n"], flags)
+    near = geo.near_edge(F.array(ring), F.col("lng"), F.col("lat"), 90000.0, 111000.0, F.col("radius"))
+    places = own.select("spot", "lat", "lng").distinct().crossJoin(spark.createDataFrame([(r,) for r in d.RADII], "radius int"))
+    flags = places.select("spot", "radius", near.alias("near_edge"))
+    return stats.completed(_every_radius(own), counts, _SPOT, ["n"], flags).select("station", "radius", "n", "near_edge")
 
 
 @query("""WITH l AS (SELECT s_suppkey, n_name, i FROM supplier, range(0, 3) r(i), nation WHERE i < s_suppkey % 4 AND n_nationkey = (s_nationkey + i) % 25),
@@ -511,15 +514,20 @@ def key_union(spark, sf):
 
 @query(_ALL + "SELECT station, mid, place FROM (SELECT station, mid, row_number() OVER (PARTITION BY mid ORDER BY round(lq, 6) DESC, station) AS place FROM lq WHERE level = 'mid' AND radius = 5000 AND lq IS NOT NULL) WHERE place <= 5")
 def ranked_by_lq(spark, sf):
-    w = Window.partitionBy("mid").orderBy(F.round("lq", 6).desc(), "station")
-    t = _lq(spark, sf).where("level = 'mid' AND radius = 5000 AND lq IS NOT NULL")
-    return t.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("station", "mid", "place")
+    """The first five stations of a genre: of a place only its first five can be among them, and a task hands on five of what it has."""
+    own, t = _lq(spark, sf, [5000])
+    k = F.row_number().over(Window.partitionBy("spot").orderBy("station"))
+    firsts = own.where("lat IS NOT NULL").withColumn("k", k).where("k <= 5").drop("k")
+    ranked = firsts.join(t.where("level = 'mid' AND lq IS NOT NULL").withColumn("lq", F.round("lq", 6)), "spot")
+    w = Window.partitionBy("mid").orderBy(F.col("lq").desc(), "station")
+    return ranked.withColumn("place", F.row_number().over(w)).where("place <= 5").select("station", "mid", F.col("place").cast("long").alias("place"))
 
 
 @query(_ALL + "SELECT mid, " + ", ".join(f"max(CASE WHEN station = {k} THEN n END) AS s{k}" for k in (1, 2, 3, 4, 5)) + " FROM lq WHERE level = 'mid' AND radius = 5000 AND station <= 5 GROUP BY mid")
 def compared_stations(spark, sf):
-    t = _lq(spark, sf).where("level = 'mid' AND radius = 5000 AND station <= 5").groupBy("mid").pivot("station", [1, 2, 3, 4, 5]).agg(F.first("n"))
-    return t.withColumnsRenamed({str(k): f"s{k}" for k in range(1, 6)})
+    own, t = _lq(spark, sf, [5000], d.stations(spark, sf).where("station <= 5"))
+    found = own.join(t.where("level = 'mid'"), "spot").groupBy("mid").pivot("station", [1, 2, 3, 4, 5]).agg(F.first("n"))
+    return found.withColumnsRenamed({str(k): f"s{k}" for k in range(1, 6)})
 
 
 @query(f"WITH {V} SELECT id, round(lng - 1000 * 1.05e0 / 111320 / cos(radians(lat)), 9) AS x0, round(lat + 1000 * 1.05e0 / 111320, 9) AS y1 FROM venues")

@@ -65,19 +65,29 @@ def circle_cells(lat: float, lng: float, radius: float, size: float, levels: int
 
 def tallies(centres: DataFrame, rows: DataFrame, radii: list[int], keys: list[str], weight: str | None = None) -> DataFrame:
     """centre, radius, keys, n[, n_w]: how many rows (lat, lng, keys[, weight]) lie within each radius of each centre (centre, lat, lng).
+    centre is unique."""
+    own, per = place_tallies(centres, rows, radii, keys, weight)
+    return own.join(per, "spot").select("centre", "radius", *keys, "n", *(["n_w"] if weight else []))
 
-    Rows are summed up by fine cell and keys, and these sums by the larger cells, before anything is joined; a circle then needs some hundred
-    cells, whatever the rows.  Rows on a rim are first summed up by place, so neither a full cell nor a full place meets a circle row by row.
-    Centres at one place share their circles, and get these tallies once they are made.  Rows and centres with a null place count nowhere; centre
-    is unique."""
+
+def place_tallies(centres: DataFrame, rows: DataFrame, radii: list[int], keys: list[str], weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """centres with their spot, which those at one place share (null without a place), and spot, radius, keys, n[, n_w]: how many rows (lat, lng,
+    keys[, weight]) lie within each radius of it.  What follows from these sums alone is best made by spot, before centres are joined with it.
+
+    Rows are read once and summed up by place and keys, then by fine cell and by the larger cells, before anything is joined; a circle then needs
+    some hundred cells, whatever the rows, and its finest ones grow with its radius.  On a rim a place is one row with its sums in a list, so
+    neither a full cell nor a full place meets a circle row by row.
+    Rows and centres with a null place count nowhere."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "circles")
     ship(spark)
     size = 2.0 ** min(-3, math.floor(math.log2(math.degrees(min(radii) / geo.EARTH_M) / ACROSS)))  # all levels then go around the earth
     around = round(360 / size)
     sums = [F.sum("n").alias("n")] + ([F.sum("n_w").alias("n_w")] if weight else [])
     ones = [F.count("*").alias("n")] + ([F.sum(weight).alias("n_w")] if weight else [])
-    placed = rows.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.pmod(F.floor(F.col("lng") / size), F.lit(around))})
-    level = fine = scratch.table(placed.groupBy("cy", "cx", *keys).agg(*ones), "cells-0")
+    finest = {r: min(LEVELS - 1, int(math.log(r / min(radii), 4) + 1e-9)) for r in radii}
+    placed = scratch.table(rows.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).groupBy("lat", "lng", *keys).agg(*ones), "places")
+    placed = placed.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.pmod(F.floor(F.col("lng") / size), F.lit(around))})
+    level = fine = scratch.table(placed.groupBy("cy", "cx", *keys).agg(*sums), "cells-0")
     cells = fine.withColumn("level", F.lit(0))
     for k in range(1, LEVELS):
         level = level.groupBy(F.floor(F.col("cy") / 4).alias("cy"), F.floor(F.col("cx") / 4).alias("cx"), *keys).agg(*sums)
@@ -88,7 +98,7 @@ def tallies(centres: DataFrame, rows: DataFrame, radii: list[int], keys: list[st
         for b in batches:
             places = list(zip(b["few_lat"].to_pylist(), b["few_lng"].to_pylist()))
             for begin in range(0, len(places), 64):
-                parts = [(i, radius, *found) for i in range(begin, min(begin + 64, len(places))) for radius in radii for found in circle_cells(*places[i], radius, size)]
+                parts = [(i, radius, low + k, *found) for i in range(begin, min(begin + 64, len(places))) for radius, low in finest.items() for k, *found in circle_cells(*places[i], radius, size * 4**low, LEVELS - low)]
                 n = [len(p[3]) for p in parts]
                 which = [np.repeat([p[k] for p in parts], n) for k in (0, 1, 2, 5)]
                 cy, cx = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
@@ -98,19 +108,22 @@ def tallies(centres: DataFrame, rows: DataFrame, radii: list[int], keys: list[st
                 own = b.take(pa.array(rows[0]))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), pa.array(rows[4]), pa.array(rows[5]), pa.array(rows[3] == 1)], ["spot", "few_lat", "few_lng", "radius", "level", "cy", "cx", "whole"])
 
-    known = centres.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("centre", F.col("lat").cast("double").alias("few_lat"), F.col("lng").cast("double").alias("few_lng"))
+    at = {"few_lat": F.col("lat").cast("double"), "few_lng": F.col("lng").cast("double")}
+    known = centres.withColumns(at).where(F.col("few_lat").isNotNull() & F.col("few_lng").isNotNull())
     spots = scratch.table(known.select("few_lat", "few_lng").distinct().select(F.monotonically_increasing_id().alias("spot"), "few_lat", "few_lng"), "spots")
     polar = F.abs("few_lat") > POLAR
     dealt = spots.where(~polar).repartition(spots.count() // SPOTS + 1)
     covered = scratch.table(dealt.mapInArrow(cover, "spot long, few_lat double, few_lng double, radius int, level int, cy long, cx long, whole boolean"), "cover")
     inside = covered.where("whole").join(cells, ["level", "cy", "cx"]).groupBy("spot", "radius", *keys).agg(*sums)
-    rim = covered.where("not whole").drop("level", "whole")
-    edge = placed.join(rim.select("cy", "cx").distinct(), ["cy", "cx"], "left_semi").groupBy("cy", "cx", "lat", "lng", *keys).agg(*ones)
-    near = edge.join(rim, ["cy", "cx"]).where(geo.haversine(F.col("few_lat"), F.col("few_lng"), F.col("lat"), F.col("lng")) <= F.col("radius"))
+    rim = covered.where("not whole").drop("whole")
+    of = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("cy") / 4**k).alias("cy"), F.floor(F.col("cx") / 4**k).alias("cx")) for k in sorted(set(finest.values()))]))
+    edge = placed.groupBy("lat", "lng", "cy", "cx").agg(F.collect_list(F.struct(*keys, "n", *(["n_w"] if weight else []))).alias("own")).withColumn("of", of).select("of.*", "lat", "lng", "own")
+    near = edge.join(rim, ["level", "cy", "cx"]).where(geo.haversine(F.col("few_lat"), F.col("few_lng"), F.col("lat"), F.col("lng")) <= F.col("radius"))
+    near = near.select("spot", "radius", F.explode("own").alias("own")).select("spot", "radius", "own.*")
     out = inside.unionByName(near.groupBy("spot", "radius", *keys).agg(*sums))
     beyond = spots.where(polar).withColumnsRenamed({"few_lat": "lat", "few_lng": "lng"})
     if not beyond.isEmpty():
         pairs = spatial.by_radius(spatial.cell_pairs(beyond, placed.drop("cy", "cx"), max(radii)), radii)
-        out = out.unionByName(pairs.groupBy("spot", "radius", *keys).agg(*ones))
+        out = out.unionByName(pairs.groupBy("spot", "radius", *keys).agg(*sums))
     per = scratch.table(out.groupBy("spot", "radius", *keys).agg(*sums), "tallies")
-    return known.join(spots, ["few_lat", "few_lng"]).join(per, "spot").select("centre", "radius", *keys, "n", *(["n_w"] if weight else []))
+    return centres.withColumns(at).join(spots, ["few_lat", "few_lng"], "left").drop("few_lat", "few_lng"), per
