@@ -423,12 +423,13 @@ e AS (SELECT station, radius, CASE WHEN lng BETWEEN 139.65e0 AND 139.75e0 AND la
   ELSE sqrt(pow(greatest(139.65e0 - lng, lng - 139.75e0, 0) * 90000, 2) + pow(greatest(35.64e0 - lat, lat - 35.76e0, 0) * 111000, 2)) END < radius AS near_edge FROM stations, (VALUES (1000), (2000), (5000)) r(radius))
 SELECT e.station, e.radius, coalesce(n.n, 0) AS n, e.near_edge FROM e LEFT JOIN n ON n.station = e.station AND n.radius = e.radius""")
 def completion_edges(spark, sf):
-    """Every station and radius: its count or 0, and whether its circle reaches over the area's border."""
+    """Every station and radius: its count or 0, and whether its circle reaches over the area's border.  SQL's greatest passes over nulls, so a
+    station without a place is 0 from the border."""
     own, counts = _counts(spark, sf, [])
     ring = _box(*[F.lit(v) for v in (139.65, 35.64, 139.75, 35.76)])
     near = geo.near_edge(F.array(ring), F.col("lng"), F.col("lat"), 90000.0, 111000.0, F.col("radius"))
     places = own.select("spot", "lat", "lng").distinct().crossJoin(spark.createDataFrame([(r,) for r in d.RADII], "radius int"))
-    flags = places.select("spot", "radius", near.alias("near_edge"))
+    flags = places.select("spot", "radius", F.coalesce(near, F.lit(True)).alias("near_edge"))
     return stats.completed(_every_radius(own), counts, _SPOT, ["n"], flags).select("station", "radius", "n", "near_edge")
 
 
