@@ -1,7 +1,10 @@
 """Queries on tables that fill every place, or have many rows at each, against DuckDB."""
 
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from locusmill import catalog, catalog_more  # noqa: F401 - adds its queries
 from locusmill.operators import spatial
@@ -100,6 +103,30 @@ def test_pairs_are_spelled_out_from_places(spark, dense, monkeypatch):
     assert max(n for *_, n in lists) < 9
 
 
+def test_a_full_cell_is_many_tasks(spark, monkeypatch):
+    """Rows at one place are dealt to many tasks, and every pair is met once; a key that comes often is in many lists."""
+    monkeypatch.setattr(spatial, "BLOCK", 8)
+    monkeypatch.setattr(spatial, "MEETINGS", 2000)
+    a = spark.createDataFrame([(i if i < 200 else 7, 35.6, 139.7) for i in range(400)], "s int, lat double, lng double")
+    b = spark.createDataFrame([(i, 35.6, 139.7) for i in range(300)], "v int, lat double, lng double")
+    got = spatial.id_pairs(a, b, [1000, 5000], "s", "v")
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 400 * 300 * 2 and len(per) > 15 and max(per) < 40_000
+    times = {(r["s"], r["n"]): r["count"] for r in got.groupBy("s", "v", "radius").agg(F.count("*").alias("n")).groupBy("s", "n").count().collect()}
+    assert times == {(i, 201 if i == 7 else 1): 600 for i in range(200)}
+    assert spatial._blocks(a, "s").agg(F.max("n")).first()[0] < 32
+
+
+def test_pairs_are_spelled_out_list_by_list(spark, dense):
+    """The join hands on what it meets before pairs are spelled out: they are not compiled into one step, which would hold all pairs of a list
+    with its cell."""
+    df = catalog.QUERIES["station_range_join"](spark, dense[1])
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    met, spelled = ({m for m in re.findall(rf"\*\((\d+)\) {step}", plan)} for step in (r"\w*Join", r"Generate explode\((?:station|id)#"))
+    assert met and spelled and not met & spelled
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_pairs_in_cells_of_any_width(spark, parts, monkeypatch):
     """Beside a pole, across 180 degrees and at the equator; null places are in no pair."""
